@@ -88,7 +88,7 @@ class Segment:
         return np.searchsorted(self.values, inside) - np.arange(len(at)) * self.order.shape[1]
 
 
-def _search(key, t: pa.Table) -> pa.Table:
+def _search(key, t):
     """Of one segment's vectors and the queries asked of it: each query's nearest there."""
     asks = t["ask"].to_numpy(zero_copy_only=False)
     ids = t["vec_id"].to_numpy()

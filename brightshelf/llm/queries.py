@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def queries() -> dict:
         op9_substring_dedup,
         op10_chat_format,
     )
-    return {f.__name__: f for f in found}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:

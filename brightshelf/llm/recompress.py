@@ -210,7 +210,7 @@ class Blocks:
         """(block, names): the anchors of each block that another block has too."""
         n = self.n_buckets
 
-        def gather(key, t: pa.Table) -> pa.Table:
+        def gather(key, t):
             found = []
             for _, words in _parsed(t):
                 a = np.unique(words.anchors())
@@ -218,7 +218,7 @@ class Blocks:
             names = np.unique(np.concatenate(found))
             return _packed(key[0].as_py(), names, _bucket(names, n), n)
 
-        def match(key, t: pa.Table) -> pa.Table:
+        def match(key, t):
             blocks, lists = t["block"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in t["names"].to_pylist()]
             names = np.sort(np.concatenate(lists))
             again = np.zeros(len(names), dtype=bool)
@@ -234,7 +234,7 @@ class Blocks:
         """(block, names): the windows of each block that start in another block's document of a smaller doc_id."""
         n = self.n_buckets
 
-        def gather(key, t: pa.Table, replies: pa.Table) -> pa.Table:
+        def gather(key, t, replies):
             if not t.num_rows:
                 return _packed(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), n, np.zeros(0, np.int64))
             ids, shared = _id_order(t), _names(replies)
@@ -247,7 +247,7 @@ class Blocks:
             found, least = _smallest(np.concatenate(names), np.concatenate(of))
             return _packed(key[0].as_py(), found, _bucket(found, n), n, least)
 
-        def match(key, t: pa.Table) -> pa.Table:
+        def match(key, t):
             blocks, lists = t["block"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in t["names"].to_pylist()]
             ids = [np.frombuffer(x, dtype=np.int64) for x in t["ids"].to_pylist()]
             names, least = _smallest(np.concatenate(lists), np.concatenate(ids))
@@ -263,7 +263,7 @@ class Blocks:
         ``removed`` has an array of booleans for each document, one for each of its words.
         """
 
-        def remove(key, t: pa.Table, replies: pa.Table) -> pa.Table:
+        def remove(key, t, replies):
             ids, elsewhere = _id_order(t) if t.num_rows else np.zeros(0, np.int64), _names(replies)
             parts = [(part, w, w.window_names(w.windows)) for part, w in _parsed(t)] if t.num_rows else []
             names = np.concatenate([x[2] for x in parts]) if parts else np.zeros(0, np.uint64)

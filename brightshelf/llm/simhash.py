@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, local_components, split_hot, stored
@@ -181,6 +181,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(groups(prints), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near_duplicates(): that of the smallest doc_id, with all its columns.
+
+    Of rows that share that doc_id the one of the smallest text stays. Where no row of a group has an id, the one of the
+    smallest text among equal fingerprints stays; where some has, rows without an id go.
+    """
+    prints = stored(docs.select("doc_id", fingerprint_of("text").alias("fp")), "fingerprints")
+    found = stored(groups(prints), "groups")
+    roots = found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    known = docs.join(roots, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
+    lone = found.where("component_id is null").select(F.col("fp").alias("__fp"))
+    first = F.row_number().over(Window.partitionBy("__fp").orderBy("text"))
+    nameless = docs.where("doc_id is null").withColumn("__fp", fingerprint_of("text")).join(lone, "__fp", "left_semi").withColumn("__first", first).where("__first = 1")
+    return known.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+
+
 def groups(prints: DataFrame) -> DataFrame:
     """(fp, component_id) for each distinct fp of ``prints`` (doc_id, fp)."""
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")

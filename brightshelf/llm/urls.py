@@ -84,9 +84,9 @@ def judged(pages: DataFrame, sites: tuple[Rule, ...] = SITES, patterns: tuple[Ru
     regexes = F.array(*(F.lit(r.regex) for r in rules))
     whole = F.concat("host", "path")
     out = split.withColumn("candidates", candidates).withColumn("fits", F.array_min(F.filter("candidates", lambda k: F.rlike(whole, F.element_at(regexes, k + 1)))))
-    named = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("fits") + 1)
-    of_site = F.element_at(F.array(*(F.lit(r in sites) for r in rules)), F.col("fits") + 1)
-    name = named([r.name for r in rules])
+    # element_at() gives the last element for a null place, so places are never null there.
+    named = lambda values: F.when(F.col("fits").isNotNull(), F.element_at(F.array(*map(F.lit, values)), F.coalesce("fits", F.lit(0)) + 1))
+    of_site, name = named([r in sites for r in rules]), named([r.name for r in rules])
     return out.select(
         "page_id", "host", "path", F.when(of_site, name).alias("rule"), F.coalesce(named([r.verdict for r in rules]), F.lit(default)).alias("verdict"), F.when(~of_site, name).alias("pattern")
     )
