@@ -227,7 +227,7 @@ class Blocks:
             out = [x[np.isin(x, shared, assume_unique=True)] for x in lists] if len(shared) else []
             return _reply(blocks, out)
 
-        packed = self.docs.select("block", "doc_id", "text").groupBy("block").applyInArrow(gather, "bucket int, block int, names binary")
+        packed = self.docs.groupBy("block").applyInArrow(gather, "bucket int, block int, names binary")
         return packed.groupBy("bucket").applyInArrow(match, "block int, names binary")
 
     def repeated_windows(self, anchors: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ class Blocks:
             names, least = _smallest(np.concatenate(lists), np.concatenate(ids))
             return _reply(blocks, [x[least[np.searchsorted(names, x)] < i] for x, i in zip(lists, ids, strict=True)])
 
-        left = self.docs.select("block", "doc_id", "text").groupBy("block")
+        left = self.docs.groupBy("block")
         packed = left.cogroup(anchors.groupBy("block")).applyInArrow(gather, "bucket int, block int, names binary, ids binary")
         return packed.groupBy("bucket").applyInArrow(match, "block int, names binary")
 
