@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+#: Rows and bytes of documents that go to a Python worker at a time.
+DOCUMENT_ROWS, DOCUMENT_BYTES = 1000, 8 << 20
+
+
+def document_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session is set to hand over documents in small batches: their texts may be long."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(DOCUMENT_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(DOCUMENT_BYTES))
+    return df
+
+
+def given_back(batches: Iterator) -> Iterator:
+    """The batches; when they are at their end, the worker's free memory goes back to the machine.
+
+    Workers outlive their tasks, and several kinds of them stand beside one executor.
+    """
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
