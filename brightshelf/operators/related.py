@@ -30,11 +30,13 @@ def related_groups(hits: DataFrame, catalog: DataFrame, fields: list[str], limit
 
     ``hits`` is (query_id, position, id). The first five hits are left out, and what an earlier field has shown.
     """
+    # A page of results, which is read several times.
+    hits = hits.select("query_id", "position", "id").where("position <= 5").persist()
     top = hits.where("position = 1").select("query_id", F.col("id").alias("top_id")).join(catalog.withColumnRenamed("id", "top_id"), "top_id")
     of_field = [top.select("query_id", F.lit(k).alias("k"), F.lit(f).alias("field"), F.lower(field(catalog, f)).alias("v")) for k, f in enumerate(fields)]
     wanted = reduce(DataFrame.union, of_field).where("v is not null and v <> ''")
     shelves = reduce(DataFrame.union, [catalog.select(F.lit(k).alias("k"), F.lower(field(catalog, f)).alias("v"), "id") for k, f in enumerate(fields)])
-    seen = hits.where("position <= 5").select("query_id", "id")
+    seen = hits.select("query_id", "id")
     rows = wanted.join(shelves, ["k", "v"]).join(seen, ["query_id", "id"], "left_anti")
     # A field shows what no field before it has shown: so they are cut one after the other.
     out = None

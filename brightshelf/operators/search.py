@@ -100,23 +100,30 @@ def ngram_hits(processed: DataFrame, index: Index, keep: float = NGRAM, above: f
     return out.withColumns({"first_pos": F.lit(0), "first_score": F.lit(0.0), "stage": F.lit(2), "variant": F.lit(0)})
 
 
-def _short(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """The queries with fewer hits than their limit."""
-    counts = hits.groupBy("query_id").agg(F.count("*").alias("n"))
-    return queries.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < F.col("limit")).drop("n")
+_HIT = ("stage", "variant", "score", "first_pos", "first_score")
+
+
+def _earliest(hits: DataFrame) -> DataFrame:
+    """Each product of a query in the first stage that found it."""
+    best = hits.groupBy("query_id", "project_id", "product_id").agg(F.min_by(F.struct(*_HIT), "stage").alias("h"))
+    return best.select("query_id", "project_id", "product_id", *(F.col(f"h.{c}").alias(c) for c in _HIT))
 
 
 def candidates(queries: DataFrame, index: Index, synonyms: DataFrame | None = None) -> DataFrame:
     """The hits of each query (query_id, project_id, q, limit), without order.
 
     A query with fewer hits than its limit is tried in other keyboard layouts; if it still has fewer, by n-grams. A
-    fallback adds products that are not there yet.
+    fallback adds products that are not there yet. The layouts cost a few more tokens of the same join, so they are looked
+    up for all; n-grams, which reach far more postings, only for the queries that need them.
     """
     processed = prepared(queries).join(queries.select("query_id", "limit"), "query_id")
-    found = token_hits(processed, index.postings, synonyms)
-    new = lambda extra, known: extra.join(known.select("query_id", "product_id"), ["query_id", "product_id"], "left_anti")
-    with_layout = found.unionByName(new(layout_hits(_short(processed.where(F.size("layout_variants") > 0), found), index.postings), found))
-    return with_layout.unionByName(new(ngram_hits(_short(processed, with_layout), index), with_layout))
+    found = _earliest(token_hits(processed, index.postings, synonyms).unionByName(layout_hits(processed, index.postings)))
+    counts = found.groupBy("query_id").agg(F.count_if(F.col("stage") == 0).alias("direct"), F.count("*").alias("all"))
+    gate = processed.join(counts, "query_id", "left").withColumns({"direct": F.coalesce("direct", F.lit(0)), "all": F.coalesce("all", F.lit(0))})
+    few = F.col("direct") < F.col("limit")
+    kept = found.join(gate.select("query_id", few.alias("few")), "query_id").where((F.col("stage") == 0) | F.col("few")).drop("few")
+    short = gate.where(F.when(few, F.col("all")).otherwise(F.col("direct")) < F.col("limit"))
+    return _earliest(kept.unionByName(ngram_hits(short, index)))
 
 
 #: Hits of one query from the best on.
