@@ -1,0 +1,239 @@
+"""Operators on documents against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+from brightshelf.llm import licences, packing, pieces, quality, recompress, simhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows_of(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def plain_fingerprint(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = WORD.findall(text)
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_groups(prints):
+    """The smallest id reachable over fingerprints at distance 3 or less, by fingerprint."""
+    fps = sorted(set(fp for _, fp in prints))
+    group = {f: f for f in fps}
+
+    def root(f):
+        while group[f] != f:
+            f = group[f]
+        return f
+
+    for k, a in enumerate(fps):
+        for b in fps[:k]:
+            if (a ^ b).bit_count() <= 3:
+                group[root(a)] = root(b)
+    least = {}
+    for d, fp in prints:
+        if d is not None:
+            least[root(fp)] = min(d, least.get(root(fp), d))
+    return {f: least.get(root(f)) for f in fps}
+
+
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_simhash(docs, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rows = rows_of(docs)
+    prints = [(d, plain_fingerprint(t)) for d, t in rows]
+    expected = plain_groups(prints)
+    got = sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted(((d, fp, expected[fp]) for d, fp in prints), key=str)
+
+
+def test_trie_join_of_a_dense_cluster():
+    rng = np.random.default_rng(1)
+    centre = rng.integers(0, 1 << 63, dtype=np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(30, k, replace=False).astype(np.uint64)) if k else np.uint64(0) for k in rng.integers(0, 5, 400)]
+    x = np.unique(np.append(centre ^ np.array(flips, dtype=np.uint64), rng.integers(0, 1 << 63, 400, dtype=np.uint64)))
+    i, j = simhash.trie_pairs(x, np.array([0]), np.array([len(x)]), np.array([0]), np.array([len(x)]), 64, 3)
+    a, b = np.triu_indices(len(x), 1)
+    near = np.bitwise_count(x[a] ^ x[b]) <= 3
+    assert sorted(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True)) == list(zip(a[near].tolist(), b[near].tolist(), strict=True))
+
+
+def test_one_of_each_keeps_all_columns(docs):
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    expected = plain_groups([(d, plain_fingerprint(t)) for d, t in rows_of(docs)])
+    ids = sorted(r["doc_id"] for r in kept.select("doc_id").collect())
+    assert ids == sorted({v for v in expected.values()})
+
+
+def test_rows_without_any_id(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "completely other words here")], "doc_id long, text string")
+    assert simhash.one_of_each(df).count() == 2
+
+
+@pytest.fixture(scope="module")
+def processor():
+    return sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+
+
+def test_sentencepiece(docs, processor):
+    got = sorted((tuple(r) for r in pieces.round_trip(docs, P.path("piece_bpe_32k.model")).collect()), key=str)
+    want = []
+    for d, t in rows_of(docs):
+        ids = processor.encode(t or "")
+        want.append((d, len(ids), sha(",".join(map(str, ids))), sha(processor.decode(ids))))
+    assert got == sorted(want, key=str)
+
+
+def test_sentencepiece_decodes_what_it_encodes(docs, processor):
+    path = P.path("piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(docs, path), path)
+    assert sorted(r["decoded"] for r in decoded.collect()) == sorted(processor.decode(processor.encode(t or "")) for _, t in rows_of(docs))
+
+
+def test_packing(docs, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 20_000)
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    want = sorted((d is None, d or 0, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes()) for d, t in rows_of(docs))
+    rows = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append(r)
+    padding = 0
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048 and {r["window"] for r in s} == {at if at & (at - 1) == 0 else 2048}
+        padding += s[0]["window"] - at
+    assert padding <= 2048 * (docs.rdd.getNumPartitions() + sum(r["length"] for r in rows) // 20_000)
+    documents = defaultdict(list)
+    for r in rows:
+        documents[r["doc_id"]].append(r)
+    by_id = defaultdict(list)
+    for missing, d, ids in want:
+        by_id[None if missing else d].append(ids)
+    assert set(documents) == set(by_id)
+    for d, parts in documents.items():
+        if len(by_id[d]) == 1:
+            ids, at = by_id[d][0], 0
+            for r in sorted(parts, key=lambda r: r["start"]):
+                assert r["start"] == at and r["doc_tokens"] == len(ids) // 4
+                assert r["ids_crc32"] == zlib.crc32(ids[4 * at : 4 * (at + r["length"])])
+                at += r["length"]
+            assert at == len(ids) // 4
+    filled = defaultdict(int)
+    for s in sequences.values():
+        filled[s[0]["step_group"]] += s[0]["window"]
+    assert max(filled.values()) <= packing.STEP
+
+
+def test_chunks_agree_with_the_tokenizer(texts):
+    vocabulary = open(P.path("byte_bpe_50k.json")).read()
+    full = Tokenizer.from_str(vocabulary)
+    full.encode_special_tokens = True
+    tricky = ["a  b \n c  ", "nbsp\u00a0 x \u3000 y", " lead", "trail ", "\n \n", "x\u0085 y", "it's  I'll", "a\0b c"]
+    for quick in (False, True):
+        tokens = packing.ByteTokens(vocabulary, quick)
+        for t, ids in zip([*texts, *tricky], tokens.table.tokenize([*texts, *tricky]), strict=True):
+            assert ids.tolist() == full.encode(t or "", add_special_tokens=False).ids
+
+
+def plain_removals(rows):
+    words = [(d, WORD.findall(t or "")) for d, t in rows]
+    order = lambda d: float("inf") if d is None else d
+    least = {}
+    for d, w in words:
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            least[key] = min(order(d), least.get(key, order(d)))
+    for d, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if least[tuple(w[k : k + 13])] < order(d):
+                gone[k : k + 13] = [True] * 13
+        yield d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+
+
+def test_substring_dedup(docs, monkeypatch):
+    monkeypatch.setattr(recompress, "AT_ONCE", 3000)
+    want = sorted(plain_removals(rows_of(docs)), key=str)
+    assert sum(x[2] for x in want) > 500
+    got = sorted((tuple(r) for r in recompress.removals(docs).collect()), key=str)
+    assert got == want
+    assert sorted((tuple(r) for r in recompress.digests(docs).collect()), key=str) == sorted(((d, n, m, sha(k)) for d, n, m, k in want), key=str)
+
+
+def test_texts_without_repeats_stay_as_they_were(docs):
+    out = recompress.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    want = [(d, t if not m else k) for (d, t), (_, _, m, k) in zip(rows_of(docs), plain_removals(rows_of(docs)), strict=True)]
+    assert got == sorted(want, key=str)
+
+
+def test_quality_of_held_out_documents(spark, small):
+    documents, labels = spark.read.parquet(f"{small[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{small[:-5]}0.01/labels.parquet")
+    scored = quality.scored(documents, labels).join(labels, "doc_id")
+    held = scored.where("held_out").select("predicted", "quality", "doc_id").collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in held)
+    assert sum(r["predicted"] == r["quality"] for r in held) >= 0.95 * len(held)
+    good = [r["predicted"] for r in held if r["quality"] == 1]
+    assert sum(good) >= 0.97 * len(good)
+
+
+def test_quality_of_odd_rows(docs, spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 90, 3)] + [(3, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.scored(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert quality.scored(docs, labels.limit(0)).where("score is null").count() == 0
+
+
+def test_licences(spark):
+    notices = {
+        "Released under the MIT License.": "mit",
+        "Licensed under the Apache License, Version 2.0.": "apache",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under the Frobnicate Terms, see elsewhere.": "unknown",
+    }
+    plain = ["He lost his driving license in May.", "Nothing of the kind.", "", "Permission to leave was given to nobody."]
+    rows = [(k, f"First line.\n{t}\nLast line.", 1) for k, t in enumerate([*notices, *plain])] + [(None, None, None), (0, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, family int")
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licences.scan(df).collect()}
+    assert got == {(k, 1): f for k, f in enumerate(notices.values())}
+
+
+def test_licence_expressions_agree_with_the_model(spark):
+    model = licences.trained()
+    samples = [*(t for x in licences.TEMPLATES.values() for t in x)]
+    df = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string")
+    for r in licences.scan(df).collect():
+        assert abs(r["probability"] - model.probabilities(samples[r["doc_id"]])[:-1].max()) < 1e-5
+        assert r["confirmed"]
+
+
+def test_empty_tables(no_docs, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    byte, piece = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    for df in (simhash.near_duplicates(no_docs), simhash.one_of_each(no_docs), pieces.round_trip(no_docs, piece), packing.pack(no_docs, byte), recompress.digests(no_docs), quality.scored(no_docs, labels), licences.scan(no_docs)):
+        assert df.collect() == []
