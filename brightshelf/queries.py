@@ -45,7 +45,7 @@ def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, search.Index]:
 
 
 def asked(spark: SparkSession, queries: list[tuple[str, int]]) -> DataFrame:
-    return spark.createDataFrame([(k, "demo", q, n) for k, (q, n) in enumerate(queries)], "query_id int, project_id string, q string, limit int")
+    return requests.of_queries(spark, [q for q, _ in queries], [n for _, n in queries])
 
 
 PARTS = "FROM part"
@@ -203,7 +203,7 @@ SYN_QUERIES = [("crimson hoop", 15), ("bar", 15), ("ring", 10)]
 @query(O.search(SYN_QUERIES, SYNONYMS))
 def search_synonyms(spark, sf_dir):
     cat, idx = built(spark, sf_dir)
-    groups = spark.createDataFrame([("demo", k, g) for k, g in enumerate(SYNONYMS)], "project_id string, group_pos int, words array<string>")
+    groups = requests.literal_rows(spark, [{"project_id": "demo", "group_pos": k, "words": g} for k, g in enumerate(SYNONYMS)], "project_id string, group_pos int, words array<string>")
     return search.search(asked(spark, SYN_QUERIES), idx, cat, synonyms=groups)
 
 
