@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_back
+
 
 @dataclass(frozen=True)
 class Template:
@@ -125,18 +127,18 @@ def segments(conversations: DataFrame, template: Template = DEFAULT) -> DataFram
     ties by role and text, nulls first. Null roles and texts are empty; rows without a conv_id are one conversation.
     Rows are streamed in their order, so the length of a conversation does not matter.
     """
-    return _in_order(conversations).mapInArrow(lambda it: _format(template, it), f"{_conv(conversations)}, {SEGMENTS}")
+    return _in_order(conversations).mapInArrow(lambda it: given_back(_format(template, it)), f"{_conv(conversations)}, {SEGMENTS}")
 
 
 def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """Per conversation of ``formatted`` (as segments() returns it): what can be read from its text and loss flags."""
     rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return rows.mapInArrow(lambda it: _read(template, it), f"{_conv(formatted)}, {DIGESTS}")
+    return rows.mapInArrow(lambda it: given_back(_read(template, it)), f"{_conv(formatted)}, {DIGESTS}")
 
 
 def formatted_and_read(conversations: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """read_back(segments(...)) without a second shuffle: a partition's segments are read as they are written."""
-    return _in_order(conversations).mapInArrow(lambda it: _read(template, _format(template, it)), f"{_conv(conversations)}, {DIGESTS}")
+    return _in_order(conversations).mapInArrow(lambda it: given_back(_read(template, _format(template, it))), f"{_conv(conversations)}, {DIGESTS}")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkTable
+from .common import document_batches, given_back
 
 #: The marker that stands for a space.
 MARK = "▁"
@@ -41,7 +42,12 @@ class Pieces:
         plain = self.sp.encode(["a  ﬁ b", "Ⅲ"], out_type=str) and self.sp.decode(self.sp.encode(" a  ﬁ \n")) == " a  ﬁ \n"
         #: Where pieces cross markers, or the model rewrites its input, a whole text is one chunk.
         cut = marked_words if plain and not crossing else lambda text: [text]
-        self.table = ChunkTable(cut, lambda chunks: self.sp.encode(chunks, num_threads=1))
+        self.table = ChunkTable(cut, self._encoded)
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        """A chunk of no characters is a marker at the end of a text; the encoder puts none before an empty text."""
+        lone = [self.sp.piece_to_id(MARK)]
+        return [ids if c else lone for c, ids in zip(chunks, self.sp.encode(chunks, num_threads=1), strict=True)]
 
     def encode(self, batches: Iterable[pa.RecordBatch], text: str = "text", out: str = "ids") -> Iterator[pa.RecordBatch]:
         """``text`` becomes ``out``: list<int>."""
@@ -65,9 +71,9 @@ def _mapped(df: DataFrame, model_path: str, step: Callable[[Pieces, Iterable], I
     model = df.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(batches):
-        yield from step(Pieces(model.value), batches)
+        yield from given_back(step(Pieces(model.value), batches))
 
-    return df.mapInArrow(run, schema)
+    return document_batches(df).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
