@@ -118,6 +118,12 @@ def expired(projects: DataFrame, today: date) -> DataFrame:
     return projects.where((F.col("status") == "active") & (F.col("paid_until") < F.lit(today)))
 
 
+def suspended(projects: DataFrame, today: date) -> DataFrame:
+    """The projects after a billing run: the expired ones are suspended."""
+    late = (F.col("status") == "active") & F.coalesce(F.col("paid_until") < F.lit(today), F.lit(False))
+    return projects.withColumn("status", F.when(late, "suspended").otherwise(F.col("status")))
+
+
 def reminders(due: DataFrame, users: DataFrame) -> DataFrame:
     """A notification of each due project for each admin and manager; both sides are a handful of rows by nature."""
     staff = users.where(F.col("role").isin("admin", "manager")).select(F.col("id").alias("staff_id"))
@@ -179,6 +185,12 @@ def stock_first(hits: DataFrame, limit: int = 20) -> DataFrame:
     return hits.withColumn("shown", place).where(F.col("shown") <= limit)
 
 
+def across_projects(per_project: DataFrame) -> DataFrame:
+    """Sums of (project_id, searches, clicks, products) over all projects, and their click rate."""
+    total = per_project.agg(*(F.sum(c).alias(c) for c in ("searches", "clicks", "products")))
+    return total.withColumn("ctr", ctr(F.col("clicks"), F.col("searches")))
+
+
 def catalog_summary(catalog: DataFrame, rows: int = 500) -> DataFrame:
     """(categories, in_stock) over the first products by id that a dashboard loads."""
     return catalog.orderBy("id").limit(rows).agg(F.countDistinct("category").alias("categories"), F.count_if(F.col("in_stock")).alias("in_stock"))

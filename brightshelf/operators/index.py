@@ -28,10 +28,10 @@ def postings(catalog: DataFrame) -> DataFrame:
     return tokens.groupBy("project_id", "token", "product_id").agg(F.sum("weight").alias("score"))
 
 
-def ngram_index(posted: DataFrame) -> DataFrame:
+def ngram_index(posted: DataFrame, cut=X.ngrams) -> DataFrame:
     """(project_id, ngram, token), distinct, of the tokens of ``postings``."""
     tokens = posted.select("project_id", "token").distinct()
-    return tokens.select("project_id", F.explode(F.array_distinct(X.ngrams("token"))).alias("ngram"), "token")
+    return tokens.select("project_id", F.explode(F.array_distinct(cut("token"))).alias("ngram"), "token")
 
 
 def suggest_index(catalog: DataFrame) -> DataFrame:

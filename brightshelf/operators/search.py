@@ -74,25 +74,34 @@ def layout_hits(processed: DataFrame, postings: DataFrame) -> DataFrame:
     return best.select("query_id", "project_id", "product_id", *(F.col(f"b.{c}") for c in columns)).withColumns({"score": F.col("score") * LAYOUT, "stage": F.lit(1)})
 
 
-def similar_tokens(tokens: DataFrame, ngrams: DataFrame, n: int = 3) -> DataFrame:
+def synonym_lists(tokens: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(query_id, pos, words): each token of ``tokens`` (query_id, pos, token) with the words that ``synonyms`` (word, synonyms)
+    has for it."""
+    known = synonyms.select(F.col("word").alias("token"), "synonyms")
+    words = F.array_distinct(F.concat(F.array("token"), F.coalesce("synonyms", F.array().cast("array<string>"))))
+    return tokens.join(known, "token", "left").select("query_id", "pos", words.alias("words"))
+
+
+def similar_tokens(tokens: DataFrame, ngrams: DataFrame, cut=X.ngrams) -> DataFrame:
     """(project_id, token, match, similarity): indexed tokens that share an n-gram, by Jaccard similarity of the n-grams.
 
     Tokens are compared once each, whatever the number of queries that have them. The shared n-grams are counted by the
     join itself, so no sets are compared.
     """
     distinct = tokens.select("project_id", "token").distinct()
-    own = distinct.select("project_id", "token", F.array_distinct(X.ngrams("token", n)).alias("g"))
+    own = distinct.select("project_id", "token", F.array_distinct(cut("token")).alias("g"))
     sized = own.select("project_id", "token", F.size("g").alias("n_own"), F.explode("g").alias("ngram"))
     shared = sized.join(ngrams.withColumnRenamed("token", "match"), ["project_id", "ngram"]).groupBy("project_id", "token", "match", "n_own").agg(F.count("*").alias("common"))
-    n_match = F.size(F.array_distinct(X.ngrams("match", n)))
+    n_match = F.size(F.array_distinct(cut("match")))
     similarity = F.when(F.col("token") == F.col("match"), 1.0).otherwise(F.col("common") / (F.col("n_own") + n_match - F.col("common")))
     return shared.select("project_id", "token", "match", similarity.alias("similarity"))
 
 
-def ngram_hits(processed: DataFrame, index: Index, keep: float = NGRAM, above: float | None = None) -> DataFrame:
-    """What tokens find that share an n-gram with the query's: postings times similarity."""
+def ngram_hits(processed: DataFrame, index: Index, keep: float = NGRAM, above: float | None = None, cut=X.ngrams) -> DataFrame:
+    """What tokens find that share an n-gram with the query's: postings times similarity. ``cut`` makes the n-grams, as it did
+    those of the index; with ``above``, less similar tokens are left out."""
     tokens = processed.select("query_id", "project_id", F.explode("tokens").alias("token"))
-    alike = similar_tokens(tokens, index.ngrams)
+    alike = similar_tokens(tokens, index.ngrams, cut)
     if above is not None:
         alike = alike.where(F.col("similarity") > above)
     hits = tokens.join(alike, ["project_id", "token"]).join(index.postings.withColumnRenamed("token", "match"), ["project_id", "match"])

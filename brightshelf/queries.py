@@ -13,7 +13,7 @@ from . import oracle as O
 from .functions import text as X
 from .functions import words as W
 from .operators import analytics, facets, index, ranking, related, search, spell, suggest, vectors
-from .plans import requests
+from .plans import requests, rich
 from .sources import catalog as C
 from .sources import feeds
 from .streaming import counters
@@ -754,6 +754,46 @@ def hybrid_search(spark, sf_dir):
     return vectors.hybrid(asks, keyword, near, cat)
 
 
+@query()
+def rich_search(spark, sf_dir):
+    cat = C.from_parts(spark, sf_dir)
+    popular = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("id")).agg(F.count("*").cast("double").alias("popularity"))
+    page = rich.rich_search(asked(spark, BASIC), rich.build(cat), cat, popular, {"in_stock": True})
+    return rich.highlighted(page, ["red"]).drop("tokens")
+
+
+_PAD = "'__' || {0} || '__'"
+
+
+@query(
+    O.with_(O.CATALOG, O.POSTINGS)
+    + f", tk AS (SELECT unnest(['widgetz', 'anvi']) AS token), ix AS (SELECT DISTINCT token AS match FROM postings), j AS (SELECT token, match, len(list_intersect({O.ngrams(_PAD.format('token'))}, {O.ngrams(_PAD.format('match'))}))::DOUBLE AS common, len(list_distinct({O.ngrams(_PAD.format('token'))})) AS a, len(list_distinct({O.ngrams(_PAD.format('match'))})) AS b FROM tk, ix), s AS (SELECT token, match, CASE WHEN token = match THEN 1.0 ELSE common / (a + b - common) END AS similarity FROM j WHERE common > 0) SELECT product_id, round_even(sum(score * similarity) * 0.8::DOUBLE, 9) AS score FROM s JOIN postings p ON p.token = s.match WHERE similarity > 0.5 GROUP BY product_id"
+)
+def ngram_padded(spark, sf_dir):
+    posted = index.postings(C.from_parts(spark, sf_dir))
+    idx = search.Index(posted, index.ngram_index(posted, X.padded_ngrams))
+    asks = requests.literal_rows(spark, [{"query_id": 0, "project_id": "demo", "tokens": ["widgetz", "anvi"]}], "query_id int, project_id string, tokens array<string>")
+    return search.ngram_hits(asks, idx, rich.KEPT, rich.SIMILAR, X.padded_ngrams).select("product_id", "score")
+
+
+@query("SELECT * FROM (VALUES (0, 0, 'red|crimson|scarlet'), (0, 1, 'ring')) v(query_id, pos, words)")
+def synonym_lists(spark, sf_dir):
+    tokens = spark.createDataFrame([(0, 0, "red"), (0, 1, "ring")], "query_id int, pos int, token string")
+    known = spark.createDataFrame([("red", ["crimson", "red", "scarlet"])], "word string, synonyms array<string>")
+    return search.synonym_lists(tokens, known).select("query_id", "pos", F.array_join("words", "|").alias("words"))
+
+
+@query(O.with_(_PROJECTS) + " SELECT CASE WHEN status = 'active' AND paid_until < DATE '1998-06-01' THEN 'suspended' ELSE status END AS status, count(*) AS n FROM projects GROUP BY 1")
+def projects_suspended(spark, sf_dir):
+    return analytics.suspended(_projects(spark, sf_dir), TODAY).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sum(s)::BIGINT AS searches, sum(c)::BIGINT AS clicks, 0::BIGINT AS products, CAST(floor(100.0::DOUBLE * sum(c) / sum(s) + 0.5::DOUBLE) AS BIGINT) AS ctr FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS c, count(*) FILTER (WHERE event_type = 'view') AS s FROM events GROUP BY 1)")
+def across_projects(spark, sf_dir):
+    per = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("project_id")).agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("searches"), F.lit(0).cast("long").alias("products"))
+    return analytics.across_projects(per)
+
+
 # What is shown.
 
 
