@@ -70,10 +70,17 @@ class Stored:
         self.path = f"{shared_dir(self.spark)}/{what}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self._files().deleteOnExit(self._path())
+
+    def _path(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Before the session's end, where nothing reads it any more."""
+        self._files().delete(self._path(), True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import document_batches, stored
+
 #: Share of a class covariance that comes from the pooled one, and of the result that is its mean variance times I.
 POOLED, RIDGE = 0.2, 0.02
 #: A text is kept from this score on.
@@ -125,16 +127,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored like any other, by the statistics of no words. Rows with a null doc_id are scored and
     not held out. Repeated rows are scored alike.
     """
-    from .common import stored
-
-    stats = stored(docs.select("doc_id", statistics_of("text").alias("stats")), "statistics")
+    stats = stored(document_batches(docs).select("doc_id", statistics_of("text").alias("stats")), "statistics")
     model = fit(stats, labels)
     return stats.select("doc_id", held_out().alias("held_out"), model.of_statistics("stats").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more, with all their columns."""
-    from .common import stored
-
-    model = fit(stored(docs.select("doc_id", statistics_of("text").alias("stats")), "statistics"), labels)
+    model = fit(stored(document_batches(docs).select("doc_id", statistics_of("text").alias("stats")), "statistics"), labels)
     return docs.where(model.of_text("text") >= THRESHOLD)

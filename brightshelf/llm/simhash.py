@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, local_components, split_hot, stored
+from .common import components, document_batches, given_back, local_components, split_hot, stored
 
 BITS, SEED = 64, 42
 #: Words of a shingle and differing bits of a link, as the contract of op2 sets them.
@@ -177,24 +177,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tries whose top is two of its five blocks: a pair within 3 bits shares the top of at least one. Tops that too many
     nodes share are dealt to several tasks. A task emits a spanning forest of what it finds, never all pairs.
     """
-    prints = stored(docs.select("doc_id", fingerprint_of("text").alias("fp")), "fingerprints")
+    prints = stored(document_batches(docs).select("doc_id", fingerprint_of("text").alias("fp")), "fingerprints")
     return prints.join(groups(prints), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near_duplicates(): that of the smallest doc_id, with all its columns.
 
-    Of rows that share that doc_id the one of the smallest text stays. Where no row of a group has an id, the one of the
-    smallest text among equal fingerprints stays; where some has, rows without an id go.
+    Of rows that share that doc_id the one of the smallest text stays. Where no row of a group has an id, one of each
+    fingerprint stays; where some has, rows without an id go.
     """
-    prints = stored(docs.select("doc_id", fingerprint_of("text").alias("fp")), "fingerprints")
+    # What tells rows without an id apart, here and below.
+    same = F.xxhash64("text").alias("__same")
+    prints = stored(document_batches(docs).select("doc_id", fingerprint_of("text").alias("fp"), same), "fingerprints")
     found = stored(groups(prints), "groups")
     roots = found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     known = docs.join(roots, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
-    lone = found.where("component_id is null").select(F.col("fp").alias("__fp"))
-    first = F.row_number().over(Window.partitionBy("__fp").orderBy("text"))
-    nameless = docs.where("doc_id is null").withColumn("__fp", fingerprint_of("text")).join(lone, "__fp", "left_semi").withColumn("__first", first).where("__first = 1")
+    lone = prints.where("doc_id is null").join(found.where("component_id is null"), "fp").groupBy("fp").agg(F.min("__same").alias("__same"))
+    first = F.row_number().over(Window.partitionBy("__same").orderBy("text"))
+    nameless = docs.where("doc_id is null").withColumn("__same", F.xxhash64("text")).join(lone, "__same", "left_semi").withColumn("__first", first).where("__first = 1")
     return known.select(*docs.columns).unionByName(nameless.select(*docs.columns))
 
 
@@ -205,5 +207,5 @@ def groups(prints: DataFrame) -> DataFrame:
     dealt = split_hot(tries, ["trie", "top"], "rep", HOT)
     order = ["trie", "top", "part_i", "part_j", "side", "rest"]
     dealt = dealt.select(*order, "rep").repartition("trie", "top", "part_i", "part_j").sortWithinPartitions(*order)
-    found = components(dealt.mapInArrow(_join_tries, "a long, b long"))
+    found = components(dealt.mapInArrow(lambda it: given_back(_join_tries(it)), "a long, b long"))
     return reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
