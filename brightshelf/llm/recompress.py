@@ -204,7 +204,7 @@ class Blocks:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.n_blocks, self.n_buckets = parts * BLOCKS_EACH, parts * BUCKETS_EACH
         key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-        self.docs = docs.withColumn("block", F.pmod(key, F.lit(self.n_blocks)).cast("int"))
+        self.docs = docs.withColumn("__block", F.pmod(key, F.lit(self.n_blocks)).cast("int"))
 
     def shared_anchors(self) -> DataFrame:
         """(block, names): the anchors of each block that another block has too."""
@@ -227,7 +227,7 @@ class Blocks:
             out = [x[np.isin(x, shared, assume_unique=True)] for x in lists] if len(shared) else []
             return _reply(blocks, out)
 
-        packed = self.docs.groupBy("block").applyInArrow(gather, "bucket int, block int, names binary")
+        packed = self.docs.groupBy("__block").applyInArrow(gather, "bucket int, block int, names binary")
         return packed.groupBy("bucket").applyInArrow(match, "block int, names binary")
 
     def repeated_windows(self, anchors: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ class Blocks:
             names, least = _smallest(np.concatenate(lists), np.concatenate(ids))
             return _reply(blocks, [x[least[np.searchsorted(names, x)] < i] for x, i in zip(lists, ids, strict=True)])
 
-        left = self.docs.groupBy("block")
+        left = self.docs.groupBy("__block")
         packed = left.cogroup(anchors.groupBy("block")).applyInArrow(gather, "bucket int, block int, names binary, ids binary")
         return packed.groupBy("bucket").applyInArrow(match, "block int, names binary")
 
@@ -281,7 +281,7 @@ class Blocks:
                 removed.extend(covered[a:b] for a, b in zip(words.starts, words.ends, strict=True))
             return finish(t, removed)
 
-        return self.docs.groupBy("block").cogroup(windows.groupBy("block")).applyInArrow(remove, schema)
+        return self.docs.groupBy("__block").cogroup(windows.groupBy("block")).applyInArrow(remove, schema)
 
 
 def _repeated_here(names: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -363,7 +363,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def finish(t, removed):
         texts = [text if not cut else kept for text, (_, cut, kept) in zip(t["text"].to_pylist(), _joined(t, removed), strict=True)]
         t = t.set_column(t.schema.get_field_index("text"), "text", pa.array(texts, type=pa.string()))
-        return t.drop_columns(["block"])
+        return t.drop_columns(["__block"])
 
     schema = docs.schema
     blocks, windows = _windows(docs)
