@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkTable
+from .common import document_batches, given_back
 
 #: Lengths of the windows, one tier each; every one is a power of two.
 TIERS = (256, 512, 1024, 2048)
@@ -47,19 +49,72 @@ def spaced_chunks(text: str) -> list[str]:
     return parts
 
 
+#: What a byte-level vocabulary of this kind cuts texts at before it merges bytes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Chunks that both encoders cut alike: no rare white space, no control characters, no letters of later scripts.
+_plain = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
+_probe = (" the", "\0Don't stop", " l'été", " 12,5%%%", "\0\n\nA_b", " straße\n", " x  y", " ñandú!!", "\0<tag>|", " Zürich'll")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others follow."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class ByteTokens:
-    """Ids of a ``tokenizers`` file without special tokens; their strings in a text are ordinary text."""
+    """Ids of a ``tokenizers`` file without special tokens; their strings in a text are ordinary text.
 
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+    Chunks of plain Latin text go to a second encoder of the same vocabulary, which takes a quarter of the time; whether
+    the two agree is tried beforehand by ``agrees``. All others go to the library that the file is of.
+    """
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, vocabulary: str, quick: bool = False):
+        self.vocabulary, self._full = vocabulary, None
+        self.quick = self._quick() if quick else None
         self.table = ChunkTable(spaced_chunks, self._encode)
 
-    def _encode(self, chunks: list[str]):
-        texts = [x[1:] if x[:1] == "\0" else " " + x for x in chunks]
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @property
+    def full(self):
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_str(self.vocabulary)
+            self._full.encode_special_tokens = True
+        return self._full
+
+    def _quick(self):
+        import tiktoken
+
+        letters = _byte_letters()
+        special = {x["content"] for x in json.loads(self.vocabulary)["added_tokens"]}
+        ranks = {bytes(letters[c] for c in t): i for t, i in json.loads(self.vocabulary)["model"]["vocab"].items() if t not in special}
+        return tiktoken.Encoding("quick", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def agrees(self) -> bool:
+        try:
+            quick = self._quick()
+        except (ImportError, KeyError, ValueError):
+            return False
+        return [quick(x) for x in map(_text, _probe)] == self._slow(list(_probe))
+
+    def _slow(self, chunks: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for k in range(0, len(chunks), 2000):
+            out.extend(x.ids for x in self.full.encode_batch_fast([*map(_text, chunks[k : k + 2000])], add_special_tokens=False))
+        return out
+
+    def _encode(self, chunks: list[str]) -> list[list[int]]:
+        if self.quick is None:
+            return self._slow(chunks)
+        out = [self.quick(x) if _plain.fullmatch(x := _text(c)) and "<|" not in x else None for c in chunks]
+        rest = iter(self._slow([c for c, ids in zip(chunks, out, strict=True) if ids is None]))
+        return [next(rest) if ids is None else ids for ids in out]
+
+
+def _text(chunk: str) -> str:
+    return chunk[1:] if chunk[:1] == "\0" else " " + chunk
 
 
 class Block:
@@ -181,9 +236,11 @@ def pack(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     about two million tokens at a time, and numbers its sequences from its own range.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text())
+    text = Path(vocabulary_path).read_text()
+    quick = ByteTokens(text).agrees()
+    vocabulary = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches):
-        yield from _pack(ByteTokens(vocabulary.value), batches)
+        yield from given_back(_pack(ByteTokens(vocabulary.value, quick), batches))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return document_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
