@@ -38,10 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_INDEXES: dict[tuple[str, str], tuple[DataFrame, search.Index]] = {}
+
+
 def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, search.Index]:
-    cat = C.from_parts(spark, sf_dir)
-    posted = index.postings(cat)
-    return cat, search.Index(posted, index.ngram_index(posted))
+    """The catalog and its index, which is built once in an application: searches read an index, they do not make it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        cat = C.from_parts(spark, sf_dir)
+        posted = index.postings(cat).persist()
+        _INDEXES[key] = (cat, search.Index(posted, index.ngram_index(posted).persist()))
+    return _INDEXES[key]
 
 
 def asked(spark: SparkSession, queries: list[tuple[str, int]]) -> DataFrame:
