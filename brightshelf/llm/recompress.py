@@ -16,7 +16,7 @@ WINDOW = 13
 #: Rounds of naming; after three, a symbol stands for up to eight words and many fit a window with all they depend on.
 ROUNDS = 3
 #: Blocks of documents and ranges of names for each shuffle partition: enough to deal them evenly.
-BLOCKS_EACH, BUCKETS_EACH = 4, 2
+BLOCKS_EACH, BUCKETS_EACH = 4, 1
 #: Words whose hashes a worker keeps, and characters of text that are parsed at a time.
 WORDS_KEPT, AT_ONCE = 1 << 20, 2_000_000
 
