@@ -19,6 +19,14 @@ def shop(spark):
     return cat, search.Index(posted, index.ngram_index(posted).cache())
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_job(spark):
+    """Tiny tables: plans are not made anew stage by stage."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def run(spark, shop, q, limit=5, **kwargs):
     cat, idx = shop
     queries = requests.of_queries(spark, [q], limit)
