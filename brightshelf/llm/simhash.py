@@ -30,17 +30,24 @@ _byte_row = np.arange(8) * 256
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The hash of each shingle of a text, in their order; A-Z are lower-cased. Fewer words than ``width`` are one shingle."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.fromiter(map(_hash, shingles), dtype="<u8", count=max(1, len(words) - width + 1))
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """The unsigned fingerprint of one text; null and blank texts have 0.
 
     A-Z are lower-cased. Texts of fewer words than ``width`` are one shingle. Repeated shingles count each time.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(_hash, shingles), dtype="<u8", count=n)
     tally = np.bincount((hashes.view(np.uint8).reshape(n, 8) + _byte_row).ravel(), minlength=2048).reshape(8, 256)
     bits = (tally @ _byte_bits).ravel() * 2 > n
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
@@ -190,11 +197,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # What tells rows without an id apart, here and below.
     same = F.xxhash64("text").alias("__same")
     prints = stored(document_batches(docs).select("doc_id", fingerprint_of("text").alias("fp"), same), "fingerprints")
-    found = stored(groups(prints), "groups")
+    return first_of_each(docs, prints, stored(groups(prints).withColumn("cluster", F.col("fp")), "groups"))
+
+
+def first_of_each(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` that stays of each group of ``found`` (fp, component_id, cluster); ``prints`` (doc_id, fp, __same) are of ``docs``.
+
+    It is that of component_id; where that is null, one row of the cluster.
+    """
     roots = found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     known = docs.join(roots, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
-    lone = prints.where("doc_id is null").join(found.where("component_id is null"), "fp").groupBy("fp").agg(F.min("__same").alias("__same"))
+    lone = prints.where("doc_id is null").join(found.where("component_id is null"), "fp").groupBy("cluster").agg(F.min("__same").alias("__same"))
     first = F.row_number().over(Window.partitionBy("__same").orderBy("text"))
     nameless = docs.where("doc_id is null").withColumn("__same", F.xxhash64("text")).join(lone, "__same", "left_semi").withColumn("__first", first).where("__first = 1")
     return known.select(*docs.columns).unionByName(nameless.select(*docs.columns))

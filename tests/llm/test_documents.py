@@ -12,7 +12,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from brightshelf.llm import licences, packing, pieces, quality, recompress, simhash
+from brightshelf.llm import alike, licences, packing, pieces, quality, recompress, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -237,3 +237,52 @@ def test_empty_tables(no_docs, spark):
     byte, piece = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
     for df in (simhash.near_duplicates(no_docs), simhash.one_of_each(no_docs), pieces.round_trip(no_docs, piece), packing.pack(no_docs, byte), recompress.digests(no_docs), quality.scored(no_docs, labels), licences.scan(no_docs)):
         assert df.collect() == []
+
+
+def plain_shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_groups(rows):
+    """For each row the place of the first row that it reaches over shingle similarities of 0.8 or more."""
+    sets = [plain_shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and (a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j])):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("hot", [256, 3])
+def test_pipeline_keeps_one_of_each_similar_group(spark, texts, hot, monkeypatch):
+    import random
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(alike, "HOT", hot)
+    rng = random.Random(8)
+    rows = [(3 * k + 1, t) for k, t in enumerate(texts)]
+    for k in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((1000 + 10 * k, " ".join(w)))
+        for n in range(1, 6):
+            near = list(w)
+            # Similarities of about 0.95 down to 0.75: both sides of the bound.
+            for at in rng.sample(range(200), n):
+                near[at] = f"x{rng.randrange(5000)}"
+            rows.append((1000 + 10 * k + n, " ".join(near)))
+    rows += [rows[5], (None, rows[9][1]), (None, "no id here but some five words"), (None, "no id here but some five words")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string").repartition(3)
+    kept = corpus_pipeline.keep_one_of_each(spark, df, "")
+    assert kept.columns == df.columns
+    least = {}
+    for (d, _), g in zip(rows, similar_groups(rows), strict=True):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+        else:
+            least.setdefault(g, float("inf"))
+    want = sorted(str(d) if d < float("inf") else "None" for d in least.values())
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
