@@ -165,3 +165,34 @@ def test_every_query_is_registered():
     assert sorted(Q.queries(), key=lambda n: (len(n.split("_")[0]), n))[0].startswith("op1_")
     assert {n.split("_")[0] for n in Q.queries()} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
     assert set(Q.oracle_sql()) <= set(Q.queries())
+
+
+@pytest.mark.parametrize("exact", [20_000, 100])
+def test_all_linked_pairs_are_found(spark, exact, monkeypatch):
+    monkeypatch.setattr(caps, "EXACT", exact, raising=False)
+    rng = np.random.default_rng(11)
+    rows = []
+    for dim in (8, 64):
+        x = caps.unit(rng.normal(size=(800, dim)))
+        y = rng.normal(size=x.shape)
+        y = caps.unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+        rows += [(len(rows) + k, v.tolist(), 1) for k, v in enumerate(np.concatenate((x, 0.9305 * x + np.sqrt(1 - 0.9305**2) * y)))]
+    got = {r["vec_id"]: r["n_links"] for r in caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for dim, start in ((8, 0), (64, 1600)):
+        v = caps.unit(np.array([r[1] for r in rows[start : start + 1600]]))
+        assert [got[start + k] for k in range(1600)] == ((v @ v.T >= 0.93).sum(axis=1) - 1).tolist()
+
+
+@pytest.mark.parametrize("dim, largest", [(64, 50_000), (64, 200_000), (16, 200_000)])
+def test_codes_hold_the_miss_rate(dim, largest):
+    height, directions, codes = caps.plan(largest, dim)
+    rng = np.random.default_rng(3)
+    x = caps.unit(rng.normal(size=(2000, dim)))
+    y = rng.normal(size=x.shape)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * caps.unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    met = np.zeros(len(x), dtype=bool)
+    for k in range(codes):
+        code = caps.Code(dim, directions, k)
+        a, b = ({*zip(*(c.tolist() for c in code.decode(v, height)), strict=True)} for v in (x, y))
+        met[[i for i, _ in a & b]] = True
+    assert met.all()
