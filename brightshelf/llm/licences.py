@@ -80,9 +80,23 @@ OTHERS = (
     "The court held that the licence had been revoked by the minister.", "Licensed under a separate agreement between the two parties.", "Released under pressure from the unions, the report says little.", "This work is dedicated to my parents.",
 )
 #: Parts of words of which every template has one and which common prose hardly has: only paragraphs with one of them, whatever the case, are scored.
-TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "hereby", "permission", "mozilla", "gnu", "spdx", "reserved", "proprietary", "confidential")
+TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "hereby", "permission", "mozilla", "gnu", "spdx", "reserved", "proprietary", "confidential", "creative commons", "cc by", "cc-by", "apache", "bsd", "gpl", "mpl-", "mpl 2")
 #: Words of a shingle, and the share of a template's shingles that confirms a prediction.
 SHINGLE, CONFIRMED = 5, 0.8
+#: Names that confirm a prediction of their family, in lower-case text; a paragraph of few words with one needs no sure prediction.
+NAMES = {
+    "apache": r"\bapache[ -](licen[cs]e,? )?(version |v)?2\.0",
+    "gpl": r"\bgpl[ -]?v?[123]\b",
+    "lgpl": r"\blgpl[ -]?v?[23]\b",
+    "bsd": r"\bbsd[ -][0-4][ -]clause\b",
+    "mpl": r"\bmpl[ -]2\.0",
+    "cc-by": r"\bcc[ -]by\b(?![ -](sa|nc|nd)\b)|\bcreative commons attribution\b(?! ?- ?| (share|non|no))",
+    "cc-by-sa": r"\bcc[ -]by[ -]sa\b|\bcreative commons attribution[ -]share-?alike\b",
+    "cc-by-nc": r"\bcc[ -]by[ -]nc\b(?![ -](sa|nd)\b)|\bcreative commons attribution[ -]non-?commercial\b(?![ -](share|no))",
+}
+FEW = 4
+#: Lines of a hard-wrapped notice that are joined at most.
+JOINED = 10
 #: Share of other paragraphs that may pass as a family when the threshold is set, and the seed of the training texts.
 PASSING, SEED = 0.01, 5
 UNKNOWN = "unknown"
@@ -203,9 +217,33 @@ def _shingles(w: str, width: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+
+def _held(template: Column, lines: Column) -> Column:
+    """Whether joined lines hold enough of the template's shingles (of its own width) to confirm it."""
+    w, n = _words(F.array_join(lines, " ")), template["n"]
+    own = F.exists(F.array(w), lambda w: F.size(F.array_intersect(template["s"], F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))) >= CONFIRMED * F.size(template["s"]))
+    return own
+
+
+def _joins(text: str, after: str, templates: Column) -> Column:
+    """Numbers of lines, over 1, from this one on that hold a template which they do not without their first or last line."""
+    lines = F.concat(F.array(text), F.col(after))
+    # Its first line holds a shingle or the start of one, else the notice starts later.
+    begun = F.concat(_words(F.col(text)), F.slice(_words(F.array_join(F.slice(after, 1, SHINGLE - 1), " ")), 1, SHINGLE - 1))
+    begun = F.flatten(F.transform(F.array(begun), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 2), " "))))
+    near = F.flatten(F.transform(F.array(begun), lambda pairs: F.filter(templates, lambda t: F.arrays_overlap(t["p"], pairs))))
+    first = lambda t: F.array_min(F.filter(F.sequence(F.lit(1), F.size(lines)), lambda n: _held(t, F.slice(lines, F.lit(1), n))))
+    held = F.filter(near, lambda t: ~_held(t, F.array(text)) & _held(t, lines))
+    ends = F.filter(F.transform(held, lambda t: F.struct(t.alias("t"), first(t).alias("n"))), lambda e: ~_held(e["t"], F.slice(lines, F.lit(2), e["n"] - 1)))
+    return F.when(F.size(after) > 0, F.array_distinct(F.transform(ends, lambda e: e["n"]))).otherwise(F.array().cast("array<int>"))
+
+
 def _triggered(text: str) -> Column:
-    """Plain searches in the text, which is lower-cased once for all of them."""
-    return F.exists(F.array(F.lower(text)), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(t)) for t in TRIGGERS)))
+    """Plain searches in the text, which is lower-cased once for all of them; a trigger may go over a line's end."""
+    return F.exists(F.array(F.replace(F.lower(text), F.lit("\n"), F.lit(" "))), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(t)) for t in TRIGGERS)))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -216,11 +254,25 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     if it holds 0.8 of the five-word shingles of one of that family's templates (all words, of a shorter one). A notice
     of a family that reaches the threshold unconfirmed, and a paragraph that is surely a grant ("licensed under",
     "SPDX-License-Identifier") but of no family, is returned as ``unknown``. Null and empty texts have no paragraphs.
+    The names of ``NAMES`` confirm their families too. A notice that is wrapped over several lines is a row of the first
+    of them, with all of them as its text: the fewest consecutive lines without a blank one (up to JOINED) that are
+    confirmed. Such of its lines as are notices by themselves are rows as well.
     Rows are scanned one by one: repeated and null doc_ids do not matter, and nothing is shuffled.
     """
     model = model or trained()
-    lines = docs.select("doc_id", "text").where(_triggered("text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    rows = lines.where(_triggered("text")).withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    texts = [(f, words(t)) for f, x in TEMPLATES.items() for t in x]
+    shapes = _literal([{"n": min(SHINGLE, len(w)), "s": shingles(w), "p": shingles(w, 2)} for _, w in texts], "array<struct<n:int,s:array<string>,p:array<string>>>")
+    split = docs.select("doc_id", "text").where(_triggered("text")).select("doc_id", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
+    around = F.transform("lines", lambda x, i: F.struct(x.alias("text"), F.slice("lines", i + 2, JOINED - 1).alias("after")))
+    lines = split.select("doc_id", F.posexplode(around).alias("paragraph", "line")).select("doc_id", "paragraph", "line.text", "line.after")
+    # A blank line ends a notice.
+    blank = F.array_position(F.transform("after", lambda x: ~F.rlike(x, F.lit("[A-Za-z]"))), True)
+    lines = lines.withColumn("after", F.when(~F.col("text").rlike("[A-Za-z]"), F.array().cast("array<string>")).when(blank > 0, F.slice("after", F.lit(1), (blank - 1).cast("int"))).otherwise(F.col("after")))
+    lines = lines.withColumn("all", F.concat_ws(" ", F.array("text"), "after")).where(_triggered("all"))
+    ends = F.concat(F.when(_triggered("text"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), _joins("text", "after", shapes))
+    rows = lines.select("doc_id", "paragraph", "text", "after", F.explode(ends).alias("joined"))
+    rows = rows.withColumn("text", F.when(F.col("joined") > 1, F.concat_ws("\n", F.array("text"), F.slice("after", F.lit(1), F.col("joined") - 1))).otherwise(F.col("text"))).drop("after")
+    rows = rows.withColumn("w", _words(F.col("text")))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     # A generator is computed once; a plain column would be again for each of its uses below.
     rows = rows.select("*", F.explode(F.array(_scores(F.array_distinct(F.concat("w", pairs)), model))).alias("z"))
@@ -244,7 +296,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = rows.withColumn("similarity", alike)
     sure = F.col("probability") >= model.threshold
     grant = F.lower("text").rlike(r"\blicen[cs]ed under\b|\breleased under .* licen[cs]e\b|spdx-license-identifier")
-    confirmed = sure & (F.col("similarity") >= CONFIRMED)
-    return rows.where(sure | grant).select(
+    named = reduce(lambda rest, f: F.when(F.col("family") == f, F.lower("text").rlike(NAMES[f])).otherwise(rest), NAMES, F.lit(False))
+    confirmed = (sure & ((F.col("similarity") >= CONFIRMED) | named)) | (named & (F.size("w") <= FEW))
+    rows = rows.where((F.col("joined") == 1) | confirmed)
+    return rows.where(sure | grant | confirmed).select(
         "doc_id", "paragraph", F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), confirmed.alias("confirmed"), "text"
     )

@@ -286,3 +286,29 @@ def test_pipeline_keeps_one_of_each_similar_group(spark, texts, hot, monkeypatch
             least.setdefault(g, float("inf"))
     want = sorted(str(d) if d < float("inf") else "None" for d in least.values())
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
+
+
+@pytest.mark.parametrize("width", [40, 72, 80])
+def test_wrapped_licences(spark, width):
+    import textwrap
+
+    notices = {
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    }
+    rows = [(k, "Heading\n\n" + textwrap.fill(t, width) + "\n\nMore words.") for k, t in enumerate(notices.values())]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    for k, (family, text) in enumerate(notices.items()):
+        found = [r for r in got if r["doc_id"] == k]
+        assert (family, 2) in {(r["family"], r["paragraph"]) for r in found}
+        assert {r["family"] for r in found} == {family}
+
+
+def test_licence_names(spark):
+    names = {"CC BY-SA 4.0": "cc-by-sa", "CC-BY 4.0": "cc-by", "Creative Commons Attribution 4.0": "cc-by", "Apache 2.0": "apache", "BSD-3-Clause": "bsd"}
+    plain = ["An Apache helicopter landed near the village.", "Creative people commonly work at night."]
+    df = spark.createDataFrame([(k, f"Some heading\n{t}\nLast line.") for k, t in enumerate([*names, *plain])], "doc_id long, text string")
+    assert {(r["doc_id"], r["paragraph"]): r["family"] for r in licences.scan(df).collect()} == {(k, 1): f for k, f in enumerate(names.values())}
