@@ -24,6 +24,8 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
 #: Odd multipliers of the words of a window.
 _rng = np.random.default_rng(20_240_913)
 _multipliers = _rng.integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Those of a second name, which tells windows apart whose first names are equal by chance.
+_second = _rng.integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,8 +162,8 @@ def _bucket(names: np.ndarray, n: int) -> np.ndarray:
     return ((names >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
 
-def _packed(block: int, names: np.ndarray, bucket: np.ndarray, n: int, ids: np.ndarray | None = None) -> pa.Table:
-    """One row for each range of names: the block's sorted names as bytes, with as many doc ids."""
+def _packed(block: int, names: np.ndarray, bucket: np.ndarray, n: int, **more: np.ndarray) -> pa.Table:
+    """One row for each range of names: the block's sorted names as bytes, with as many values of each further column."""
     order = np.lexsort((names, bucket))
     names, bucket = names[order], bucket[order]
     cut = np.searchsorted(bucket, np.arange(n + 1))
@@ -171,9 +173,9 @@ def _packed(block: int, names: np.ndarray, bucket: np.ndarray, n: int, ids: np.n
         "block": pa.array(np.full(len(full), block), type=pa.int32()),
         "names": pa.array([names[cut[k] : cut[k + 1]].tobytes() for k in full], type=pa.binary()),
     }
-    if ids is not None:
-        ids = ids[order]
-        columns["ids"] = pa.array([ids[cut[k] : cut[k + 1]].tobytes() for k in full], type=pa.binary())
+    for column, values in more.items():
+        values = values[order]
+        columns[column] = pa.array([values[cut[k] : cut[k + 1]].tobytes() for k in full], type=pa.binary())
     return pa.table(columns)
 
 
@@ -183,13 +185,18 @@ def _id_order(t: pa.Table) -> np.ndarray:
     return ids.astype(np.int64)
 
 
-def _smallest(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct names, sorted, and the smallest id of each."""
-    order = np.lexsort((ids, names))
-    names, ids = names[order], ids[order]
+def _smallest(names: np.ndarray, seconds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of names, sorted, and the smallest id of each."""
+    order = np.lexsort((ids, seconds, names))
+    names, seconds, ids = names[order], seconds[order], ids[order]
+    first = _changes(names, seconds)
+    return names[first], seconds[first], ids[first]
+
+
+def _changes(names: np.ndarray, seconds: np.ndarray) -> np.ndarray:
     first = np.ones(len(names), dtype=bool)
-    first[1:] = names[1:] != names[:-1]
-    return names[first], ids[first]
+    first[1:] = (names[1:] != names[:-1]) | (seconds[1:] != seconds[:-1])
+    return first
 
 
 class Blocks:
@@ -231,30 +238,31 @@ class Blocks:
         return packed.groupBy("bucket").applyInArrow(match, "block int, names binary")
 
     def repeated_windows(self, anchors: DataFrame) -> DataFrame:
-        """(block, names): the windows of each block that start in another block's document of a smaller doc_id."""
+        """(block, names): the windows of each block that start in another block's document of a smaller doc_id; both names of each."""
         n = self.n_buckets
 
         def gather(key, t, replies):
             if not t.num_rows:
-                return _packed(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), n, np.zeros(0, np.int64))
+                return _packed(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), n, seconds=np.zeros(0, np.uint64), ids=np.zeros(0, np.int64))
             ids, shared = _id_order(t), _names(replies)
-            names, of = [], []
+            names, seconds, of = [], [], []
             for part, words in _parsed(t):
                 anchor = words.anchors()
                 at = words.windows[(anchor == 0) | _isin_sorted(anchor, shared)]
                 names.append(words.window_names(at))
+                seconds.append(words.window_names(at, _second))
                 of.append(ids[part][words.doc[at]])
-            found, least = _smallest(np.concatenate(names), np.concatenate(of))
-            return _packed(key[0].as_py(), found, _bucket(found, n), n, least)
+            found, second, least = _smallest(*map(np.concatenate, (names, seconds, of)))
+            return _packed(key[0].as_py(), found, _bucket(found, n), n, seconds=second, ids=least)
 
         def match(key, t):
-            blocks, lists = t["block"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in t["names"].to_pylist()]
-            ids = [np.frombuffer(x, dtype=np.int64) for x in t["ids"].to_pylist()]
-            names, least = _smallest(np.concatenate(lists), np.concatenate(ids))
-            return _reply(blocks, [x[least[np.searchsorted(names, x)] < i] for x, i in zip(lists, ids, strict=True)])
+            names, seconds, ids = ([np.frombuffer(x, dtype=kind) for x in t[c].to_pylist()] for c, kind in (("names", np.uint64), ("seconds", np.uint64), ("ids", np.int64)))
+            repeated = _repeated(*map(np.concatenate, (names, seconds, ids)))
+            hits = np.split(repeated, np.cumsum([len(x) for x in names])[:-1])
+            return _reply(t["block"].to_numpy(), [np.stack((x[h], y[h]), axis=1).ravel() for x, y, h in zip(names, seconds, hits, strict=True)])
 
         left = self.docs.groupBy("__block")
-        packed = left.cogroup(anchors.groupBy("block")).applyInArrow(gather, "bucket int, block int, names binary, ids binary")
+        packed = left.cogroup(anchors.groupBy("block")).applyInArrow(gather, "bucket int, block int, names binary, seconds binary, ids binary")
         return packed.groupBy("bucket").applyInArrow(match, "block int, names binary")
 
     def apply(self, windows: DataFrame, finish, schema: str) -> DataFrame:
@@ -264,14 +272,22 @@ class Blocks:
         """
 
         def remove(key, t, replies):
-            ids, elsewhere = _id_order(t) if t.num_rows else np.zeros(0, np.int64), _names(replies)
+            ids, elsewhere = _id_order(t) if t.num_rows else np.zeros(0, np.int64), _pairs(replies)
             parts = [(part, w, w.window_names(w.windows)) for part, w in _parsed(t)] if t.num_rows else []
             names = np.concatenate([x[2] for x in parts]) if parts else np.zeros(0, np.uint64)
             of = np.concatenate([ids[p][w.doc[w.windows]] for p, w, _ in parts]) if parts else np.zeros(0, np.int64)
-            repeated = _repeated_here(names, of)
+            # Second names are made where the first are met again, here or elsewhere.
+            again = _isin_sorted(names, elsewhere[0]) | _met_again(names)
+            seconds, begin = [], 0
+            for _, words, own in parts:
+                seconds.append(words.window_names(words.windows[again[begin : begin + len(own)]], _second))
+                begin += len(own)
+            names, seconds, of = names[again], np.concatenate([np.zeros(0, np.uint64), *seconds]), of[again]
+            repeated = np.zeros(len(again), dtype=bool)
+            repeated[again] = _repeated(names, seconds, of) | _pairs_in(names, seconds, *elsewhere)
             removed, begin = [], 0
             for _, words, own in parts:
-                hit = repeated[begin : begin + len(own)] | _isin_sorted(own, elsewhere)
+                hit = repeated[begin : begin + len(own)]
                 begin += len(own)
                 edge = np.zeros(len(words.hash) + 1, dtype=np.int64)
                 at = words.windows[hit]
@@ -284,21 +300,49 @@ class Blocks:
         return self.docs.groupBy("__block").cogroup(windows.groupBy("block")).applyInArrow(remove, schema)
 
 
-def _repeated_here(names: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each name also stands beside a smaller id."""
+def _repeated(names: np.ndarray, seconds: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each pair of names also stands beside a smaller id."""
     if not len(names):
         return np.zeros(0, dtype=bool)
-    order = np.argsort(names, kind="stable")
-    sorted_names = names[order]
-    first = np.ones(len(names), dtype=bool)
-    first[1:] = sorted_names[1:] != sorted_names[:-1]
-    start = np.flatnonzero(first)
+    order = np.lexsort((seconds, names))
+    start = np.flatnonzero(_changes(names[order], seconds[order]))
     least = np.minimum.reduceat(ids[order], start)
     out = np.zeros(len(names), dtype=bool)
     out[order] = ids[order] > np.repeat(least, np.diff(np.append(start, len(names))))
     return out
 
 
+def _met_again(names: np.ndarray) -> np.ndarray:
+    """Whether each name stands more than once."""
+    order = np.argsort(names, kind="stable")
+    same = names[order][1:] == names[order][:-1]
+    out = np.zeros(len(names), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _pairs(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Both names of each window, sorted."""
+    lists = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in replies["names"].to_pylist()] if replies.num_rows else []
+    names, seconds = np.concatenate([np.zeros((0, 2), np.uint64), *lists]).T
+    order = np.lexsort((seconds, names))
+    return names[order], seconds[order]
+
+
+def _pairs_in(x: np.ndarray, y: np.ndarray, names: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """Whether each pair is among the sorted pairs of names."""
+    out = np.zeros(len(x), dtype=bool)
+    at, left = np.searchsorted(names, x), np.arange(len(x))
+    while len(left):
+        left = left[at[left] < len(names)]
+        left = left[names[at[left]] == x[left]]
+        out[left] = seconds[at[left]] == y[left]
+        left = left[~out[left]]
+        at[left] += 1
+    return out
+
+
 def _names(replies: pa.Table) -> np.ndarray:
     lists = [np.frombuffer(x, dtype=np.uint64) for x in replies["names"].to_pylist()] if replies.num_rows else []
     return np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)

@@ -312,3 +312,10 @@ def test_licence_names(spark):
     plain = ["An Apache helicopter landed near the village.", "Creative people commonly work at night."]
     df = spark.createDataFrame([(k, f"Some heading\n{t}\nLast line.") for k, t in enumerate([*names, *plain])], "doc_id long, text string")
     assert {(r["doc_id"], r["paragraph"]): r["family"] for r in licences.scan(df).collect()} == {(k, 1): f for k, f in enumerate(names.values())}
+
+
+def test_windows_of_one_name_by_chance_are_told_apart():
+    names, seconds, ids = np.array([7, 7, 7, 9], np.uint64), np.array([1, 2, 2, 1], np.uint64), np.array([1, 2, 3, 4])
+    assert recompress._repeated(names, seconds, ids).tolist() == [False, False, True, False]
+    assert [x.tolist() for x in recompress._smallest(names, seconds, ids)] == [[7, 7, 9], [1, 2, 1], [1, 2, 4]]
+    assert recompress._pairs_in(names, seconds, np.array([7, 7], np.uint64), np.array([0, 2], np.uint64)).tolist() == [False, True, True, False]
