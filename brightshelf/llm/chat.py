@@ -19,24 +19,41 @@ from .common import given_back
 class Template:
     """What is written around each turn, which turns are learnt, and which turn may follow which.
 
-    ``control`` starts every control string. Inside texts and roles ``escape`` is put before each ``escape`` and within
-    each ``control``, so neither can hold a control string, and reading back is exact.
+    Every control string begins with ``opening``, and a turn's mark ends with ``closing``. Inside texts and roles ``escape``
+    is put before each ``escape`` and within each of those two, so none can hold a part of a control string, and reading
+    back is exact.
     """
 
-    control: str = "<|"
+    opening: str = "<|"
+    closing: str = "|>"
     escape: str = "\\"
-    turn: str = "<|turn:{role}|>\n"
+    turn: str = "<|turn {role} |>\n"
     end: str = "<|end|>\n"
     learnt: frozenset = frozenset({"assistant"})
     start: str = "start"
     follows: dict = field(default_factory=lambda: {"start": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}})
 
     def escaped(self, text: str) -> str:
-        return text.replace(self.escape, self.escape * 2).replace(self.control, self.control[0] + self.escape + self.control[1:])
+        text = text.replace(self.escape, self.escape * 2)
+        for mark in (self.opening, self.closing):
+            text = text.replace(mark, mark[0] + self.escape + mark[1:])
+        return text
 
     def unescaped(self, text: str) -> str:
         return re.sub(re.escape(self.escape) + "(.)", r"\1", text, flags=re.S)
 
+    def read(self, text: str) -> tuple[list[tuple[str, str]], str]:
+        """The (role, text) of each whole turn at the start of a formatted text, and what follows them."""
+        before, after = self.turn.split("{role}")
+        turns, at = [], 0
+        while (end := text.find(self.end, at)) >= 0:
+            mark = text.find(after, at)
+            if not text.startswith(before, at) or not 0 <= mark < end:
+                raise ValueError("no turn's mark where a turn begins")
+            turns.append((self.unescaped(text[at + len(before) : mark]), self.unescaped(text[mark + len(after) : end])))
+            at = end + len(self.end)
+        return turns, text[at:]
+
 
 DEFAULT = Template()
 SEGMENTS = "seq long, turn_no long, text string, loss boolean, ok boolean"
@@ -76,26 +93,37 @@ def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def _read(template: Template, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments sorted by (conv_id, seq): what a reader of the formatted text finds, a row per conversation."""
-    shape = re.compile(re.escape(template.turn).replace(re.escape("{role}"), "(?P<role>(?:(?!" + re.escape(template.control) + ").)*?)") + "(?P<text>.*)" + re.escape(template.end), re.S)
+    """Of segments sorted by (conv_id, seq): what a reader of the formatted text finds, a row per conversation.
+
+    Turns are found by their control strings alone, wherever segments begin and end.
+    """
     kinds: list[pa.DataType] = []
 
     def segments():
         for batch in batches:
             kinds[:] = [batch.schema.field("conv_id").type]
-            yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn_no", "text", "loss")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "loss")), strict=True)
 
     out: list[tuple] = []
     for conv, of_conv in groupby(segments(), key=lambda x: x[0]):
         turns, learnt, n, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-        for _, parts in groupby(of_conv, key=lambda x: x[1]):
-            parts = list(parts)
-            whole = "".join(x[2] for x in parts)
-            found = shape.fullmatch(whole)
-            turns.update(f"{template.unescaped(found['role'])}\n{template.unescaped(found['text'])}\n".encode())
-            under = template.unescaped("".join(x[2] for x in parts if x[3]))
-            learnt.update(under.encode())
-            n, loss_chars, chars = n + 1, loss_chars + len(under), chars + len(whole)
+        held, tail = [], ""
+        for _, text, loss in of_conv:
+            chars += len(text)
+            if loss:
+                under = template.unescaped(text)
+                learnt.update(under.encode())
+                loss_chars += len(under)
+            held.append(text)
+            tail = tail[1 - len(template.end) :] + text
+            if template.end in tail:
+                found, rest = template.read("".join(held))
+                for role, said in found:
+                    turns.update(f"{role}\n{said}\n".encode())
+                n += len(found)
+                held, tail = [rest], rest
+        if "".join(held):
+            raise ValueError("a turn without its end")
         out.append((conv, n, turns.hexdigest(), loss_chars, learnt.hexdigest(), chars))
         if len(out) >= AT_ONCE:
             yield _digests(out, kinds[0])

@@ -40,7 +40,7 @@ FROM w LEFT JOIN gone USING (doc_id)"""
 op10_chat_format = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) t(i)),
-e AS (SELECT *, length('<|turn:' || replace(replace(role, '\\', '\\\\'), '<|', '<\\|') || '|>.' || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|end|>.') AS chars FROM c)
+e AS (SELECT *, length('<|turn ' || replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>') || ' |>.' || replace(replace(replace(text, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>') || '<|end|>.') AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
