@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import re
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
@@ -87,6 +88,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return Stored(df, what).df
 
 
+def literal(value, kind: str) -> Column:
+    """A constant of the plan."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
+
+
 def attach_small(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     """Left join with a side that is broadcast only if it was counted and is small; the side should be stored."""
     small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

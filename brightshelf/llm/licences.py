@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import random
 import re
 from dataclasses import dataclass
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import literal
+
 #: Notices by licence family, as their stewards publish them; years, versions and holders are left out, as digits do not count.
 TEMPLATES = {
     "apache": (
@@ -193,11 +194,6 @@ def trained() -> Model:
     return Model(model.families, model.vocabulary, model.weights, model.bias, threshold)
 
 
-def _literal(value, kind: str) -> Column:
-    """A constant of the plan."""
-    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
-
-
 def _scores(grams: Column, model: Model) -> Column:
     """The sums of the n-grams' weights and the biases, by class.
 
@@ -207,7 +203,7 @@ def _scores(grams: Column, model: Model) -> Column:
     for g, k in model.vocabulary.items():
         digest = xxhash.xxh64_intdigest(g.encode(), 42)
         buckets[(digest - (digest >> 63 << 64)) % BUCKETS].append({"g": g, "w": model.weights[k].tolist()})
-    table = _literal(buckets, "array<array<struct<g:string,w:array<double>>>>")
+    table = literal(buckets, "array<array<struct<g:string,w:array<double>>>>")
     entries = lambda g: F.transform(F.filter(F.element_at(table, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int") + 1), lambda e: e["g"] == g), lambda e: e["w"])
     start = F.array(*(F.lit(float(b)) for b in model.bias))
     return F.aggregate(F.flatten(F.transform(grams, entries)), start, lambda total, w: F.zip_with(total, w, lambda x, y: x + y))
@@ -261,7 +257,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or trained()
     texts = [(f, words(t)) for f, x in TEMPLATES.items() for t in x]
-    shapes = _literal([{"n": min(SHINGLE, len(w)), "s": shingles(w), "p": shingles(w, 2)} for _, w in texts], "array<struct<n:int,s:array<string>,p:array<string>>>")
+    shapes = literal([{"n": min(SHINGLE, len(w)), "s": shingles(w), "p": shingles(w, 2)} for _, w in texts], "array<struct<n:int,s:array<string>,p:array<string>>>")
     split = docs.select("doc_id", "text").where(_triggered("text")).select("doc_id", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
     around = F.transform("lines", lambda x, i: F.struct(x.alias("text"), F.slice("lines", i + 2, JOINED - 1).alias("after")))
     lines = split.select("doc_id", F.posexplode(around).alias("paragraph", "line")).select("doc_id", "paragraph", "line.text", "line.after")
@@ -285,7 +281,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             "family": F.element_at(F.array(*map(F.lit, model.families[:-1])), F.array_position(family_scores, F.array_max(family_scores)).cast("int")),
         }
     )
-    templates = _literal([{"f": f, "s": shingles(words(t))} for f, texts in TEMPLATES.items() for t in texts], "array<struct<f:string,s:array<string>>>")
+    templates = literal([{"f": f, "s": shingles(words(t))} for f, texts in TEMPLATES.items() for t in texts], "array<struct<f:string,s:array<string>>>")
     # Templates of fewer than five words are compared by shingles of their own width.
     widths = sorted({min(SHINGLE, len(words(t))) for texts in TEMPLATES.values() for t in texts})
     own = F.flatten(

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import literal
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,6 +66,18 @@ def index(split: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
     return out
 
 
+def _fetch(under: dict[str, list[int]]):
+    """What gives the rules under a token. The index is a hash table: an array of buckets by the token's hash, so a url's
+    tokens fetch theirs at the same cost whatever the number of rules."""
+    size = 1 << (2 * len(under)).bit_length()
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for t, n in under.items():
+        digest = xxhash.xxh64_intdigest(t.encode(), 42)
+        buckets[(digest - (digest >> 63 << 64)) % size].append({"t": t, "n": n})
+    table = literal(buckets, "array<array<struct<t:string,n:array<int>>>>")
+    return lambda t: F.flatten(F.transform(F.filter(F.element_at(table, F.pmod(F.xxhash64(t), F.lit(size)).cast("int") + 1), lambda e: e["t"] == t), lambda e: e["n"]))
+
+
 def judged(pages: DataFrame, sites: tuple[Rule, ...] = SITES, patterns: tuple[Rule, ...] = PATTERNS, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern) for each row of ``pages`` (page_id, url; other columns are not read).
 
@@ -79,8 +94,7 @@ def judged(pages: DataFrame, sites: tuple[Rule, ...] = SITES, patterns: tuple[Ru
         return split.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("pattern"))
     # A rule's number is its rank, so the smallest number that fits decides.
     always = F.array(*map(F.lit, under.get("", []))).cast("array<int>")
-    found = F.transform(F.array(*(F.struct(F.lit(t).alias("t"), F.array(*map(F.lit, n)).alias("n")) for t, n in under.items() if t)), lambda x: F.when(F.array_contains("tokens", x["t"]), x["n"]).otherwise(F.array().cast("array<int>"))) if any(under) else None
-    candidates = F.concat(always, F.flatten(found)) if found is not None else always
+    candidates = F.concat(always, F.flatten(F.transform("tokens", _fetch({t: n for t, n in under.items() if t}))))
     regexes = F.array(*(F.lit(r.regex) for r in rules))
     whole = F.concat("host", "path")
     out = split.withColumn("candidates", candidates).withColumn("fits", F.array_min(F.filter("candidates", lambda k: F.rlike(whole, F.element_at(regexes, k + 1)))))
