@@ -88,7 +88,7 @@ class Segment:
         return np.searchsorted(self.values, inside) - np.arange(len(at)) * self.order.shape[1]
 
 
-def _search(key, t):
+def _ask(key, t):
     """Of one segment's vectors and the queries asked of it: each query's nearest there."""
     asks = t["ask"].to_numpy(zero_copy_only=False)
     ids = t["vec_id"].to_numpy()
@@ -109,17 +109,18 @@ def neighbours(vectors: DataFrame, every: int = EVERY) -> DataFrame:
 
     Vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do rows without a
     vec_id; a query's candidates are the vectors of its length. Rows that share a vec_id are one candidate each, and one
-    query together. The index is a number of segments of about 8192 vectors, each with its sorted projections; queries
+    query together: that of the shortest vector, among those the smallest by components. The index is a number of segments of about 8192 vectors, each with its sorted projections; queries
     are asked of every segment in blocks, and each segment answers with its own nearest few, so no task sees more than a
     segment and a block of queries.
     """
     rows = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dim"))
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "dim"])
+    least = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("least"))
+    asked = least.select("vec_id", "least.embedding", "least.dim")
     n = rows.count()
     segments, blocks = max(1, math.ceil(n / SEGMENT)), max(1, math.ceil(n / every / ASKED))
     part = lambda k, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(k)).cast("int")
     index = rows.withColumn("segment", part(segments, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("ask", F.lit(False))
     asks = asked.withColumn("block", part(blocks, 2)).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))).withColumn("ask", F.lit(True))
-    found = index.unionByName(asks).groupBy("dim", "segment", "block").applyInArrow(_search, "query_id long, vec_id long, score double")
+    found = index.unionByName(asks).groupBy("dim", "segment", "block").applyInArrow(_ask, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")
