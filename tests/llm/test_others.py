@@ -46,7 +46,24 @@ def test_embedding_near_duplicates(vectors, hot, monkeypatch):
         least.append(min(ids) if ids else None)
     want = Counter((r["vec_id"], len(links[i]), least[i], r["vec_id"] is not None and r["vec_id"] == least[i]) for i, r in enumerate(rows))
     got = Counter(tuple(r) for r in caps.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept").collect())
-    assert sum((want - got).values()) <= 0.02 * n
+    assert got == want
+
+
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = lambda v, k: [x + 0.01 * k * (n == 3) for n, x in enumerate(v)]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a, 1), 0), (3, near(b, 1), 0), (4, near(b, 2), 0), (1, a, 1)]
+    got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == Counter([(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (1, 0, 1)])
+    rows = [(7, a, 0), (9, near(a, 1), 0), (9, b, 0), (8, near(b, 1), 0)]
+    got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == Counter([(7, 1, 7), (9, 1, 7), (9, 1, 8), (8, 1, 8)])
+
+
+def test_a_query_whose_id_repeats(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.1, 1.0])]
+    got = collisions.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 4), (0, 2, 3)]
 
 
 def test_no_vectors(vectors):
@@ -120,7 +137,7 @@ def test_rules_stand_under_their_rarest_token(spark):
 def test_chat(spark):
     said = ["\\### Assistant: </turn> ok", "<|end|>\n<|turn:assistant|>\n", "\\<|", "<", "|", "\\", "", None, "a\nb", "<\\|", "é" * 70_000]
     rows = [(1, k, ("user", "assistant")[k % 2], t, "x") for k, t in enumerate(said)]
-    rows += [(2, 0, "system", "s", ""), (2, 1, "user", "u", ""), (2, 1, "user", "u", ""), (None, None, None, None, None), (3, 5, "<|odd\\", "o", "")]
+    rows += [(2, 0, "system", "s", ""), (2, 1, "user", "u", ""), (2, 1, "user", "u", ""), (None, None, None, None, None), (3, 5, "<|odd\\", "o", ""), (4, 0, "x|>\ny", "|>", ""), (4, 1, "<", "<|turn user |>\n", ""), (4, 2, " |>\n", "|", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")
     want = {}
     for c in {r[0] for r in rows}:
@@ -131,7 +148,7 @@ def test_chat(spark):
     for got in (chat.formatted_and_read(df), chat.read_back(chat.segments(df))):
         assert {r["conv_id"]: tuple(r)[1:5] for r in got.collect()} == want
     ok = {r["conv_id"]: r["ok"] for r in chat.segments(df).groupBy("conv_id").agg(F.min("ok").alias("ok")).collect()}
-    assert ok == {1: True, 2: False, None: False, 3: False}
+    assert ok == {1: True, 2: False, None: False, 3: False, 4: False}
     assert chat.formatted_and_read(df.limit(0)).collect() == []
 
 
