@@ -1,74 +1,66 @@
-"""A table of the distinct chunks of many texts: each is tokenized once, and its ids are joined back by position."""
+"""A table of the distinct chunks of many texts: each is tokenized once, and what is known of it is joined back by position."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
-import numpy as np
-
-#: Entries after which the table starts anew, and the longest chunk (in characters) that it keeps.
+#: Entries after which the table begins anew, and the longest chunk (in characters) that it keeps.
 TABLE_ROWS, LONGEST = 400_000, 200
 #: Characters of text that are tokenized at a time.
 AT_ONCE = 1_000_000
 
 
+class _Places(dict):
+    """The place of each chunk among the entries; one that is met for the first time gets the next."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = place = len(self)
+        self.new.append(chunk)
+        return place
+
+
 class ChunkTable:
-    """``cut(text)`` gives the chunks of a text, ``encode(list of chunks)`` a list of id lists."""
+    """``cut(text)`` gives the chunks of a text, ``describe(list of chunks)`` an entry for each, such as its ids."""
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable]):
-        self.cut, self.encode = cut, encode
+    def __init__(self, cut: Callable[[str], list[str]], describe: Callable[[list[str]], Iterable]):
+        self.cut, self.describe = cut, describe
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.length = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
-        self.rows = 0
+        self.places, self.entries = _Places(), []
 
-    def _add(self, chunks: list[str]) -> None:
-        lists = list(self.encode(chunks))
-        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(lengths.sum()))
-        self.ids = _room(self.ids, self.used, len(flat))
-        self.start, self.length = _room(self.start, self.rows, len(lists)), _room(self.length, self.rows, len(lists))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start[self.rows : self.rows + len(lists)] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.rows : self.rows + len(lists)] = lengths
-        self.row.update(zip(chunks, range(self.rows, self.rows + len(chunks)), strict=True))
-        self.used, self.rows = self.used + len(flat), self.rows + len(lists)
+    def look_up(self, texts: list[str | None]) -> list[list]:
+        """The entries of each text's chunks, in order; a null or empty text has none."""
+        places = self.places
+        at = [[*map(places.__getitem__, self.cut(x))] if x else [] for x in texts]
+        new, places.new = places.new, []
+        self.entries.extend(self.describe(new) if new else ())
+        out = [[*map(self.entries.__getitem__, x)] for x in at]
+        if len(places) > TABLE_ROWS or max(map(len, new), default=0) > LONGEST:
+            self._drop(new)
+        return out
 
-    def tokenize(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids (uint32) of each text; a null text has none."""
-        cut = [self.cut(x) if x else [] for x in texts]
-        flat = [c for x in cut for c in x]
-        if new := set(flat).difference(self.row):
-            self._add(sorted(new))
-        at = np.fromiter(map(self.row.__getitem__, flat), dtype=np.int64, count=len(flat))
-        n = self.length[at]
-        ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.start[at] - (ends - n), n) + np.arange(int(n.sum()))]
-        chunks = np.cumsum([0, *map(len, cut)])
-        bounds = np.concatenate(([0], ends))[chunks]
-        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    def _drop(self, new: list[str]) -> None:
+        """A long chunk keeps its place, without its name and its entry, so that the others keep theirs."""
+        if len(self.entries) > TABLE_ROWS:
+            self.clear()
+            return
         for c in new:
             if len(c) > LONGEST:
-                del self.row[c]
-        if self.rows > TABLE_ROWS or self.used > 20 * TABLE_ROWS:
-            self.clear()
-        return out
+                place = self.places.pop(c)
+                self.places[place] = place
+                self.entries[place] = None
 
-    def stream(self, texts: list[str | None]) -> Iterator[tuple[slice, list[np.ndarray]]]:
-        """The ids of many texts, some at a time: (their slice, their ids)."""
+    def stream(self, texts: list[str | None]) -> Iterator[tuple[slice, list[list]]]:
+        """The entries of many texts, some at a time: (their slice, their entries)."""
         begin, held = 0, 0
         for k, x in enumerate(texts):
             held += len(x or "")
             if held >= AT_ONCE or k == len(texts) - 1:
                 part = slice(begin, k + 1)
-                yield part, self.tokenize(texts[part])
+                yield part, self.look_up(texts[part])
                 begin, held = k + 1, 0
-
-
-def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
-    if used + more <= len(a):
-        return a
-    return np.concatenate((a[:used], np.zeros(max(used + more, 2 * len(a)) - used, dtype=a.dtype)))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import compress
 from pathlib import Path
 
 import numpy as np
@@ -17,15 +20,16 @@ from .common import document_batches, given_back
 
 #: Lengths of the windows, one tier each; every one is a power of two.
 TIERS = (256, 512, 1024, 2048)
-#: The id after each document.
-END = 1
+#: The id after each document, and the bytes of an id.
+END, WIDTH = 1, 4
+_end = array("I", [END]).tobytes()
 #: Tokens that are packed together. What a block leaves over is the only padding: less than one longest window a block.
 BLOCK = 2_000_000
 #: Tokens of a step group, a multiple of every tier: so groups of any tier hold as many tokens.
 STEP = 65_536
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
-_after_space = re.compile(r"\s(?= )")
+_after_space, _cut = re.compile(r"\s(?= )"), re.compile(r"(?<!\s) ")
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -36,23 +40,16 @@ def spaced_chunks(text: str) -> list[str]:
     """
     if "\0" in text:
         return ["\0" + text]
-    parts = text.split(" ")
-    if _after_space.search(text):
-        joined = [parts[0]]
-        for x in parts[1:]:
-            if not joined[-1] and len(joined) == 1 or joined[-1][-1:].isspace() or not joined[-1]:
-                joined[-1] += " " + x
-            else:
-                joined.append(x)
-        parts = joined
+    parts = _cut.split(text) if len(_after_space.split(text, 1)) > 1 else text.split(" ")
     parts[0] = "\0" + parts[0]
     return parts
 
 
 #: What a byte-level vocabulary of this kind cuts texts at before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks that both encoders cut alike: no rare white space, no control characters, no letters of later scripts.
-_plain = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
+#: Both encoders cut printable chunks alike that hold white space at most as their first character, and are ASCII or of these
+#: letters alone: none of later scripts.
+_latin = re.compile("[\x20-\x7e\xa1-\u024f]*").fullmatch
 _probe = (" the", "\0Don't stop", " l'été", " 12,5%%%", "\0\n\nA_b", " straße\n", " x  y", " ñandú!!", "\0<tag>|", " Zürich'll")
 
 
@@ -64,16 +61,21 @@ def _byte_letters() -> dict[str, int]:
 
 
 class ByteTokens:
-    """Ids of a ``tokenizers`` file without special tokens; their strings in a text are ordinary text.
+    """Ids of a ``tokenizers`` file, as its library gives them without adding special tokens.
 
-    Chunks of plain Latin text go to a second encoder of the same vocabulary, which takes a quarter of the time; whether
-    the two agree is tried beforehand by ``agrees``. All others go to the library that the file is of.
+    A text that holds the string of a special token is one chunk, so that the library finds it there. Chunks of plain
+    Latin text go to a second encoder of the same vocabulary, which takes a quarter of the time; whether the two agree is
+    tried beforehand by ``agrees``. All others go to the library that the file is of.
     """
 
     def __init__(self, vocabulary: str, quick: bool = False):
         self.vocabulary, self._full = vocabulary, None
+        self.special = [x["content"] for x in json.loads(vocabulary)["added_tokens"]]
         self.quick = self._quick() if quick else None
-        self.table = ChunkTable(spaced_chunks, self._encode)
+        self.table = ChunkTable(self._chunks, self._encode)
+
+    def _chunks(self, text: str) -> list[str]:
+        return ["\0" + text] if any(x in text for x in self.special) else spaced_chunks(text)
 
     @property
     def full(self):
@@ -81,15 +83,14 @@ class ByteTokens:
             from tokenizers import Tokenizer
 
             self._full = Tokenizer.from_str(self.vocabulary)
-            self._full.encode_special_tokens = True
         return self._full
 
     def _quick(self):
         import tiktoken
 
         letters = _byte_letters()
-        special = {x["content"] for x in json.loads(self.vocabulary)["added_tokens"]}
-        ranks = {bytes(letters[c] for c in t): i for t, i in json.loads(self.vocabulary)["model"]["vocab"].items() if t not in special}
+        vocabulary = json.loads(self.vocabulary)["model"]["vocab"]
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
         return tiktoken.Encoding("quick", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def agrees(self) -> bool:
@@ -97,20 +98,42 @@ class ByteTokens:
             quick = self._quick()
         except (ImportError, KeyError, ValueError):
             return False
-        return [quick(x) for x in map(_text, _probe)] == self._slow(list(_probe))
+        texts = [*map(_text, _probe)]
+        return [*map(quick, texts)] == self._slow(texts)
 
-    def _slow(self, chunks: list[str]) -> list[list[int]]:
+    def _slow(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
-        for k in range(0, len(chunks), 2000):
-            out.extend(x.ids for x in self.full.encode_batch_fast([*map(_text, chunks[k : k + 2000])], add_special_tokens=False))
+        for k in range(0, len(texts), 2000):
+            out.extend(x.ids for x in self.full.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False))
         return out
 
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
-        if self.quick is None:
-            return self._slow(chunks)
-        out = [self.quick(x) if _plain.fullmatch(x := _text(c)) and "<|" not in x else None for c in chunks]
-        rest = iter(self._slow([c for c, ids in zip(chunks, out, strict=True) if ids is None]))
-        return [next(rest) if ids is None else ids for ids in out]
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk as uint32."""
+        texts = [" " + c if c[:1] != "\0" else c[1:] for c in chunks]
+        plain = [x != "" and x.isprintable() and x.find(" ", 1) < 0 and (x.isascii() or _latin(x) is not None) for x in texts] if self.quick else [False] * len(texts)
+        quick = iter(self._quickly([*compress(texts, plain)]))
+        rest = iter(self._slow([x for x, p in zip(texts, plain, strict=True) if not p]))
+        return [next(quick) if p else array("I", next(rest)).tobytes() for p in plain]
+
+    def _quickly(self, texts: list[str]) -> list[bytes]:
+        """Many chunks as one text: a line break, which none of them holds, is a token by itself between them."""
+        if not texts:
+            return []
+        ids = np.array(self.quick("\n".join([*texts, ""])), dtype="<u4")
+        ends = np.flatnonzero(ids == self.quick("\n")[0]) * WIDTH
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *(ends[:-1] + WIDTH).tolist()], ends.tolist(), strict=True)]
+
+    def ids(self, texts: list[str | None]) -> Iterator[tuple[slice, list[bytes]]]:
+        """The ids of many texts, some at a time: (their slice, the ids of each as uint32)."""
+        for part, found in self.table.stream(texts):
+            yield part, [*map(b"".join, found)]
+
+
+@lru_cache(1)
+def _tokens(vocabulary: str, quick: bool) -> ByteTokens:
+    """One for each worker process, which outlives its tasks: so is the table of chunks."""
+    return ByteTokens(vocabulary, quick)
 
 
 def _text(chunk: str) -> str:
@@ -126,12 +149,13 @@ class Block:
     """
 
     def __init__(self):
-        self.docs: list[tuple[object, np.ndarray]] = []
+        self.docs: list[tuple[object, memoryview]] = []
         self.tokens = 0
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, ids))
-        self.tokens += len(ids)
+    def add(self, doc_id, ids: bytes) -> None:
+        """``ids`` are those of a document as uint32."""
+        self.docs.append((doc_id, memoryview(ids)))
+        self.tokens += len(ids) // WIDTH
 
     def sequences(self) -> Iterator[list[tuple[int, int, int]]]:
         """Lists of (document's place, start, length)."""
@@ -150,11 +174,12 @@ class Block:
             return found
 
         for k, (_, ids) in enumerate(self.docs):
-            whole = len(ids) // top * top
+            n = len(ids) // WIDTH
+            whole = n // top * top
             for start in range(0, whole, top):
                 yield [(k, start, top)]
-            if len(ids) > whole:
-                put(k, whole, len(ids) - whole)
+            if n > whole:
+                put(k, whole, n - whole)
         for window, below in zip(TIERS[::-1], [*TIERS[-2::-1], 0], strict=True):
             while n := self.present.bit_length() - 1 if self.present.bit_length() - 1 > below else 0:
                 sequence, gap = [(*take(n), n)], window - n
@@ -205,7 +230,7 @@ def _pack(tokens: ByteTokens, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.
             offset = 0
             for doc, start, n in sequence:
                 doc_id, ids = block.docs[doc]
-                for k, v in zip(out, (doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), sequence_id, offset, window, group), strict=True):
+                for k, v in zip(out, (doc_id, start, n, zlib.crc32(ids[WIDTH * start : WIDTH * (start + n)]), len(ids) // WIDTH, sequence_id, offset, window, group), strict=True):
                     out[k].append(v)
                 offset += n
             sequence_id += 1
@@ -216,9 +241,9 @@ def _pack(tokens: ByteTokens, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.
     for batch in batches:
         schema = batch.schema
         doc_ids = batch.column("doc_id").to_pylist()
-        for part, lists in tokens.table.stream(batch.column("text").to_pylist()):
+        for part, lists in tokens.ids(batch.column("text").to_pylist()):
             for doc_id, ids in zip(doc_ids[part], lists, strict=True):
-                block.add(doc_id, np.append(ids, np.uint32(END)).astype("<u4"))
+                block.add(doc_id, ids + _end)
                 if block.tokens >= BLOCK:
                     yield rows()
                     block = Block()
@@ -241,6 +266,6 @@ def pack(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     vocabulary = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches):
-        yield from given_back(_pack(ByteTokens(vocabulary.value, quick), batches))
+        yield from given_back(_pack(_tokens(vocabulary.value, quick), batches))
 
     return document_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
