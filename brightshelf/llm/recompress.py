@@ -4,28 +4,28 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a window, as the contract of op9 sets it.
 WINDOW = 13
-#: Rounds of naming; after three, a symbol stands for up to eight words and many fit a window with all they depend on.
-ROUNDS = 3
 #: Blocks of documents and ranges of names for each shuffle partition: enough to deal them evenly.
-BLOCKS_EACH, BUCKETS_EACH = 4, 1
-#: Words whose hashes a worker keeps, and characters of text that are parsed at a time.
-WORDS_KEPT, AT_ONCE = 1 << 20, 2_000_000
+BLOCKS_EACH, BUCKETS_EACH = 2, 1
+#: Bytes of text that are parsed at a time, and bytes of a word from which it is hashed by itself.
+AT_ONCE, LONG = 4_000_000, 256
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
-#: Odd multipliers of the words of a window.
 _rng = np.random.default_rng(20_240_913)
-_multipliers = _rng.integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Those of a second name, which tells windows apart whose first names are equal by chance.
-_second = _rng.integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: What a byte counts in the hash of its word; 0 for white space.
+_of_byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_blank = np.zeros(256, dtype=bool)
+_blank[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -34,15 +34,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; a word is hashed when it is first met."""
+class Rolling:
+    """Hashes of many stretches of one sequence: sums of its values times powers of an odd number, and shifted back."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+    def __init__(self, base: int):
+        self.base, self.inverse = (np.uint64(x) for x in (base, pow(base, -1, 1 << 64)))
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        while len(self.powers) <= len(values):
+            n = np.uint64(len(self.powers))
+            self.powers = np.concatenate((self.powers, self.powers * self.powers[-1] * self.base))
+            self.inverses = np.concatenate((self.inverses, self.inverses * self.inverses[-1] * self.inverse))
+            assert len(self.powers) == 2 * n
+        out = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * self.powers[: len(values)], out=out[1:])
+        return out
 
-_words = WordHashes()
+    def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((sums[end] - sums[start]) * self.inverses[start])
+
+
+#: Of the bytes of a word, of symbols, and of the words of a window; the last tells windows apart whose other names are equal by chance.
+_bytes, _symbols, _first, _second = (Rolling(x) for x in (0x5DEECE66D9B1A3C7, 0x1F83D9ABFB41BD6B, 0x27BB2EE687B0B0FF, 0x369DEA0F31A53F87))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,130 +66,145 @@ def words_of(text: str | None) -> list[bytes]:
 class Words:
     """The words of many documents in a row: their hashes, their document, and where each window of theirs starts."""
 
-    def __init__(self, texts: list[str | None]):
-        if len(_words) > WORDS_KEPT:
-            _words.clear()
-        parts = []
-        for text in texts:
-            w = words_of(text)
-            parts.append(np.fromiter(map(_words.__getitem__, w), dtype=np.uint64, count=len(w)))
-        self.lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        self.hash = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.ends = np.cumsum(self.lengths)
-        self.starts = self.ends - self.lengths
-        self.doc = np.repeat(np.arange(len(parts)), self.lengths)
+    def __init__(self, texts: pa.Array):
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        self.data = data
+        solid = ~_blank[data]
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[offsets] = True
+        before = np.zeros(len(data), dtype=bool)
+        before[1:] = solid[:-1]
+        #: The bytes where each word starts and ends.
+        self.begin = np.flatnonzero(solid & (edge[:-1] | ~before))
+        after = np.zeros(len(data), dtype=bool)
+        after[:-1] = solid[1:]
+        self.end = np.flatnonzero(solid & (edge[1:] | ~after)) + 1
+        self.hash = _bytes.between(_bytes.sums(_of_byte[data]), self.begin, self.end) ^ (self.end - self.begin).astype(np.uint64) * _M3
+        for k in np.flatnonzero(self.end - self.begin >= LONG):
+            self.hash[k] = xxhash.xxh3_64_intdigest(data[self.begin[k] : self.end[k]].tobytes())
+        #: The first word of each document, and the end of the last one.
+        self.bounds = np.searchsorted(self.begin, offsets)
+        self.lengths = np.diff(self.bounds)
+        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        self.starts, self.ends = self.bounds[:-1], self.bounds[1:]
         n = len(self.hash)
         #: The place of each window's first word.
         self.windows = np.flatnonzero(np.arange(n) + WINDOW <= self.ends[self.doc]) if n else np.zeros(0, np.int64)
 
-    def window_names(self, at: np.ndarray, multipliers: np.ndarray = _multipliers) -> np.ndarray:
+    def window_names(self, at: np.ndarray, by: Rolling = _first) -> np.ndarray:
         """A 64-bit name of each window that starts at one of these places."""
-        out = np.zeros(len(at), dtype=np.uint64)
-        for k, m in enumerate(multipliers):
-            out += self.hash[at + k] * m
-        return _mix(out)
+        return by.between(by.sums(self.hash), at, at + WINDOW)
+
+    def second_names(self, at: np.ndarray) -> np.ndarray:
+        """32 bits more."""
+        return (self.window_names(at, _second) >> np.uint64(32)).astype(np.uint32)
 
     def anchors(self) -> np.ndarray:
-        """For each window the name of a symbol that stands for it, or 0 if it has none.
+        """For each window the name of the symbols that stand for it.
 
         A run of one word becomes one symbol; then, in rounds, a symbol of the left half of the alphabet and a following one
-        of the right half become one. Names are hashes of what they replace, so they agree wherever they are made. Beside each symbol stands the range of words on which its making depended, neighbours
-        included. A symbol whose range lies within a window is made in every occurrence of that window; so among those
-        symbols the one that is chosen, by level, place and number of words, is the same in every occurrence. Beyond a
-        document's ends the range is open: no window holds a symbol that depends on them.
+        of the right half become one. Names are hashes of what they replace, so they agree wherever they are made. Beside
+        each symbol stands the range of words on which its making depended, neighbours included. A symbol whose range lies
+        within a window is made in every occurrence of that window; so those of the highest round that has any are the same in
+        every occurrence. Beyond a document's ends lies one place that no window of its
+        has, so a symbol that depends on an end stands for no window. Rounds go on until no symbol fits a window. A window
+        within a run holds no whole symbol; it is one by itself.
         """
-        n = len(self.hash)
-        name, doc = _mix(self.hash), self.doc
-        first = last = low = high = np.arange(n)
-        best = np.zeros(n, dtype=np.uint64)
-        size = np.zeros(n, dtype=np.int64)
+        at = self.windows
+        best = self.window_names(at)
+        if not len(at):
+            return best
+        name = _mix(self.hash)
         # Runs: a maximal run becomes one symbol. It, and a word that is no run, depend on the words on both sides.
-        head = np.ones(n, dtype=bool)
-        head[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(head)
-        tail = np.append(at[1:], n) - 1 if n else at
-        count = tail - at + 1
-        low, high = _neighbours(low, high, doc, at, tail)
-        name = np.where(count > 1, _mix(name[at] * _M3 + count.astype(np.uint64)), name[at])
-        first, last, doc = first[at], last[tail], doc[at]
-        self._offer(best, size, name, last - first + 1, low, high)
-        for level in range(ROUNDS if n else 0):
-            salt = np.uint64((level + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
-            # Pairs: a symbol that stays alone depends on the neighbour that it did not join.
+        head = np.ones(len(name), dtype=bool)
+        head[1:] = name[1:] != name[:-1]
+        head[self.starts[self.lengths > 0]] = True
+        first = np.flatnonzero(head)
+        count = np.diff(np.append(first, len(name)))
+        low, high = first - 1, first + count
+        name = np.where(count > 1, _mix(name[first] * _M3 + count.astype(np.uint64)), name[first])
+        opens = np.zeros(len(head), dtype=bool)
+        opens[self.starts[self.lengths > 0]] = True
+        opens, first = opens[first], first
+        level = 0
+        while self._offer(best, at, name, low, high):
+            level += 1
+            salt = np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1)
             left = (_mix(name ^ salt) & np.uint64(1)).astype(bool)
             joins = np.zeros(len(name), dtype=bool)
-            joins[:-1] = left[:-1] & ~left[1:] & (doc[1:] == doc[:-1])
+            joins[:-1] = left[:-1] & ~left[1:] & ~opens[1:]
             joined = np.zeros(len(name), dtype=bool)
             joined[1:] = joins[:-1]
-            here = np.arange(len(name))
-            before, after = _neighbours(low, high, doc, here, here)
+            # A symbol that stays alone depends on the neighbour that it did not join.
+            before, after = np.empty_like(low), np.empty_like(high)
+            before[1:], after[:-1] = low[:-1], high[1:]
+            before[0], after[-1] = -1, len(self.hash)
+            before[opens] = first[opens] - 1
+            closes = np.flatnonzero(opens[1:])
+            after[closes] = first[closes + 1]
             alone = ~joins & ~joined
             low = np.where(alone & ~left, before, low)
             high = np.where(alone & left, after, high)
             keep = np.flatnonzero(~joined)
-            mate = np.where(joins[keep], keep + 1, keep)
-            named = np.where(joins[keep], _mix(name[keep] * _M2 + _mix(name[mate] + salt)), name[keep])
-            low, high = np.minimum(low[keep], low[mate]), np.maximum(high[keep], high[mate])
-            name, first, last, doc = named, first[keep], last[mate], doc[keep]
-            self._offer(best, size, name, last - first + 1, low, high)
-        return best[self.windows]
+            mate = keep + joins[keep]
+            name = np.where(joins[keep], _mix(name[keep] * _M2 + _mix(name[mate] + salt)), name[keep])
+            low, high, first, opens = np.minimum(low[keep], low[mate]), np.maximum(high[keep], high[mate]), first[keep], opens[keep]
+        return best
 
     @staticmethod
-    def _offer(best, size, name, length, low, high) -> None:
-        """Symbols take the windows that hold all they depend on, from those whose symbol is shorter."""
-        fits = (high - low < WINDOW) & (length > 1)
-        name, length, low, high = name[fits], length[fits], low[fits], high[fits]
-        begin = np.maximum(high - WINDOW + 1, 0)
-        for back in range(WINDOW - 1):
-            at = low - back
-            go = at >= begin
-            if not go.any():
-                break
-            at, new, n = at[go], name[go], length[go]
-            # Where two symbols meet, the later one stays: in the same order wherever the window occurs.
-            better = (n > size[at]) | ((n == size[at]) & (new < best[at]))
-            at = at[better]
-            best[at], size[at] = new[better], n[better]
-
-
-def _neighbours(low, high, doc, first, last):
-    """The reach of what stands before each ``first`` and after each ``last``: open beyond a document's ends."""
-    far = np.int64(1) << np.int64(40)
-    before = np.where((first > 0) & (doc[np.maximum(first - 1, 0)] == doc[first]), low[np.maximum(first - 1, 0)], -far)
-    end = len(doc) - 1
-    after = np.where((last < end) & (doc[np.minimum(last + 1, end)] == doc[last]), high[np.minimum(last + 1, end)], far)
-    return before, after
+    def _offer(best: np.ndarray, at: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> bool:
+        """Each window that holds the range of a symbol of this round takes all of them; whether any did.
+
+        Ranges are in order, by both their ends. So the first symbol is that which does not begin before the window, and the
+        last that which does not end after it.
+        """
+        n = int(at[-1]) + WINDOW + 1
+        begun, ended = (np.cumsum(np.bincount(np.minimum(x, n), minlength=n + 1)) for x in (low + 1, high))
+        first, last = begun[at], ended[at + WINDOW - 1]
+        fits = first < last
+        best[fits] = _symbols.between(_symbols.sums(name), first[fits], last[fits])
+        return bool(fits.any())
 
 
 def _parsed(t: pa.Table) -> Iterator[tuple[slice, Words]]:
     """The documents of a block, some at a time."""
-    texts = t["text"].to_pylist()
-    begin, held = 0, 0
-    for k, x in enumerate(texts):
-        held += len(x or "")
-        if held >= AT_ONCE or k == len(texts) - 1:
-            yield slice(begin, k + 1), Words(texts[begin : k + 1])
-            begin, held = k + 1, 0
+    texts = t["text"].fill_null("").combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    texts = texts.cast(pa.string())
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE)))
+        yield slice(begin, end), Words(texts.slice(begin, end - begin))
+        begin = end
+
+
+def _distinct(names: np.ndarray) -> np.ndarray:
+    names = np.sort(names)
+    keep = np.ones(len(names), dtype=bool)
+    keep[1:] = names[1:] != names[:-1]
+    return names[keep]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """First all lowest bytes, then all second ones, and so on: the high bytes of ids and of sorted names are alike, and the
+    exchange compresses them."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-def _bucket(names: np.ndarray, n: int) -> np.ndarray:
-    return ((names >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(planes, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def _packed(block: int, names: np.ndarray, bucket: np.ndarray, n: int, **more: np.ndarray) -> pa.Table:
-    """One row for each range of names: the block's sorted names as bytes, with as many values of each further column."""
-    order = np.lexsort((names, bucket))
-    names, bucket = names[order], bucket[order]
-    cut = np.searchsorted(bucket, np.arange(n + 1))
+def _packed(block: int, names: np.ndarray, n: int, **more: np.ndarray) -> pa.Table:
+    """One row for each of n ranges of names: the block's sorted names as bytes, with as many values of each further column."""
+    cut = np.append(np.searchsorted(names, np.array([(k << 64) // n for k in range(n)], dtype=np.uint64)), len(names))
     full = np.flatnonzero(np.diff(cut))
-    columns = {
-        "bucket": pa.array(full, type=pa.int32()),
-        "block": pa.array(np.full(len(full), block), type=pa.int32()),
-        "names": pa.array([names[cut[k] : cut[k + 1]].tobytes() for k in full], type=pa.binary()),
-    }
-    for column, values in more.items():
-        values = values[order]
-        columns[column] = pa.array([values[cut[k] : cut[k + 1]].tobytes() for k in full], type=pa.binary())
+    columns = {"bucket": pa.array(full, type=pa.int32()), "block": pa.array(np.full(len(full), block), type=pa.int32())}
+    for column, values in {"names": names, **more}.items():
+        columns[column] = pa.array([_planes(values[cut[k] : cut[k + 1]]) for k in full], type=pa.binary())
     return pa.table(columns)
 
 
@@ -185,12 +214,21 @@ def _id_order(t: pa.Table) -> np.ndarray:
     return ids.astype(np.int64)
 
 
+def _in_order(names: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """An order of pairs of names. Equal first names nearly always have equal second ones, so one sort does."""
+    order = np.argsort(names)
+    n, m = names[order], seconds[order]
+    return order if not ((n[1:] == n[:-1]) & (m[1:] != m[:-1])).any() else np.lexsort((seconds, names))
+
+
 def _smallest(names: np.ndarray, seconds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of names, sorted, and the smallest id of each."""
-    order = np.lexsort((ids, seconds, names))
+    if not len(names):
+        return names, seconds, ids
+    order = _in_order(names, seconds)
     names, seconds, ids = names[order], seconds[order], ids[order]
-    first = _changes(names, seconds)
-    return names[first], seconds[first], ids[first]
+    start = np.flatnonzero(_changes(names, seconds))
+    return names[start], seconds[start], np.minimum.reduceat(ids, start)
 
 
 def _changes(names: np.ndarray, seconds: np.ndarray) -> np.ndarray:
@@ -211,7 +249,9 @@ class Blocks:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.n_blocks, self.n_buckets = parts * BLOCKS_EACH, parts * BUCKETS_EACH
         key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-        self.docs = docs.withColumn("__block", F.pmod(key, F.lit(self.n_blocks)).cast("int"))
+        #: The block's column has a name that no column of the documents has.
+        self.block = next(x for x in ("__block" + "_" * k for k in range(len(docs.columns) + 1)) if x not in docs.columns)
+        self.docs = docs.withColumn(self.block, F.pmod(key, F.lit(self.n_blocks)).cast("int"))
 
     def shared_anchors(self) -> DataFrame:
         """(block, names): the anchors of each block that another block has too."""
@@ -220,21 +260,20 @@ class Blocks:
         def gather(key, t):
             found = []
             for _, words in _parsed(t):
-                a = np.unique(words.anchors())
-                found.append(a[a > 0])
-            names = np.unique(np.concatenate(found))
-            return _packed(key[0].as_py(), names, _bucket(names, n), n)
+                a = words.anchors()
+                found.append(_distinct(a[np.append(True, a[1:] != a[:-1])]) if len(a) else a)
+            names = _distinct(np.concatenate([np.zeros(0, np.uint64), *found]))
+            return _packed(key[0].as_py(), names, n)
 
         def match(key, t):
-            blocks, lists = t["block"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in t["names"].to_pylist()]
+            blocks, lists = t["block"].to_numpy(), _columns(t, "names", np.uint64)
             names = np.sort(np.concatenate(lists))
             again = np.zeros(len(names), dtype=bool)
             again[1:] = names[1:] == names[:-1]
-            shared = np.unique(names[again])
-            out = [x[np.isin(x, shared, assume_unique=True)] for x in lists] if len(shared) else []
-            return _reply(blocks, out)
+            shared = _distinct(names[again])
+            return _reply(blocks, names=[x[_isin_sorted(x, shared)] for x in lists])
 
-        packed = self.docs.groupBy("__block").applyInArrow(gather, "bucket int, block int, names binary")
+        packed = self.docs.groupBy(self.block).applyInArrow(gather, "bucket int, block int, names binary")
         return packed.groupBy("bucket").applyInArrow(match, "block int, names binary")
 
     def repeated_windows(self, anchors: DataFrame) -> DataFrame:
@@ -243,27 +282,27 @@ class Blocks:
 
         def gather(key, t, replies):
             if not t.num_rows:
-                return _packed(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), n, seconds=np.zeros(0, np.uint64), ids=np.zeros(0, np.int64))
+                return _packed(0, np.zeros(0, np.uint64), n, seconds=np.zeros(0, np.uint32), ids=np.zeros(0, np.int64))
             ids, shared = _id_order(t), _names(replies)
             names, seconds, of = [], [], []
             for part, words in _parsed(t):
                 anchor = words.anchors()
-                at = words.windows[(anchor == 0) | _isin_sorted(anchor, shared)]
+                at = words.windows[_isin_sorted(anchor, shared)]
                 names.append(words.window_names(at))
-                seconds.append(words.window_names(at, _second))
+                seconds.append(words.second_names(at))
                 of.append(ids[part][words.doc[at]])
             found, second, least = _smallest(*map(np.concatenate, (names, seconds, of)))
-            return _packed(key[0].as_py(), found, _bucket(found, n), n, seconds=second, ids=least)
+            return _packed(key[0].as_py(), found, n, seconds=second, ids=least)
 
         def match(key, t):
-            names, seconds, ids = ([np.frombuffer(x, dtype=kind) for x in t[c].to_pylist()] for c, kind in (("names", np.uint64), ("seconds", np.uint64), ("ids", np.int64)))
+            names, seconds, ids = (_columns(t, c, kind) for c, kind in (("names", np.uint64), ("seconds", np.uint32), ("ids", np.int64)))
             repeated = _repeated(*map(np.concatenate, (names, seconds, ids)))
             hits = np.split(repeated, np.cumsum([len(x) for x in names])[:-1])
-            return _reply(t["block"].to_numpy(), [np.stack((x[h], y[h]), axis=1).ravel() for x, y, h in zip(names, seconds, hits, strict=True)])
+            return _reply(t["block"].to_numpy(), names=[x[h] for x, h in zip(names, hits, strict=True)], seconds=[x[h] for x, h in zip(seconds, hits, strict=True)])
 
-        left = self.docs.groupBy("__block")
+        left = self.docs.groupBy(self.block)
         packed = left.cogroup(anchors.groupBy("block")).applyInArrow(gather, "bucket int, block int, names binary, seconds binary, ids binary")
-        return packed.groupBy("bucket").applyInArrow(match, "block int, names binary")
+        return packed.groupBy("bucket").applyInArrow(match, "block int, names binary, seconds binary")
 
     def apply(self, windows: DataFrame, finish, schema: str) -> DataFrame:
         """Each block's documents (all columns) with what is removed of them, as ``finish(table, removed)`` returns it.
@@ -280,9 +319,9 @@ class Blocks:
             again = _isin_sorted(names, elsewhere[0]) | _met_again(names)
             seconds, begin = [], 0
             for _, words, own in parts:
-                seconds.append(words.window_names(words.windows[again[begin : begin + len(own)]], _second))
+                seconds.append(words.second_names(words.windows[again[begin : begin + len(own)]]))
                 begin += len(own)
-            names, seconds, of = names[again], np.concatenate([np.zeros(0, np.uint64), *seconds]), of[again]
+            names, seconds, of = names[again], np.concatenate([np.zeros(0, np.uint32), *seconds]), of[again]
             repeated = np.zeros(len(again), dtype=bool)
             repeated[again] = _repeated(names, seconds, of) | _pairs_in(names, seconds, *elsewhere)
             removed, begin = [], 0
@@ -297,14 +336,14 @@ class Blocks:
                 removed.extend(covered[a:b] for a, b in zip(words.starts, words.ends, strict=True))
             return finish(t, removed)
 
-        return self.docs.groupBy("__block").cogroup(windows.groupBy("block")).applyInArrow(remove, schema)
+        return self.docs.groupBy(self.block).cogroup(windows.groupBy("block")).applyInArrow(remove, schema)
 
 
 def _repeated(names: np.ndarray, seconds: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether each pair of names also stands beside a smaller id."""
     if not len(names):
         return np.zeros(0, dtype=bool)
-    order = np.lexsort((seconds, names))
+    order = _in_order(names, seconds)
     start = np.flatnonzero(_changes(names[order], seconds[order]))
     least = np.minimum.reduceat(ids[order], start)
     out = np.zeros(len(names), dtype=bool)
@@ -314,7 +353,7 @@ def _repeated(names: np.ndarray, seconds: np.ndarray, ids: np.ndarray) -> np.nda
 
 def _met_again(names: np.ndarray) -> np.ndarray:
     """Whether each name stands more than once."""
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     same = names[order][1:] == names[order][:-1]
     out = np.zeros(len(names), dtype=bool)
     out[order[1:][same]] = True
@@ -322,11 +361,14 @@ def _met_again(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _columns(t: pa.Table, column: str, kind: type) -> list[np.ndarray]:
+    return [_values(x, kind) for x in t[column].to_pylist()]
+
+
 def _pairs(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Both names of each window, sorted."""
-    lists = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in replies["names"].to_pylist()] if replies.num_rows else []
-    names, seconds = np.concatenate([np.zeros((0, 2), np.uint64), *lists]).T
-    order = np.lexsort((seconds, names))
+    names, seconds = (np.concatenate([np.zeros(0, kind), *_columns(replies, c, kind)]) for c, kind in (("names", np.uint64), ("seconds", np.uint32)))
+    order = _in_order(names, seconds)
     return names[order], seconds[order]
 
 
@@ -344,8 +386,7 @@ def _pairs_in(x: np.ndarray, y: np.ndarray, names: np.ndarray, seconds: np.ndarr
 
 
 def _names(replies: pa.Table) -> np.ndarray:
-    lists = [np.frombuffer(x, dtype=np.uint64) for x in replies["names"].to_pylist()] if replies.num_rows else []
-    return np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *_columns(replies, "names", np.uint64)]))
 
 
 def _isin_sorted(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -354,17 +395,26 @@ def _isin_sorted(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
-def _reply(blocks: np.ndarray, lists: list[np.ndarray]) -> pa.Table:
-    pairs = [(b, x.tobytes()) for b, x in zip(blocks.tolist(), lists, strict=True) if len(x)] if lists else []
-    return pa.table({"block": pa.array([b for b, _ in pairs], type=pa.int32()), "names": pa.array([x for _, x in pairs], type=pa.binary())})
+def _reply(blocks: np.ndarray, **lists: list[np.ndarray]) -> pa.Table:
+    """A row for each block that anything is said to."""
+    some = [k for k, x in enumerate(lists["names"]) if len(x)]
+    columns = {c: pa.array([_planes(values[k]) for k in some], type=pa.binary()) for c, values in lists.items()}
+    return pa.table({"block": pa.array(blocks[some], type=pa.int32()), **columns})
+
+
+_to_spaces = bytes.maketrans(bytes(np.flatnonzero(_blank).tolist()), b" " * int(_blank.sum()))
 
 
 def _joined(t: pa.Table, removed: list[np.ndarray]) -> Iterator[tuple[int, int, str]]:
     """(words, removed words, kept words joined by a space) of each document."""
     for text, gone in zip(t["text"].to_pylist(), removed, strict=True):
-        words = words_of(text)
-        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-        yield len(words), len(words) - len(kept), b" ".join(kept).decode()
+        data = (text or "").encode("utf-8", "replace").translate(_to_spaces)
+        cut = int(np.count_nonzero(gone))
+        if cut:
+            data = b" ".join(compress(data.split(), (~gone).tolist()))
+        elif b"  " in data or data[:1] == b" " or data[-1:] == b" ":
+            data = b" ".join(data.split())
+        yield len(gone), cut, data.decode()
 
 
 def _windows(docs: DataFrame) -> tuple[Blocks, DataFrame]:
@@ -372,11 +422,16 @@ def _windows(docs: DataFrame) -> tuple[Blocks, DataFrame]:
     return blocks, blocks.repeated_windows(blocks.shared_anchors())
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept string) for each row of ``docs`` (doc_id, text; other columns are not read).
 
     A word goes if a window of 13 words that covers it also starts in a document of a smaller doc_id. Null and blank texts
-    have no words. A null doc_id counts as larger than all others, and rows that share an id as one document.
+    have no words. A null doc_id counts as larger than all others, and rows that share an id as one document. doc_id is of an
+    integer type, as "smaller" is by number.
     """
 
     def finish(t, removed):
@@ -385,7 +440,7 @@ def removals(docs: DataFrame) -> DataFrame:
         return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
     blocks, windows = _windows(docs.select("doc_id", "text"))
-    return blocks.apply(windows, finish, "doc_id long, n_words long, n_removed long, kept string")
+    return blocks.apply(windows, finish, f"doc_id {_kind(docs)}, n_words long, n_removed long, kept string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -397,7 +452,7 @@ def digests(docs: DataFrame) -> DataFrame:
         return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     blocks, windows = _windows(docs.select("doc_id", "text"))
-    return blocks.apply(windows, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return blocks.apply(windows, finish, f"doc_id {_kind(docs)}, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -407,9 +462,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def finish(t, removed):
         texts = [text if not cut else kept for text, (_, cut, kept) in zip(t["text"].to_pylist(), _joined(t, removed), strict=True)]
         t = t.set_column(t.schema.get_field_index("text"), "text", pa.array(texts, type=pa.string()))
-        return t.drop_columns(["__block"])
+        return t.drop_columns([block])
 
     schema = docs.schema
     blocks, windows = _windows(docs)
+    block = blocks.block
     out = blocks.apply(windows, finish, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

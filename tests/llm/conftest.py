@@ -32,7 +32,7 @@ def docs(spark, texts):
     """With extra columns whose names the operators use themselves, repeated rows and a null id."""
     rows = [(k * 3 % 101 + 200 * (k * 3 // 101), t, "en", 1, "x", 7) for k, t in enumerate(texts)]
     rows += [rows[5], rows[17], (None, texts[3], None, None, None, None), (None, None, None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, block int, fp string, component_id long").repartition(3).cache()
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, __block int, fp string, component_id long").repartition(3).cache()
 
 
 @pytest.fixture(scope="session")
