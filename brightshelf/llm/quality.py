@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_batches, stored
+from .common import attach_small, document_batches, stored
 
 #: Share of a class covariance that comes from the pooled one, and of the result that is its mean variance times I.
 POOLED, RIDGE = 0.2, 0.02
+#: Labelled documents that the discriminant is fitted to, about: of more, those of the smallest hashes of their ids.
+LABELLED = 16_384
 #: A text is kept from this score on.
 THRESHOLD = 0.5
 
@@ -73,25 +75,33 @@ class Discriminant:
     def of_text(self, text: str) -> Column:
         return F.pandas_udf(lambda texts: pd.Series(self.score(np.array([statistics(x) for x in texts])) if len(texts) else []), "double")(text)
 
-    def of_statistics(self, column: str) -> Column:
-        return F.pandas_udf(lambda rows: pd.Series(self.score(np.stack(rows.to_numpy())) if len(rows) else []), "double")(column)
-
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """The third of the documents whose labels are never learnt."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
-    """The discriminant of ``stats`` (doc_id, stats) and ``labels`` (doc_id, quality).
+def known(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the documents that are learnt: about LABELLED of them at most.
+
+    Label rows without a doc_id or quality, or of a held-out document, are left out; a document with several labels has the
+    one most of them give, 1 in a tie.
+    """
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    found = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    share = LABELLED / max(found.count(), LABELLED)
+    return stored(found.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))), "labelled")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """The discriminant of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), fitted to known() labels.
 
-    Label rows without a doc_id or quality, or of a held-out document, are left out; a document with several labels has
-    the one most of them give, 1 in a tie. Each class is known by the sums and products of its rows, which Spark adds
-    up. With too few rows of a class it takes the pooled covariance; with none at all, both classes are alike, so every
-    text scores the prior.
+    Each class is known by the sums and products of its rows, which Spark adds up. With too few rows of a class it takes
+    the pooled covariance; with none at all, both classes are alike, so every text scores the prior.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    rows = stats.select("doc_id", "stats").join(known, "doc_id").select("quality", F.expr("concat(array(1D), stats)").alias("x"))
+    chosen = attach_small(document_batches(docs).select("doc_id", "text"), known(labels), ["doc_id"]).where("quality is not null")
+    stats = chosen.select("quality", statistics_of("text").alias("stats"))
+    rows = stats.select("quality", F.expr("concat(array(1D), stats)").alias("x"))
     k = len(STATISTICS) + 1
     product = F.expr("flatten(transform(x, a -> transform(x, b -> a * b)))")
     sums = rows.select("quality", F.posexplode(product).alias("at", "v")).groupBy("quality", "at").agg(F.sum("v").alias("v")).collect()
@@ -127,12 +137,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored like any other, by the statistics of no words. Rows with a null doc_id are scored and
     not held out. Repeated rows are scored alike.
     """
-    stats = stored(document_batches(docs).select("doc_id", statistics_of("text").alias("stats")), "statistics")
-    model = fit(stats, labels)
-    return stats.select("doc_id", held_out().alias("held_out"), model.of_statistics("stats").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    model = fit(docs, labels)
+    scored = document_batches(docs).select("doc_id", held_out().alias("held_out"), model.of_text("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more, with all their columns."""
-    model = fit(stored(document_batches(docs).select("doc_id", statistics_of("text").alias("stats")), "statistics"), labels)
-    return docs.where(model.of_text("text") >= THRESHOLD)
+    return document_batches(docs).where(fit(docs, labels).of_text("text") >= THRESHOLD)
