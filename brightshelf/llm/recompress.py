@@ -18,7 +18,10 @@ WINDOW = 13
 #: Blocks of documents and ranges of names for each shuffle partition: enough to deal them evenly.
 BLOCKS_EACH, BUCKETS_EACH = 2, 1
 #: Bytes of text that are parsed at a time, and bytes of a word from which it is hashed by itself.
-AT_ONCE, LONG = 4_000_000, 256
+AT_ONCE, LONG = 1_000_000, 256
+
+#: What of a name of symbols is sent: names that differ in their low bits alone only cost a comparison of their windows.
+_SENT = np.uint64(0xFFFF_FFFF_FFFF_0000)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _rng = np.random.default_rng(20_240_913)
@@ -151,7 +154,7 @@ class Words:
             mate = keep + joins[keep]
             name = np.where(joins[keep], _mix(name[keep] * _M2 + _mix(name[mate] + salt)), name[keep])
             low, high, first, opens = np.minimum(low[keep], low[mate]), np.maximum(high[keep], high[mate]), first[keep], opens[keep]
-        return best
+        return best & _SENT
 
     @staticmethod
     def _offer(best: np.ndarray, at: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> bool:
