@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import loaded, non_price_filter, price, price_filter, relevance
+from .search import loaded, merit, non_price_filter, price, price_filter
 
 #: A parameter is shown if this share of the results has it and its values are no more than this share distinct; how many
 #: parameters and values are shown.
@@ -13,15 +13,15 @@ COVERAGE, DISTINCT, GROUPS, VALUES = 0.05, 0.8, 8, 20
 
 
 def products(hits: DataFrame, catalog: DataFrame, filters: dict | None = None) -> DataFrame:
-    """Hits with their products and ``rank``, of those that pass all filters but the price."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*relevance()))
-    return loaded(hits, catalog).withColumn("rank", rank).where(non_price_filter(filters))
+    """Hits with their products and ``merit``, of those that pass all filters but the price. The earlier of two hits is that of
+    the greater merit; so the first of many is an aggregate, and hits need not be sorted."""
+    return loaded(hits, catalog).withColumn("merit", F.struct(*merit())).where(non_price_filter(filters))
 
 
 def categories(rows: DataFrame, filters: dict | None = None) -> DataFrame:
     """(query_id, value, count, position): by count, ties in the order of their first product."""
-    counts = rows.where(price_filter(filters) & (F.coalesce("category", F.lit("")) != "")).groupBy("query_id", F.col("category").alias("value")).agg(F.count("*").alias("count"), F.min("rank").alias("seen"))
-    return counts.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("count"), "seen"))).drop("seen")
+    counts = rows.where(price_filter(filters) & (F.coalesce("category", F.lit("")) != "")).groupBy("query_id", F.col("category").alias("value")).agg(F.count("*").alias("count"), F.max("merit").alias("seen"))
+    return counts.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("count"), F.desc("seen")))).drop("seen")
 
 
 def price_bounds(rows: DataFrame) -> DataFrame:
@@ -36,19 +36,19 @@ def params(rows: DataFrame, filters: dict | None = None, fields: list[str] | Non
     their first product; with them, they are those keys in that order.
     """
     passing = rows.where(price_filter(filters))
-    pairs = passing.select("query_id", "rank", F.posexplode(F.map_entries(F.coalesce("params", F.create_map().cast("map<string,string>")))).alias("at", "e"))
-    pairs = pairs.select("query_id", "rank", "at", F.col("e.key").alias("key"), F.col("e.value").alias("value")).where(F.coalesce("value", F.lit("")) != "")
+    pairs = passing.select("query_id", "merit", F.posexplode(F.map_entries(F.coalesce("params", F.create_map().cast("map<string,string>")))).alias("at", "e"))
+    pairs = pairs.select("query_id", "merit", (-F.col("at")).alias("at"), F.col("e.key").alias("key"), F.col("e.value").alias("value")).where(F.coalesce("value", F.lit("")) != "")
     if fields is not None:
         pairs = pairs.where(F.col("key").isin(fields)) if fields else pairs.where(F.lit(False))
-    counts = pairs.groupBy("query_id", "key", "value").agg(F.count("*").alias("count"), F.min(F.struct("rank", "at")).alias("seen"))
-    keys = counts.groupBy("query_id", "key").agg(F.sum("count").alias("having"), F.count("*").alias("distinct"), F.min("seen").alias("seen"))
+    counts = pairs.groupBy("query_id", "key", "value").agg(F.count("*").alias("count"), F.max(F.struct("merit", "at")).alias("seen"))
+    keys = counts.groupBy("query_id", "key").agg(F.sum("count").alias("having"), F.count("*").alias("distinct"), F.max("seen").alias("seen"))
     if fields is not None:
         place = F.create_map(*(x for k, f in enumerate(fields) for x in (F.lit(f), F.lit(k + 1)))) if fields else F.create_map().cast("map<string,int>")
         keys = keys.withColumn("key_position", F.try_element_at(place, F.col("key")))
     else:
         totals = passing.groupBy("query_id").agg(F.count("*").alias("total"))
         keys = keys.join(totals, "query_id").where((F.col("having") / F.col("total") >= COVERAGE) & (F.col("distinct") / F.col("having") <= DISTINCT))
-        keys = keys.withColumn("key_position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("having") / F.col("total")), "seen"))).where(F.col("key_position") <= GROUPS)
+        keys = keys.withColumn("key_position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("having") / F.col("total")), F.desc("seen")))).where(F.col("key_position") <= GROUPS)
     place = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("count"), "value"))
     out = counts.drop("seen").join(keys.select("query_id", "key", "key_position"), ["query_id", "key"]).withColumn("value_position", place)
     return out.where(F.col("value_position") <= VALUES).select("query_id", "key", "key_position", "value", "count", "value_position")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 #: What a hit of a fallback keeps of its score.
 LAYOUT, NGRAM = 0.9, 0.5
+#: Queries of a batch that are a constant of the plan, and tokens that are looked for in the scan of the postings.
+BATCH, TOKENS_PUSHED = 10_000, 1000
+#: Hits of a task.
+HITS_EACH = 100_000
 #: The limit that stands for "all", and the one of a request that names none.
 ALL, DEFAULT_LIMIT = 10_000, 50
 
@@ -28,8 +33,9 @@ def as_list(value) -> list:
 
 
 def prepared(queries: DataFrame) -> DataFrame:
-    """``queries`` (query_id, project_id, q) with normalized, tokens and layout_variants."""
-    return queries.select("query_id", F.coalesce("project_id", F.lit("demo")).alias("project_id"), "q", *X.process("q"))
+    """``queries`` (query_id, project_id, q, perhaps limit) with normalized, tokens and layout_variants."""
+    limit = ["limit"] if "limit" in queries.columns else []
+    return queries.select("query_id", F.coalesce("project_id", F.lit("demo")).alias("project_id"), "q", *limit, *X.process("q"))
 
 
 def expand_synonyms(processed: DataFrame, synonyms: DataFrame | None) -> DataFrame:
@@ -52,10 +58,16 @@ def expand_synonyms(processed: DataFrame, synonyms: DataFrame | None) -> DataFra
 
 
 def _scored(tokens: DataFrame, postings: DataFrame, *also: str) -> DataFrame:
-    """Sum of the postings of each query's tokens, with the first token that hit and its posting's score."""
+    """Sum of the postings of each query's tokens, with the first token that hit and its posting's score.
+
+    Place and score of the first are one number, so that the aggregation is by hashing: the place above 44 bits that hold
+    the score in steps of 2 ** -16 (scores are multiples of 0.5).
+    """
     hits = tokens.join(postings, ["project_id", "token"])
-    first = F.min_by(F.struct(F.col("pos").alias("first_pos"), F.col("score").alias("first_score")), "pos")
-    return hits.groupBy("query_id", *also, "project_id", "product_id").agg(F.sum("score").alias("score"), first.alias("f")).select("query_id", *also, "project_id", "product_id", "score", "f.first_pos", "f.first_score")
+    placed = F.shiftleft(F.col("pos").cast("long"), 44) + F.least((F.col("score") * 65536).cast("long"), F.lit((1 << 44) - 1))
+    found = hits.groupBy("query_id", *also, "project_id", "product_id").agg(F.sum("score").alias("score"), F.min(placed).alias("f"))
+    score = F.col("f").bitwiseAND(F.lit((1 << 44) - 1)) / 65536
+    return found.select("query_id", *also, "project_id", "product_id", "score", F.shiftright("f", 44).cast("int").alias("first_pos"), score.alias("first_score"))
 
 
 def token_hits(processed: DataFrame, postings: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -118,21 +130,79 @@ def _earliest(hits: DataFrame) -> DataFrame:
     return best.select("query_id", "project_id", "product_id", *(F.col(f"h.{c}").alias(c) for c in _HIT))
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows of the caller's as a constant of the plan. The optimizer knows that they are few, so what they are joined with is
+    not shuffled for them."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _unbounded(queries: DataFrame, index: Index, synonyms: DataFrame | None) -> DataFrame:
+    """candidates() of a table of queries: each stage is part of one plan."""
+    processed = prepared(queries)
+    found = _earliest(token_hits(processed, index.postings, synonyms).unionByName(layout_hits(processed, index.postings)))
+    counts = found.groupBy("query_id").agg(F.count_if(F.col("stage") == 0).alias("direct"), F.count("*").alias("all"))
+    few = F.coalesce("direct", F.lit(0)) < F.col("limit")
+    gate = processed.join(counts, "query_id", "left").withColumn("few", few)
+    kept = found.join(gate.select("query_id", "few"), "query_id").where((F.col("stage") == 0) | F.col("few")).drop("few")
+    short = gate.where(F.coalesce(F.when(F.col("few"), F.col("all")).otherwise(F.col("direct")), F.lit(0)) < F.col("limit"))
+    return _earliest(kept.unionByName(ngram_hits(short, index)))
+
+
+def _of_tokens(postings: DataFrame, tokens: set[tuple[str, str]]) -> DataFrame:
+    """The postings of some (project_id, token); with few tokens the filter reaches the scan, where they lie together."""
+    if len(tokens) > TOKENS_PUSHED:
+        return postings
+    return postings.where(F.col("project_id").isin(sorted({p for p, _ in tokens})) & F.col("token").isin(sorted({t for _, t in tokens})))
+
+
+def _staged(queries: DataFrame, index: Index, synonyms: DataFrame | None) -> tuple[DataFrame, int]:
+    """candidates(), and the highest limit."""
+    processed = prepared(queries)
+    rows = processed.take(BATCH + 1)
+    if len(rows) > BATCH:
+        return _unbounded(queries, index, synonyms), queries.agg(F.max("limit")).first()[0]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in processed.schema)
+    literal = lambda some: literal_rows(queries.sparkSession, [r.asDict() for r in some], schema)
+    words = expand_synonyms(literal(rows), synonyms).collect() if synonyms is not None else [{**r.asDict(), "token": t} for r in rows for t in r["tokens"]]
+    wanted = {(w["project_id"], w["token"]) for w in words}
+    postings = _of_tokens(index.postings, wanted)
+    sized = literal_rows(queries.sparkSession, [{"project_id": p, "token": t} for p, t in wanted], "project_id string, token string").join(postings, ["project_id", "token"])
+    sizes = {(r["project_id"], r["token"]): r["n"] for r in sized.groupBy("project_id", "token").agg(F.count("*").alias("n")).collect()} if wanted else {}
+    most: dict = {}
+    for w in words:
+        most[w["query_id"]] = max(most.get(w["query_id"], 0), sizes.get((w["project_id"], w["token"]), 0))
+    rare = [r for r in rows if most.get(r["query_id"], 0) < r["limit"]]
+    plain = [r for r in rows if most.get(r["query_id"], 0) >= r["limit"]]
+    # Each posting is dealt once, by its product; so a task has all postings of its products, whatever the number of queries
+    # that have their tokens, and what is aggregated and ranked for a query need not be shuffled but for its best few.
+    # The tasks are as many as the hits call for, not the few that the postings alone would.
+    hits = sum(sizes.get((w["project_id"], w["token"]), 0) for w in words)
+    parts = min(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + hits // HITS_EACH)
+    postings = postings.repartition(parts, "project_id", "product_id")
+    found = [token_hits(literal(plain), postings, synonyms)] if plain or not rare else []
+    if rare:
+        asked = literal(rare)
+        both = _earliest(token_hits(asked, postings, synonyms).unionByName(layout_hits(asked, index.postings)))
+        counts = {r["query_id"]: r for r in both.groupBy("query_id").agg(F.count_if(F.col("stage") == 0).alias("direct"), F.count("*").alias("all")).collect()}
+        few = [r for r in rare if r["query_id"] not in counts or counts[r["query_id"]]["direct"] < r["limit"]]
+        short = [r for r in few if r["query_id"] not in counts or counts[r["query_id"]]["all"] < r["limit"]]
+        kept = both.where((F.col("stage") == 0) | F.col("query_id").isin([r["query_id"] for r in few]))
+        found.append(_earliest(kept.unionByName(ngram_hits(literal(short), index))) if short else kept)
+    return reduce(DataFrame.unionByName, found), max((r["limit"] for r in rows), default=0)
+
+
 def candidates(queries: DataFrame, index: Index, synonyms: DataFrame | None = None) -> DataFrame:
     """The hits of each query (query_id, project_id, q, limit), without order.
 
     A query with fewer hits than its limit is tried in other keyboard layouts; if it still has fewer, by n-grams. A
-    fallback adds products that are not there yet. The layouts cost a few more tokens of the same join, so they are looked
-    up for all; n-grams, which reach far more postings, only for the queries that need them.
+    fallback adds products that are not there yet.
+
+    A batch of up to BATCH queries is a constant of the plan, and what a stage leaves to do is asked of the index before the
+    next one is planned: first, by one count for each of its tokens, which queries may have too few hits at all, as none of
+    their tokens alone is in as many products as they ask for; then, of those, which need n-grams. So most batches are one
+    join of tokens with postings. More queries than that are one plan with all stages.
     """
-    processed = prepared(queries).join(queries.select("query_id", "limit"), "query_id")
-    found = _earliest(token_hits(processed, index.postings, synonyms).unionByName(layout_hits(processed, index.postings)))
-    counts = found.groupBy("query_id").agg(F.count_if(F.col("stage") == 0).alias("direct"), F.count("*").alias("all"))
-    gate = processed.join(counts, "query_id", "left").withColumns({"direct": F.coalesce("direct", F.lit(0)), "all": F.coalesce("all", F.lit(0))})
-    few = F.col("direct") < F.col("limit")
-    kept = found.join(gate.select("query_id", few.alias("few")), "query_id").where((F.col("stage") == 0) | F.col("few")).drop("few")
-    short = gate.where(F.when(few, F.col("all")).otherwise(F.col("direct")) < F.col("limit"))
-    return _earliest(kept.unionByName(ngram_hits(short, index)))
+    return _staged(queries, index, synonyms)[0]
 
 
 #: Hits of one query from the best on.
@@ -143,6 +213,11 @@ def relevance() -> list[Column]:
     return [F.desc(k.split()[0]) if k.endswith("DESC") else F.asc(k) for k in RELEVANCE]
 
 
+def merit() -> list[Column]:
+    """The columns of RELEVANCE as values of which the greater comes first."""
+    return [F.col(k.split()[0]) if k.endswith("DESC") else (-F.col(k)).alias(k) for k in RELEVANCE]
+
+
 def price() -> Column:
     return F.coalesce("price", F.lit(0.0))
 
@@ -173,18 +248,17 @@ def loaded(hits: DataFrame, catalog: DataFrame) -> DataFrame:
     return hits.join(catalog.withColumnRenamed("id", "product_id"), ["project_id", "product_id"])
 
 
-def ranked(hits: DataFrame, catalog: DataFrame, filters: dict | None = None, sort: str = "relevance", needs_products: bool = False) -> DataFrame:
-    """Hits with their ``position`` (from 1) after filters, in the order of ``sort``.
+def passing(hits: DataFrame, catalog: DataFrame, filters: dict | None = None, sort: str = "relevance", needs_products: bool = False) -> tuple[DataFrame, list[Column]]:
+    """Hits after filters, and the order of ``sort``.
 
     Where products are needed (filters, facets or a price order), those out of stock come last whatever the order.
     Without, products are not read, and stock plays no part.
     """
     if not filters and sort not in ("price_asc", "price_desc") and not needs_products:
-        return hits.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*relevance())))
+        return hits, relevance()
     rows = loaded(hits, catalog).where(non_price_filter(filters) & price_filter(filters))
     by_price = {"price_asc": [price().asc()], "price_desc": [price().desc()]}.get(sort, [])
-    order = [(~F.coalesce("in_stock", F.lit(True))).asc(), *by_price, *relevance()]
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return rows, [(~F.coalesce("in_stock", F.lit(True))).asc(), *by_price, *relevance()]
 
 
 def search(
@@ -193,14 +267,17 @@ def search(
     """(query_id, position, id, name, score, total, ...): a page of each query's results.
 
     ``queries`` is (query_id, project_id, q, limit). ``total`` counts what passes the filters; ``score`` is rounded to 2
-    places. A query without tokens has no rows.
+    places. A query without tokens has no rows. Ranks end at the batch's highest limit, so each task passes on no more
+    rows of a query than that; totals are counted where the hits lie.
     """
-    hits = ranked(candidates(queries, index, synonyms), catalog, filters, sort, facets)
-    totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))
-    limits = queries.select("query_id", "limit")
-    rows = hits.join(limits, "query_id").where((F.col("position") > offset) & (F.col("position") <= offset + F.col("limit")))
-    rows = rows.select("query_id", "project_id", "product_id", "position", "score").join(totals, "query_id")
-    out = loaded(rows, catalog)
+    hits, limit = _staged(queries, index, synonyms)
+    rows, order = passing(hits, catalog, filters, sort, facets)
+    # Counted with the columns that ranks are made of, so that both read the same exchange.
+    totals = rows.groupBy("query_id").agg(F.count_if(F.col("score").isNotNull() & F.col("first_score").isNotNull()).alias("total"))
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    top = rows.withColumn("position", position).where(F.col("position") <= offset + limit).select("query_id", "project_id", "product_id", "position", "score")
+    page = top.join(queries.select("query_id", "limit"), "query_id").where((F.col("position") > offset) & (F.col("position") <= offset + F.col("limit")))
+    out = loaded(page.join(totals, "query_id"), catalog)
     return out.select("query_id", "position", F.col("product_id").alias("id"), "name", F.bround("score", 2).alias("score"), "total", "price", "in_stock", "category", "brand")
 
 

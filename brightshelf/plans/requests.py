@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from ..operators import facets, related, search, suggest
 
 
-def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """Rows of the caller's as a constant of the plan. The optimizer knows that they are few, so what they are joined with is
-    not shuffled for them."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
-
-
 QUERY = "query_id int, project_id string, q string, `limit` int"
 
 
@@ -23,7 +17,7 @@ def of_queries(spark: SparkSession, texts: list[str], limit: int | list[int] = 2
     """(query_id, project_id, q, limit) of literal queries; one limit for all, or one for each."""
     limits = limit if isinstance(limit, list) else [limit] * len(texts)
     rows = [{"query_id": k, "project_id": project_id, "q": q, "limit": n} for k, (q, n) in enumerate(zip(texts, limits, strict=True))]
-    return literal_rows(spark, rows, QUERY)
+    return search.literal_rows(spark, rows, QUERY)
 
 
 def search_request(spark: SparkSession, index: search.Index, catalog: DataFrame, request: dict, synonyms: DataFrame | None = None) -> dict[str, DataFrame]:

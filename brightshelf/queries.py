@@ -210,7 +210,7 @@ SYN_QUERIES = [("crimson hoop", 15), ("bar", 15), ("ring", 10)]
 @query(O.search(SYN_QUERIES, SYNONYMS))
 def search_synonyms(spark, sf_dir):
     cat, idx = built(spark, sf_dir)
-    groups = requests.literal_rows(spark, [{"project_id": "demo", "group_pos": k, "words": g} for k, g in enumerate(SYNONYMS)], "project_id string, group_pos int, words array<string>")
+    groups = search.literal_rows(spark, [{"project_id": "demo", "group_pos": k, "words": g} for k, g in enumerate(SYNONYMS)], "project_id string, group_pos int, words array<string>")
     return search.search(asked(spark, SYN_QUERIES), idx, cat, synonyms=groups)
 
 
@@ -779,7 +779,7 @@ _PAD = "'__' || {0} || '__'"
 def ngram_padded(spark, sf_dir):
     posted = index.postings(C.from_parts(spark, sf_dir))
     idx = search.Index(posted, index.ngram_index(posted, X.padded_ngrams))
-    asks = requests.literal_rows(spark, [{"query_id": 0, "project_id": "demo", "tokens": ["widgetz", "anvi"]}], "query_id int, project_id string, tokens array<string>")
+    asks = search.literal_rows(spark, [{"query_id": 0, "project_id": "demo", "tokens": ["widgetz", "anvi"]}], "query_id int, project_id string, tokens array<string>")
     return search.ngram_hits(asks, idx, rich.KEPT, rich.SIMILAR, X.padded_ngrams).select("product_id", "score")
 
 

@@ -25,7 +25,7 @@ def one_job(spark):
 
 
 def comparable(rows):
-    return sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    return [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
 
 
 def text_key(rows):
