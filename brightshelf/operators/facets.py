@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.catalog import DEMO, of_project
 from .search import loaded, merit, non_price_filter, price, price_filter
 
 #: A parameter is shown if this share of the results has it and its values are no more than this share distinct; how many
@@ -54,14 +55,16 @@ def params(rows: DataFrame, filters: dict | None = None, fields: list[str] | Non
     return out.where(F.col("value_position") <= VALUES).select("query_id", "key", "key_position", "value", "count", "value_position")
 
 
-def category_counts(catalog: DataFrame) -> DataFrame:
-    """(category, count, total_products): the categories of a catalog by their products, ties by name."""
+def category_counts(catalog: DataFrame, project_id: str = DEMO) -> DataFrame:
+    """(category, count, total_products): the categories of a project by their products, ties by name."""
+    catalog = of_project(catalog, project_id)
     counts = catalog.where(F.coalesce("category", F.lit("")) != "").groupBy("category").agg(F.count("*").alias("count"))
     return counts.join(catalog.agg(F.count("*").alias("total_products"))).orderBy(F.desc("count"), "category")
 
 
-def field_values(catalog: DataFrame, field: str, limit: int = 50) -> DataFrame:
-    """(value, count): the values of a column or of ``params.<key>``, null and empty ones left out."""
+def field_values(catalog: DataFrame, field: str, limit: int = 50, project_id: str = DEMO) -> DataFrame:
+    """(value, count): a project's values of a column or of ``params.<key>``, null and empty ones left out."""
+    catalog = of_project(catalog, project_id)
     value = F.try_element_at("params", F.lit(field.removeprefix("params."))) if field.startswith("params.") else F.col(field).cast("string")
     counts = catalog.select(value.alias("value")).where(F.coalesce("value", F.lit("")) != "").groupBy("value").agg(F.count("*").alias("count"))
     return counts.orderBy(F.desc("count"), "value").limit(limit)
@@ -71,10 +74,10 @@ def field_values(catalog: DataFrame, field: str, limit: int = 50) -> DataFrame:
 SERVICE = ("id", "name", "description", "url", "image", "price", "old_price", "in_stock", "project_id")
 
 
-def fields(catalog: DataFrame, sample: int = 20) -> DataFrame:
-    """(field): what a catalog offers to filter by, from its first products by id: ``params.<key>``, brand, category and
+def fields(catalog: DataFrame, sample: int = 20, project_id: str = DEMO) -> DataFrame:
+    """(field): what a project offers to filter by, from its first products by id: ``params.<key>``, brand, category and
     other columns that are not service ones."""
-    rows = catalog.orderBy("id").limit(sample)
+    rows = of_project(catalog, project_id).orderBy("id").limit(sample)
     keys = rows.select(F.explode(F.map_keys("params")).alias("k")).select(F.concat(F.lit("params."), "k").alias("field"))
     plain = [c for c in catalog.columns if c not in SERVICE and c != "params"] + ["brand", "category"]
     listed = catalog.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(plain)], "field string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.catalog import DEMO, latest
 
 #: What an occurrence of a token adds to its score, by field.
 NAME, DESCRIPTION, BRAND, CATEGORY, VENDOR_CODE, PARAM = 3.0, 1.0, 2.0, 1.5, 3.0, 2.0
@@ -73,13 +74,13 @@ def clear(df: DataFrame, project_id: str) -> DataFrame:
     return df.where(~F.col("project_id").eqNullSafe(F.lit(project_id)))
 
 
-def merge_delta(catalog: DataFrame, delta: DataFrame) -> DataFrame:
-    """The catalog after price and stock changes (id, price, old_price, in_stock, quantity; null: not supplied).
+def merge_delta(catalog: DataFrame, delta: DataFrame, project_id: str = DEMO) -> DataFrame:
+    """The catalog after price and stock changes of a project (id, price, old_price, in_stock, quantity; null: not supplied).
 
-    Only known ids are touched. ``changed`` is true where price or stock differ, or an old price or quantity came.
+    Only known ids of that project are touched; of changes of one id the last in the input counts. ``changed`` is true where price or stock differ, or an old price or quantity came.
     """
-    d = delta.select(F.col("id"), *(F.col(c).alias(f"new_{c}") for c in ("price", "old_price", "in_stock", "quantity")))
-    joined = catalog.join(d, "id", "left")
+    d = latest(delta.select(F.lit(project_id).alias("project_id"), "id", *(F.col(c).alias(f"new_{c}") for c in ("price", "old_price", "in_stock", "quantity"))))
+    joined = catalog.join(d, ["project_id", "id"], "left")
     differs = lambda c: F.col(f"new_{c}").isNotNull() & ~F.col(f"new_{c}").eqNullSafe(F.col(c))
     changed = differs("price") | differs("in_stock") | F.col("new_old_price").isNotNull() | F.col("new_quantity").isNotNull()
     quantity = F.coalesce("new_quantity", "quantity") if "quantity" in catalog.columns else F.col("new_quantity")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.catalog import DEMO, of_project
 from .search import as_list
 
 
@@ -19,19 +20,19 @@ def field(catalog: DataFrame, name: str) -> Column:
     return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), param)
 
 
-def by_field(catalog: DataFrame, name: str, value: str, limit: int = 4, exclude: list[str] = ()) -> DataFrame:
-    """The first products by id whose field has the value, whatever the case."""
-    rows = catalog.where((F.lower(field(catalog, name)) == value.lower()) & (~F.col("id").isin(list(exclude)) if exclude else F.lit(True)))
+def by_field(catalog: DataFrame, name: str, value: str, limit: int = 4, exclude: list[str] = (), project_id: str = DEMO) -> DataFrame:
+    """A project's first products by id whose field has the value, whatever the case."""
+    rows = of_project(catalog, project_id).where((F.lower(field(catalog, name)) == value.lower()) & (~F.col("id").isin(list(exclude)) if exclude else F.lit(True)))
     return rows.orderBy("id").limit(limit)
 
 
-def related_groups(hits: DataFrame, catalog: DataFrame, fields: list[str], limit: int = 4) -> DataFrame:
+def related_groups(hits: DataFrame, catalog: DataFrame, fields: list[str], limit: int = 4, project_id: str = DEMO) -> DataFrame:
     """(query_id, field, position, id): for each query's first hit and each of the fields in turn, other products with its value.
 
-    ``hits`` is (query_id, position, id). The first five hits are left out, and what an earlier field has shown.
+    ``hits`` is (query_id, position, id) of one project. The first five hits are left out, and what an earlier field has shown.
     """
-    # A page of results, which is read several times.
-    hits = hits.select("query_id", "position", "id").where("position <= 5").persist()
+    catalog = of_project(catalog, project_id)
+    hits = hits.select("query_id", "position", "id").where("position <= 5")
     top = hits.where("position = 1").select("query_id", F.col("id").alias("top_id")).join(catalog.withColumnRenamed("id", "top_id"), "top_id")
     of_field = [top.select("query_id", F.lit(k).alias("k"), F.lit(f).alias("field"), F.lower(field(catalog, f)).alias("v")) for k, f in enumerate(fields)]
     wanted = reduce(DataFrame.union, of_field).where("v is not null and v <> ''")
@@ -62,8 +63,8 @@ def in_category(category: str | None) -> Column:
     return F.coalesce(F.col("category") == category, F.lit(False)) | F.coalesce(F.col("category_id").cast("string") == str(category), F.lit(False))
 
 
-def recommend(catalog: DataFrame, popularity: DataFrame, category: str | None = None, limit: int = 8, manual: list[str] = (), attributes: dict | None = None) -> DataFrame:
-    """(id, name, stage, position): products by hand, by attributes, by popularity, and else those in stock.
+def recommend(catalog: DataFrame, popularity: DataFrame, category: str | None = None, limit: int = 8, manual: list[str] = (), attributes: dict | None = None, project_id: str = DEMO) -> DataFrame:
+    """(id, name, stage, position): a project's products by hand, by attributes, by popularity, and else those in stock.
 
     ``popularity`` is (product_id, clicks), of which the first 200 count, ties from z to a. Every stage keeps to the
     category; a product stands in its first stage alone. With attributes the last stage has what their scan passed over:
@@ -71,6 +72,7 @@ def recommend(catalog: DataFrame, popularity: DataFrame, category: str | None =
     or of ids.
     """
     spark = catalog.sparkSession
+    catalog = of_project(catalog, project_id)
     rows = catalog.where(in_category(category))
     stock = F.coalesce("in_stock", F.lit(True))
     pick = lambda df, stage, order: df.select("id", F.lit(stage).alias("stage"), order.alias("at"))
@@ -103,9 +105,10 @@ def _first(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.struct("stage", "at")).alias("m")).select("id", "m.stage", "m.at")
 
 
-def similar(catalog: DataFrame, searched: DataFrame, band: float = 0.3, limit: int = 10) -> DataFrame:
+def similar(catalog: DataFrame, searched: DataFrame, band: float = 0.3, limit: int = 10, project_id: str = DEMO) -> DataFrame:
     """(id, similar_id, position): ``searched`` (id, similar_id, place) are the hits of a product's brand, or else category; those
     stay whose category contains the product's and whose price is within the band, without the product itself."""
+    catalog = of_project(catalog, project_id)
     own = catalog.select("id", F.lower(F.coalesce("category", F.lit(""))).alias("own_category"), F.col("price").alias("own_price"))
     other = catalog.select(F.col("id").alias("similar_id"), F.lower(F.coalesce("category", F.lit(""))).alias("category"), "price")
     rows = searched.join(own, "id").join(other, "similar_id").where(F.col("id") != F.col("similar_id"))

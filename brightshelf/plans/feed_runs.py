@@ -22,7 +22,7 @@ def full(spark: SparkSession, raw: DataFrame, path: str, project_id: str, url: s
 def delta(spark: SparkSession, rows: DataFrame, path: str, project_id: str, url: str = "") -> DataFrame:
     """Merges stock updates into the project's catalog; it is written anew beside the old one, which is then replaced."""
     before = catalog.read(spark, f"{path}/catalog", project_id)
-    merged = index.merge_delta(before, feeds.delta(rows)).withColumn("project_id", F.lit(project_id))
+    merged = index.merge_delta(before, feeds.delta(rows), project_id)
     changed = merged.where("changed").count()
     kept = [c for c in before.columns if c != "project_id"]
     merged.select("project_id", *kept).write.mode("overwrite").parquet(f"{path}/next")

@@ -45,12 +45,22 @@ def from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The project of requests that name none.
+DEMO = "demo"
+
+
+def of_project(df: DataFrame, project_id: str = DEMO) -> DataFrame:
+    """The rows of one project: what is asked of a catalog or an index is asked of one tenant's."""
+    return df.where(F.col("project_id") == project_id)
+
+
 def latest(catalog: DataFrame, order: str | None = None) -> DataFrame:
-    """One row for each (project_id, id): the last by ``order``, or any of equal ones."""
-    if order is None:
-        return catalog.dropDuplicates(["project_id", "id"])
+    """One row for each (project_id, id): the last by ``order``, or else by its place in the input (files in the order in which
+    they are read, rows in that of their file)."""
     columns = [c for c in catalog.columns if c not in ("project_id", "id")]
-    picked = catalog.groupBy("project_id", "id").agg(F.max_by(F.struct(*columns), order).alias("r"))
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    placed = catalog.select("project_id", "id", F.struct(*columns).alias("r"), place.alias("place"))
+    picked = placed.groupBy("project_id", "id").agg(F.max_by("r", "place").alias("r"))
     return picked.select("project_id", "id", *(F.col(f"r.{c}").alias(c) for c in columns))
 
 
