@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import date
 
@@ -83,10 +82,14 @@ def layout_variants(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(X.layout_variants("p_name"), "|").alias("variants"))
 
 
-@query("SELECT DISTINCT word, regexp_matches(word, '[а-яё]') <> regexp_matches(word, '[a-z]') AS wrong FROM (SELECT unnest(['ghbdtn', 'привет', 'mix микс', '123', '5ц30']) AS word)")
+_TYPED = f"SELECT unnest([p_name, {O.layout('p_name')}, p_name || ' ' || {O.layout('p_name')}, p_size::VARCHAR]) AS word FROM part"
+
+
+@query(f"SELECT DISTINCT word, regexp_matches(lower(word), '[а-яё]') <> regexp_matches(lower(word), '[a-z]') AS wrong FROM ({_TYPED})")
 def wrong_layout(spark, sf_dir):
-    rows = spark.createDataFrame([(w,) for w in ("ghbdtn", "привет", "mix микс", "123", "5ц30")], "word string")
-    return rows.select("word", X.wrong_layout("word").alias("wrong"))
+    russian = X.convert_layout("p_name")
+    rows = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", russian, F.concat_ws(" ", "p_name", russian), F.col("p_size").cast("string"))).alias("word"))
+    return rows.select("word", X.wrong_layout("word").alias("wrong")).distinct()
 
 
 @query(f"SELECT DISTINCT p_name, array_to_string({O.ngrams('p_name')}, '|') AS ngrams, array_to_string({O.ngrams(chr(39) + '__' + chr(39) + ' || p_name || ' + chr(39) + '__' + chr(39))}, '|') AS padded, array_to_string({O.ngrams('left(p_name, 2)')}, '|') AS short FROM part")
@@ -95,12 +98,14 @@ def char_ngrams(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_name", F.array_join(X.ngrams(name), "|").alias("ngrams"), F.array_join(X.padded_ngrams(name), "|").alias("padded"), F.array_join(X.ngrams(F.substring(name, 1, 2)), "|").alias("short")).distinct()
 
 
-STEMMED = ("ноутбуки", "красивая", "наушниками", "бегать", "кот", "беспроводные", "дома", "читаешь", "море", "новый")
+_SUFFIXED = f"SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) || e AS word FROM part, (SELECT unnest({O.strings(('', *W.ENDINGS))}) AS e)"
 
 
-@query("SELECT word, CASE WHEN length(word) <= 3 THEN word " + " ".join(f"WHEN word LIKE '%{e}' AND length(word) >= {len(e) + 2} THEN left(word, length(word) - {len(e)})" for e in W.ENDINGS) + f" ELSE word END AS stem FROM (SELECT unnest({O.strings(STEMMED)}) AS word)")
+@query(f"SELECT word, CASE WHEN length(word) <= 3 THEN word " + " ".join(f"WHEN word LIKE '%{e}' AND length(word) >= {len(e) + 2} THEN left(word, length(word) - {len(e)})" for e in W.ENDINGS) + f" ELSE word END AS stem FROM ({_SUFFIXED})")
 def stem_suffix(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in STEMMED], "word string").select("word", X.stem("word").alias("stem"))
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    ended = words.select(F.explode(F.transform(F.array(*map(F.lit, ("", *W.ENDINGS))), lambda e: F.concat("word", e))).alias("word")).distinct()
+    return ended.select("word", X.stem("word").alias("stem"))
 
 
 def _replaced(c: str, groups, letters, last=()) -> str:
@@ -123,13 +128,15 @@ def clean_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_html("html")).alias("cleaned"))
 
 
-PRICES = ("1 299,90", "12.5 руб", "", "abc", "1.299,90", "99")
+#: How a feed may write a number n, by the order's key.
+_WRITTEN = "CASE {k} % 7 WHEN 0 THEN concat({n}, ' ', {k} % 900, ',50') WHEN 1 THEN concat({n}, '.5 руб') WHEN 2 THEN '' WHEN 3 THEN {s} WHEN 4 THEN concat('1.', {n}, ',9') WHEN 5 THEN concat('В ', 'наличии') ELSE 'True' END"
+_WRITTEN_ORDERS = _WRITTEN.format(k="o_orderkey", n="cast(floor(o_totalprice) AS BIGINT)", s="o_orderstatus")
 
 
-@query(f"SELECT v, CASE WHEN d = '' THEN 0.0 ELSE TRY_CAST(d AS DOUBLE) END AS price, lower(v) IN ({', '.join(map(O.text, W.TRUE_WORDS))}) AS yes FROM (SELECT v, regexp_replace(replace(replace(v, ',', '.'), ' ', ''), '[^0-9.]', '', 'g') AS d FROM (SELECT unnest({O.strings((*PRICES, 'True', 'в наличии', 'no'))}) AS v))")
+@query(f"SELECT id, v, CASE WHEN d = '' THEN 0.0 ELSE TRY_CAST(d AS DOUBLE) END AS price, lower(v) IN ({', '.join(map(O.text, W.TRUE_WORDS))}) AS yes FROM (SELECT id, v, regexp_replace(replace(replace(v, ',', '.'), ' ', ''), '[^0-9.]', '', 'g') AS d FROM (SELECT o_orderkey AS id, {_WRITTEN_ORDERS} AS v FROM orders))")
 def parse_price_bool(spark, sf_dir):
-    rows = spark.createDataFrame([(v,) for v in (*PRICES, "True", "в наличии", "no")], "v string")
-    return rows.select("v", X.parse_price("v").alias("price"), X.parse_bool("v").alias("yes"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_WRITTEN_ORDERS).alias("v"))
+    return rows.select("id", "v", X.parse_price("v").alias("price"), X.parse_bool("v").alias("yes"))
 
 
 @query("SELECT p_partkey AS id, regexp_replace(regexp_replace(p_name, '(ring)', '<em>\\1</em>', 'gi'), '(re)', '<em>\\1</em>', 'gi') AS name FROM part")
@@ -349,10 +356,11 @@ def backup_round_trip(spark, sf_dir):
     return back.select("id", "name", "price", "old_price", "in_stock", F.col("params")["size"].alias("size"), F.col("params")["color"].alias("color"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'restore'), ('b', 'rebuild'), ('c', 'none'), ('d', 'none')) v(project_id, step)")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS project_id, CASE WHEN c_custkey % 2 <> 0 AND c_custkey % 5 = 0 THEN 'restore' WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 'rebuild' ELSE 'none' END AS step FROM customer")
 def recovery_plan(spark, sf_dir):
-    of = lambda *ids: spark.createDataFrame([(i,) for i in ids], "project_id string")
-    return C.recovery_plan(of("a", "b", "c", "d"), of("b", "c"), of("c"), of("a", "b"))
+    k = F.col("c_custkey")
+    of = lambda n: table(spark, sf_dir, "customer").where(k % n == 0).select(k.cast("string").alias("project_id"))
+    return C.recovery_plan(of(1), of(2), of(3), of(5))
 
 
 # Suggestions, related products, recommendations.
@@ -545,11 +553,16 @@ def projects_admin_list(spark, sf_dir):
     return analytics.admin_list(projects, _users(spark, sf_dir), keys).select("id", "email", "key")
 
 
-@query("SELECT * FROM (VALUES ('a', 'u'), ('c', 'u'), ('d', 'u')) v(project_id, feed_url)")
+_RUN = "CASE c_custkey % 5 WHEN 0 THEN '2024-01-01T08:00:00Z' WHEN 1 THEN '2024-01-01T08:00:01Z' WHEN 2 THEN 'nonsense' WHEN 3 THEN '2023-06-01T00:00:00Z' END"
+
+
+@query(f"WITH r AS (SELECT c_custkey AS id, {_RUN} AS t FROM customer) SELECT CAST(c_custkey AS VARCHAR) AS project_id, c_name AS feed_url FROM customer JOIN r ON id = c_custkey WHERE c_custkey % 3 <> 0 AND (t IS NULL OR coalesce(TRY_CAST(replace(t, 'Z', '') AS TIMESTAMP), TIMESTAMP '1970-01-01') <= TIMESTAMP '2024-01-01 08:00:00')")
 def stale_feeds(spark, sf_dir):
-    projects = spark.createDataFrame([("a", "u"), ("b", "u"), ("c", "u"), ("d", "u"), ("e", ""), ("f", None)], "project_id string, feed_url string")
-    runs = spark.createDataFrame([("a", "2024-01-01T08:00:00Z", 2), ("b", "2024-01-01T08:00:01Z", 2), ("b", "2023-01-01T00:00:00Z", 1), ("c", "nonsense", 1)], "project_id string, last_update string, ts int")
-    return analytics.stale_feeds(projects, runs, "2024-01-01 12:00:00")
+    customers, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    projects = customers.select(k.cast("string").alias("project_id"), F.when(k % 6 == 0, "").when(k % 3 != 0, F.col("c_name")).alias("feed_url"))
+    last = customers.where(k % 5 < 4).select(k.cast("string").alias("project_id"), F.expr(_RUN).alias("last_update"), F.lit(2).alias("ts"))
+    first = last.select("project_id", F.lit("2020-01-01T00:00:00Z").alias("last_update"), F.lit(1).alias("ts"))
+    return analytics.stale_feeds(projects, last.union(first), "2024-01-01 12:00:00")
 
 
 # Feeds and deltas.
@@ -594,23 +607,24 @@ def index_upsert(spark, sf_dir):
     return index.upsert(index.postings(cat), changed).drop("project_id")
 
 
-_RAW = [("1", "A", "u", "10"), ("", "B", "u", "x1.2.3"), ("3", None, "u", ""), ("4", "D", " ", "5,5")]
+_RAW = "SELECT CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE CAST(p_partkey AS STRING) END AS id, CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'u' END AS url, CASE p_partkey % 3 WHEN 0 THEN 'x1.2.3' WHEN 1 THEN '5,5' ELSE '' END AS price, p_partkey AS k FROM part"
 
 
-@query("SELECT * FROM (VALUES ('1', ''), ('', 'missing id|invalid price'), ('3', 'missing name'), ('4', 'missing url')) v(id, errors)")
+@query(f"SELECT id, concat_ws('|', CASE WHEN trim(id) = '' THEN 'missing id' END, CASE WHEN name IS NULL THEN 'missing name' END, CASE WHEN url = '' THEN 'missing url' END, CASE WHEN price = 'x1.2.3' THEN 'invalid price' END) AS errors FROM ({_RAW})")
 def validate_products(spark, sf_dir):
-    raw = spark.createDataFrame(_RAW, "id string, name string, url string, price string")
-    return feeds.problems(raw).select("id", F.array_join("errors", "|").alias("errors"))
+    raw = spark.sql(_RAW.replace("FROM part", "FROM {parts}"), parts=table(spark, sf_dir, "part"))
+    return feeds.problems(raw.drop("k")).select("id", F.array_join("errors", "|").alias("errors"))
+
+
+_CHANGES = "SELECT CAST(p_partkey AS STRING) AS id, CASE p_partkey % 4 WHEN 0 THEN '1 299,90' WHEN 1 THEN 'bad' WHEN 2 THEN CAST(p_size AS STRING) END AS price, CASE WHEN p_partkey % 3 = 0 THEN concat(p_size, ',5') END AS oldprice, CASE p_partkey % 5 WHEN 0 THEN 'В наличии' WHEN 1 THEN 'no' WHEN 2 THEN 'TRUE' WHEN 3 THEN 'available' END AS available, CASE p_partkey % 6 WHEN 0 THEN '3' WHEN 1 THEN 'x' END AS quantity FROM part"
 
 
-@query("SELECT * FROM (VALUES ('1', 1299.9, NULL, true, 3), ('2', NULL, 10.0, false, NULL), ('3', NULL, NULL, NULL, NULL)) v(id, price, old_price, in_stock, quantity)")
+@query(f"SELECT id, TRY_CAST(replace(replace(price, ',', '.'), ' ', '') AS DOUBLE) AS price, TRY_CAST(replace(oldprice, ',', '.') AS DOUBLE) AS old_price, lower(available) IN ({', '.join(map(O.text, W.STOCK_WORDS))}) AS in_stock, TRY_CAST(quantity AS INTEGER) AS quantity FROM ({_CHANGES})")
 def delta_parse(spark, sf_dir):
-    raw = [("1", "1 299,90", None, "В наличии", "3"), ("2", "bad", "10", "no", "x"), ("3", None, None, None, None)]
-    out = feeds.delta(spark.createDataFrame(raw, "id string, price string, oldprice string, available string, quantity string"))
-    return out.select("id", F.col("price").cast("decimal(9,1)").alias("price"), F.col("old_price").cast("decimal(9,1)").alias("old_price"), "in_stock", "quantity")
+    return feeds.delta(spark.sql(_CHANGES.replace("FROM part", "FROM {parts}"), parts=table(spark, sf_dir, "part")))
 
 
-@query()
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' & co' AS name, p_retailprice AS price, p_partkey % 7 <> 0 AS in_stock, category, p_brand AS brand, '{\"size\":\"' || p_size || '\"}' AS params FROM part JOIN (SELECT length(p_type) AS n, min(lower(p_type)) AS category FROM part GROUP BY 1) ON n = length(p_type)")
 def feed_yml(spark, sf_dir):
     rows = table(spark, sf_dir, "part")
     attrs = F.concat(F.lit('<offer id="'), F.col("p_partkey").cast("string"), F.lit('" available="'), F.when(F.col("p_partkey") % 7 == 0, "false").otherwise("true"), F.lit('">'))
@@ -718,7 +732,7 @@ def vector_upsert_delete(spark, sf_dir):
     return vectors.delete(vectors.upsert(points, fresh), points.where(n % 5 == 0)).select("id", (~F.map_contains_key("payload", "new")).alias("old"))
 
 
-@query()
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, 1.0::DOUBLE AS norm FROM part")
 def embed_products(spark, sf_dir):
     cat = C.from_parts(spark, sf_dir).withColumn("search_text", F.lit(""))
     return vectors.embed(cat, X.embedding_text()).select("id", F.round(vectors.norm(F.col("vector")), 4).alias("norm"))
@@ -783,10 +797,10 @@ def ngram_padded(spark, sf_dir):
     return search.ngram_hits(asks, idx, rich.KEPT, rich.SIMILAR, X.padded_ngrams).select("product_id", "score")
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'red|crimson|scarlet'), (0, 1, 'ring')) v(query_id, pos, words)")
+@query("SELECT query_id, pos::INT AS pos, CASE token WHEN 'red' THEN 'red|crimson|scarlet' WHEN 'gear' THEN 'gear|cog' ELSE token END AS words FROM (SELECT p_partkey AS query_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part))")
 def synonym_lists(spark, sf_dir):
-    tokens = spark.createDataFrame([(0, 0, "red"), (0, 1, "ring")], "query_id int, pos int, token string")
-    known = spark.createDataFrame([("red", ["crimson", "red", "scarlet"])], "word string, synonyms array<string>")
+    tokens = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.posexplode(F.split("p_name", " ")).alias("pos", "token"))
+    known = spark.createDataFrame([("red", ["crimson", "red", "scarlet"]), ("gear", ["cog"])], "word string, synonyms array<string>")
     return search.synonym_lists(tokens, known).select("query_id", "pos", F.array_join("words", "|").alias("words"))
 
 
@@ -824,18 +838,10 @@ def catalog_summary(spark, sf_dir):
 @query("SELECT date_trunc('day', ts) AS bucket, event_type, count(*) AS count FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf_dir):
     stream = counters.counts(counters.read_events(spark, f"{sf_dir}/events.parquet"), "1 day", "event_type")
-    return counters.to_table(stream, "stream_daily_counts", checkpoint=_checkpoint(spark)).select(F.to_timestamp_ntz(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss")).alias("bucket"), "event_type", "count")
+    return counters.to_table(stream).select(F.to_timestamp_ntz(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss")).alias("bucket"), "event_type", "count")
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS r FROM events) WHERE r <= 1000 GROUP BY 1")
 def stream_recent_means(spark, sf_dir):
     stream = counters.recent_means(counters.read_events(spark, f"{sf_dir}/events.parquet"))
-    return counters.to_table(stream, "stream_recent_means", "update", _checkpoint(spark)).select("event_type", "n", F.round("mean", 6).alias("mean"))
-
-
-def _checkpoint(spark) -> str:
-    """A folder for a stream's progress: in the shared one where the session names it."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brightshelf-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return counters.to_table(stream, ["event_type"]).select("event_type", "n", F.round("mean", 6).alias("mean"))

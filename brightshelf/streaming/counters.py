@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,12 +55,37 @@ def recent_means(events: DataFrame, key: str = "event_type", value: str = "value
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} string, n long, mean double", "at array<long>, v array<double>", "update", "NoTimeout")
 
 
-def to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, run to its end into a table in memory."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder in the one that driver and executors share; a temporary one only for a local session that names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="brightshelf-")
+    return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def to_table(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Everything that is there now, run to its end into the shared folder, a folder for each batch.
+
+    Without ``keys`` each batch is the whole result, so the last one is read; with them batches are updates, so the last
+    row of each key is.
+    """
+    spark, path, numbers = stream.sparkSession, shared_folder(stream.sparkSession, "stream"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        numbers.append(number)
+
+    mode = "update" if keys else "complete"
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={max(numbers)}")
+    rows = spark.read.parquet(f"{path}/rows")
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in others)).select(*stream.columns)
 
 
 def append_counts(stream: DataFrame, path: str, checkpoint: str):

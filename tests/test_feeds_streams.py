@@ -1,3 +1,4 @@
+import os
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -51,15 +52,37 @@ def test_report_windows(spark):
     assert [tuple(r) for r in out["popular_queries"].collect()] == [("a b", 1)]
 
 
-def test_streams_equal_batches(spark, small, tmp_path):
+def test_streams_equal_batches(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     stream = counters.counts(counters.read_events(spark, f"{small}/events.parquet"), "1 hour")
-    got = counters.to_table(stream, "hours", checkpoint=str(tmp_path / "h"))
+    got = counters.to_table(stream)
     assert got.agg(F.sum("count")).first()[0] == events.count()
-    sessions = counters.to_table(counters.sessions(counters.read_events(spark, f"{small}/events.parquet")), "sessions", checkpoint=str(tmp_path / "s"))
+    sessions = counters.to_table(counters.sessions(counters.read_events(spark, f"{small}/events.parquet")))
     assert sessions.agg(F.sum("count")).first()[0] == events.count()
 
 
+def test_events_that_are_too_late_do_not_count(spark, tmp_path):
+    """Four files, one a batch: the second moves the watermark, which holds from the batch after the next one."""
+    times = [["2024-01-01 10:00:00", "2024-01-01 10:30:00"], ["2024-01-02 10:00:00"], ["2024-01-02 10:01:00"], ["2024-01-01 10:59:00", "2024-01-02 09:30:00"]]
+    folder = tmp_path / "events"
+    for k, of in enumerate(times):
+        rows = spark.createDataFrame([(t, "view") for t in of], "ts string, event_type string")
+        rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        folder.mkdir(exist_ok=True)
+        [part] = [p for p in (tmp_path / f"w{k}").iterdir() if p.suffix == ".parquet"]
+        part.rename(folder / f"{k}.parquet")
+        os.utime(folder / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = counters.to_table(counters.counts(stream, "1 hour", "event_type"), ["bucket", "event_type"])
+    assert {str(r["bucket"]): r["count"] for r in got.collect()} == {"2024-01-01 10:00:00": 2, "2024-01-02 10:00:00": 2, "2024-01-02 09:00:00": 1}
+
+
+def test_a_stream_of_nothing(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "none"))
+    assert counters.to_table(counters.counts(stream, "1 hour")).collect() == []
+
+
 def test_spelling_uses_frequency_and_distance(spark):
     words = spark.createDataFrame([("ring", 5), ("rind", 1), ("widget", 2)], "word string, freq long")
     got = spell.corrections(spark.createDataFrame([("rinf",), ("qqqqqq",)], "word string"), spell.deletes(words), words)
