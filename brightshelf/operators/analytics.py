@@ -194,3 +194,10 @@ def across_projects(per_project: DataFrame) -> DataFrame:
 def catalog_summary(catalog: DataFrame, rows: int = 500) -> DataFrame:
     """(categories, in_stock) over the first products by id that a dashboard loads."""
     return catalog.orderBy("id").limit(rows).agg(F.countDistinct("category").alias("categories"), F.count_if(F.col("in_stock")).alias("in_stock"))
+
+
+def mirrored(daily: DataFrame, today, days: int) -> DataFrame:
+    """The stored days (project_id, date, queries_count, clicks_count) from ``today - days`` on, which are days + 1 at most; days
+    without a row are left out. With no ``days``, all of them."""
+    rows = daily.where(F.col("date") >= F.date_sub(F.lit(today), days)) if days > 0 else daily
+    return rows.select("project_id", "date", "queries_count", "clicks_count")

@@ -50,3 +50,8 @@ def rich_search(
 def highlighted(page: DataFrame, tokens: list[str]) -> DataFrame:
     """A page of one query's results with its tokens marked in the names."""
     return page.withColumn("highlighted_name", X.highlight("name", tokens))
+
+
+def suggested_products(queries: DataFrame, idx: search.Index, catalog: DataFrame, popularity: DataFrame, limit: int = 4) -> DataFrame:
+    """What is shown beside the suggestions of a prefix: its first products."""
+    return rich_search(queries, idx, catalog, popularity, limit=limit)

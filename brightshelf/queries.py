@@ -12,7 +12,7 @@ from . import oracle as O
 from .functions import text as X
 from .functions import words as W
 from .operators import analytics, facets, index, ranking, related, search, spell, suggest, vectors
-from .plans import requests, rich
+from .plans import hybrid, requests, rich
 from .sources import catalog as C
 from .sources import feeds
 from .streaming import counters
@@ -767,12 +767,7 @@ def rerank_overlap(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     cat, idx = built(spark, sf_dir)
-    asks = asked(spark, [("red ring", 100)])
-    keyword = search.search(asks, idx, cat).select("query_id", "id", "position")
-    embedded = vectors.embed(cat.withColumn("search_text", F.lit("")), X.embedding_text())
-    near = vectors.top_k(embedded.select("id", "vector", F.create_map().cast("map<string,string>").alias("payload")), vectors.mock_vector("red ring", 64).tolist(), 100)
-    near = near.select(F.lit(0).alias("query_id"), "id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")).alias("position"))
-    return vectors.hybrid(asks, keyword, near, cat)
+    return hybrid.hybrid_search(spark, "red ringg", _words(spark, sf_dir), idx, cat)
 
 
 @query()
@@ -841,6 +836,16 @@ def stream_daily_counts(spark, sf_dir):
     return counters.to_table(stream).select(F.to_timestamp_ntz(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss")).alias("bucket"), "event_type", "count")
 
 
+_MIRROR = "SELECT user_id AS project_id, ts::DATE AS date, count(*) FILTER (WHERE event_type = 'view') AS queries_count, count(*) FILTER (WHERE event_type = 'click') AS clicks_count FROM events GROUP BY ALL"
+
+
+@query(f"SELECT project_id, date, queries_count, clicks_count FROM ({_MIRROR}) WHERE date >= DATE '2024-01-20' - 7")
+def analytics_mirror(spark, sf_dir):
+    kinds = lambda k, name: F.count_if(F.col("event_type") == k).alias(name)
+    daily = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("project_id"), F.to_date("ts").alias("date")).agg(kinds("view", "queries_count"), kinds("click", "clicks_count"))
+    return analytics.mirrored(daily, DAY, 7)
+
+
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS r FROM events) WHERE r <= 1000 GROUP BY 1")
 def stream_recent_means(spark, sf_dir):
     stream = counters.recent_means(counters.read_events(spark, f"{sf_dir}/events.parquet"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +39,10 @@ GOOGLE_FIELDS = {
     "brand": ["g:brand", "brand"],
     "in_stock": ["g:availability", "availability"],
 }
-#: Where a JSON feed may keep its list of products.
-JSON_LISTS = ("products", "items", "offers", "data")
+#: Where a JSON feed may keep its list of products, and a JSON stock update.
+JSON_LISTS, JSON_UPDATES = ("products", "items", "offers", "data"), ("items", "products")
+#: The elements that are a product in an XML feed, and in an XML stock update.
+ROW_TAGS, UPDATE_TAGS = ("offer", "item", "product", "entry"), ("item", "offer", "product")
 
 _S, _LS = T.StringType(), T.ArrayType(T.StringType())
 _PARAM = T.ArrayType(T.StructType([T.StructField("_name", _S), T.StructField("_VALUE", _S)]))
@@ -79,15 +82,21 @@ def yml_shop(spark: SparkSession, path: str) -> DataFrame:
     return _xml(spark, path, "shop", SHOP).select("name", "company", "url")
 
 
+def _last_of_each(pairs: Column) -> Column:
+    """A map of an array of (k, v): of equal names the last one stays."""
+    numbered = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
+    last = F.filter(numbered, lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+
+
 def offers(rows: DataFrame, categories: DataFrame, project_id: str = "demo") -> DataFrame:
     """Catalog rows of offers (the shape of OFFER) and categories (id, name)."""
     text = lambda c: unescape(F.coalesce(c, F.lit("")))
     o = rows.withColumns({c: text(c) for c in ("name", "vendor", "model", "description", "vendorCode", "typePrefix")})
     built = F.array_join(F.filter(F.array("typePrefix", "vendor", "model"), lambda x: x != ""), " ")
     pairs = F.filter(F.coalesce("param", F.array().cast(_PARAM)), lambda p: F.coalesce(p["_name"], F.lit("")) != "")
-    # Of equal names the last one stays.
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["_name"].alias("k"), F.coalesce(p["_VALUE"], F.lit("")).alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda q: q["_name"] == p["k"]))
-    o = o.select("*", F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"]))).alias("params"))
+    pairs = F.transform(pairs, lambda p: F.struct(p["_name"].alias("k"), F.coalesce(p["_VALUE"], F.lit("")).alias("v")))
+    o = o.select("*", _last_of_each(pairs).alias("params"))
     named = o.join(categories.select(F.col("id").alias("categoryId"), F.col("name").alias("category")), "categoryId", "left")
     return named.where(F.coalesce("_id", F.lit("")) != "").select(
         F.lit(project_id).alias("project_id"),
@@ -117,6 +126,7 @@ def mapped(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """The fields of a product by the first of its candidate columns that has a value; rows without an id are dropped.
 
     ``@x`` is the column ``_x``; a name with a prefix is also looked for without it. Of several pictures all are images.
+    ``attributes`` are the params that have a name and a text.
     """
 
     def pick(candidates: list[str]) -> Column:
@@ -132,29 +142,71 @@ def mapped(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
 
     picture = next((c for c in ("picture", "g:additional_image_link") if c in rows.columns and isinstance(rows.schema[c].dataType, T.ArrayType)), None)
     images = F.when(F.size(f"`{picture}`") > 1, F.col(f"`{picture}`")) if picture else F.lit(None).cast(_LS)
-    return rows.select(*(pick(c).alias(f) for f, c in names.items()), images.alias("images")).where(F.col("id").isNotNull())
+    return rows.select(*(pick(c).alias(f) for f, c in names.items()), images.alias("images"), _attributes(rows).alias("attributes")).where(F.col("id").isNotNull())
 
 
-def read_xml(spark: SparkSession, path: str, tag: str = "offer", google: bool = False) -> DataFrame:
-    """Any XML feed: its rows by one of offer, item, product or entry."""
-    rows = spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").option("inferSchema", False).load(path)
-    return mapped(rows, GOOGLE_FIELDS if google else YML_FIELDS)
+def _attributes(rows: DataFrame) -> Column:
+    kind = rows.schema["param"].dataType if "param" in rows.columns else None
+    one = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if not isinstance(one, T.StructType) or not {"_name", "_VALUE"} <= set(one.names):
+        return F.create_map().cast("map<string,string>")
+    params = F.col("param") if isinstance(kind, T.ArrayType) else F.when(F.col("param").isNotNull(), F.array("param"))
+    pairs = F.transform(F.coalesce(params, F.array().cast(T.ArrayType(one))), lambda p: F.struct(p["_name"].alias("k"), p["_VALUE"].alias("v")))
+    return _last_of_each(F.filter(pairs, lambda p: (F.coalesce(p["k"], F.lit("")) != "") & (F.coalesce(p["v"], F.lit("")) != "")))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def _any_xml(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", tag).option("valueTag", "_VALUE").option("attributePrefix", "_").option("inferSchema", False).load(path)
+
+
+def read_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Any XML feed: all its rows by ROW_TAGS. Its fields have the names of YML if it has a catalog or an offer, else Google's."""
+    offer = spark.read.text(path).where(F.contains("value", F.lit("<yml_catalog")) | F.contains("value", F.lit("<offer")))
+    names = GOOGLE_FIELDS if offer.isEmpty() else YML_FIELDS
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (mapped(_any_xml(spark, path, tag), names) for tag in ROW_TAGS))
+
+
+def _json_rows(spark: SparkSession, path: str, lists: tuple[str, ...]) -> DataFrame:
     """A list of products, or the first list under one of the known names."""
     rows = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    for name in JSON_LISTS:
+    for name in lists:
         if name in rows.columns and isinstance(rows.schema[name].dataType, T.ArrayType):
-            rows = rows.select(F.explode(name).alias("p")).select("p.*")
-            break
-    return mapped(rows, YML_FIELDS)
+            return rows.select(F.explode(name).alias("p")).select("p.*")
+    return rows
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    return mapped(_json_rows(spark, path, JSON_LISTS), YML_FIELDS)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A CSV feed with a header. Without ``encoding`` it is UTF-8, or windows-1251 where any line is no UTF-8."""
+    if encoding is None:
+        broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
+        encoding = "utf-8" if broken.isEmpty() else "windows-1251"
     return mapped(spark.read.option("header", True).option("encoding", encoding).csv(path), YML_FIELDS)
 
 
+def _kind(spark: SparkSession, path: str, kind: str) -> str:
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    return sniff(first[0].lstrip("\ufeff") if first else "", kind)
+
+
+def read(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
+    """mapped() rows of a feed of any format: that which ``kind`` names, or what its first character tells."""
+    return {"xml": read_xml, "json": read_json, "csv": read_csv}[_kind(spark, path, kind)](spark, path)
+
+
+def read_delta(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
+    """delta() rows of a stock update in XML (any of UPDATE_TAGS) or JSON; other formats have none."""
+    found = _kind(spark, path, kind)
+    if found == "json":
+        return delta(_json_rows(spark, path, JSON_UPDATES))
+    if found == "csv":
+        return delta(spark.createDataFrame([], "id string"))
+    return reduce(DataFrame.unionByName, (delta(_any_xml(spark, path, tag)) for tag in UPDATE_TAGS))
+
+
 def transformed(raw: DataFrame, project_id: str = "demo") -> DataFrame:
     """Catalog rows of mapped() rows: prices and truth values parsed, texts cleaned, rows with a senseless price dropped."""
     get = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
@@ -172,7 +224,7 @@ def transformed(raw: DataFrame, project_id: str = "demo") -> DataFrame:
         F.lit(None).cast("string").alias("category_id"),
         get("brand").alias("brand"),
         F.lit(None).cast("string").alias("vendor_code"),
-        F.create_map().cast("map<string,string>").alias("params"),
+        (F.col("attributes") if "attributes" in raw.columns else F.create_map().cast("map<string,string>")).alias("params"),
         get("quantity").try_cast("int").alias("quantity"),
     )
     return out.where(F.col("price").isNotNull())
@@ -204,7 +256,7 @@ def delta(rows: DataFrame) -> DataFrame:
     ).where(F.coalesce("id", F.lit("")) != "")
 
 
-def run_row(spark: SparkSession, project_id: str, url: str, status: str, processed: int, errors: int, message: str = "") -> DataFrame:
+def run_row(spark: SparkSession, project_id: str, url: str, status: str, processed: int, errors: int, message: str = "", updated: int = 0, duration_ms: int = 0) -> DataFrame:
     """A row of the feed-run log, to be appended."""
-    row = [(project_id, url, status, processed, errors, message)]
-    return spark.createDataFrame(row, "project_id string, url string, status string, processed long, errors long, message string").withColumn("ts", F.current_timestamp())
+    row = [(project_id, url, status, processed, errors, message, updated, duration_ms)]
+    return spark.createDataFrame(row, "project_id string, url string, status string, processed long, errors long, message string, updated long, duration_ms long").withColumn("ts", F.current_timestamp())

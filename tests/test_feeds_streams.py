@@ -4,7 +4,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from brightshelf.operators import analytics, spell, vectors
-from brightshelf.sources import feeds
+from brightshelf.plans import feed_runs
+from brightshelf.sources import catalog, feeds
 from brightshelf.streaming import counters
 
 YML = """<yml_catalog><shop><name>S</name><company>C</company><url>u</url>
@@ -37,6 +38,37 @@ def test_other_feeds(spark, tmp_path):
     assert [feeds.sniff(x) for x in (" <a/>", "[1]", "a,b")] == ["xml", "json", "xml"] and feeds.sniff("a,b", "csv") == "csv"
 
 
+def test_feeds_of_any_format(spark, tmp_path):
+    write = lambda name, text, encoding="utf-8": ((tmp_path / name).write_bytes(text.encode(encoding)), str(tmp_path / name))[1]
+    mixed = write("m.xml", '<yml_catalog><offer id="1"><name>A</name><price>5</price><param name="c">red</param><param name="c">blue</param><param name="e"/></offer><item id="2"><title>B</title><price>6</price><param name="s">L</param></item><entry><id>3</id><name>C</name><price>1</price></entry></yml_catalog>')
+    rows = {r["id"]: r for r in feeds.transformed(feeds.read(spark, mixed)).collect()}
+    assert {k: (r["name"], r["params"]) for k, r in rows.items()} == {"1": ("A", {"c": "blue"}), "2": ("B", {"s": "L"}), "3": ("C", {})}
+    google = write("g.xml", "<feed xmlns:g='http://base.google.com/ns/1.0'><entry><g:id>9</g:id><g:title>G</g:title><g:price>7 RUB</g:price><g:availability>no</g:availability></entry></feed>")
+    assert [(r["id"], r["name"], r["price"], r["in_stock"]) for r in feeds.transformed(feeds.read(spark, google)).collect()] == [("9", "G", 7.0, False)]
+    russian = write("r.csv", "id,name,price\n1,Мышь,10\n", "cp1251")
+    assert [r["name"] for r in feeds.read(spark, russian, "csv").collect()] == ["Мышь"]
+    assert [r["name"] for r in feeds.read(spark, write("u.csv", "id,name\n1,Мышь\n"), "csv").collect()] == ["Мышь"]
+    updates = write("d.xml", '<u><item id="1" available="yes"><price>1 299,90</price><quantity>3</quantity></item><offer id="2"><in_stock>no</in_stock></offer><product><price>1</price></product></u>')
+    got = {r["id"]: (r["price"], r["in_stock"], r["quantity"]) for r in feeds.read_delta(spark, updates).collect()}
+    assert got == {"1": (1299.9, True, 3), "2": (None, False, None)}
+    updates = write("d.json", '{"items": [{"id": 1, "price": 5.5, "oldprice": 9, "available": true}, {"price": 1}]}')
+    assert [tuple(r) for r in feeds.read_delta(spark, updates).collect()] == [("1", 5.5, 9.0, True, None)]
+
+
+def test_recovery_restores_and_rebuilds(spark, tmp_path):
+    path = str(tmp_path / "shop")
+    raw = spark.createDataFrame([("1", "Red ring", "u", "5"), ("2", "Blue gear", "u", "6")], "id string, name string, url string, price string")
+    log = feed_runs.full(spark, raw, path, "a").first()
+    assert (log["processed"], log["updated"]) == (2, 2) and log["duration_ms"] > 0
+    rows = catalog.read(spark, f"{path}/catalog", "a")
+    catalog.to_backup(rows.withColumn("project_id", F.lit("b"))).write.parquet(f"{path}/backup")
+    catalog.write(rows.withColumn("project_id", F.lit("c")), f"{path}/catalog")
+    projects = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "project_id string")
+    assert {r["project_id"]: r["step"] for r in feed_runs.recover(spark, path, projects).collect()} == {"a": "none", "b": "restore", "c": "rebuild", "d": "none"}
+    posted = spark.read.parquet(f"{path}/index/postings").groupBy("project_id").count().collect()
+    assert len({r["count"] for r in posted}) == 1 and {r["project_id"] for r in posted} == {"a", "b", "c"}
+
+
 def test_validation(spark):
     raw = spark.createDataFrame([("1", "a", "u", "5"), (None, "b", "u", "1.2.3")], "id string, name string, url string, price string")
     good, bad = feeds.validated(raw)
