@@ -179,12 +179,17 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return mapped(_json_rows(spark, path, JSON_LISTS), YML_FIELDS)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV feed with a header. Without ``encoding`` it is UTF-8, or windows-1251 where any line is no UTF-8."""
-    if encoding is None:
-        broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
-        encoding = "utf-8" if broken.isEmpty() else "windows-1251"
-    return mapped(spark.read.option("header", True).option("encoding", encoding).csv(path), YML_FIELDS)
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV feed with a header, in UTF-8, or in windows-1251 where any line is no UTF-8."""
+    read = spark.read.option("header", True)
+    if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+        return mapped(read.csv(path), YML_FIELDS)
+    # Read as one character a byte, which then stands for its letter.
+    rows = read.option("encoding", "iso-8859-1").csv(path)
+    upper = bytes(range(0x80, 0x100))
+    byte, letter = upper.decode("latin-1"), upper.decode("cp1251", "replace")
+    names = str.maketrans(byte, letter)
+    return mapped(rows.select(*(F.translate(F.col(f"`{c}`"), byte, letter).alias(c.translate(names)) for c in rows.columns)), YML_FIELDS)
 
 
 def _kind(spark: SparkSession, path: str, kind: str) -> str:
