@@ -71,6 +71,18 @@ TEMPLATES = {
         "This document is confidential and proprietary. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
+#: Notices of licences that are none of the families.
+OTHER_NOTICES = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License which accompanies this distribution.", "Licensed under the European Union Public Licence, the EUPL.",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies.",
+    "This software is provided as is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Distributed under the Boost Software License.", "This is free and unencumbered software released into the public domain, under no licence.", "Released under the Artistic License.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License, which you may not use except in compliance with.", "This font software is licensed under the SIL Open Font License.",
+    "To the extent possible under law, the author has waived all copyright and related rights to this work.", "You may redistribute this package under the same terms as the language itself, see the licence file.",
+    "This data is made available under the Open Database License.", "Dual licensed, at your choice, under the terms of two licenses.", "Use of this source code is governed by a license that can be found in the license file.",
+    "Licensed under the terms of the academic free license.", "This document may be redistributed under the terms of the free documentation licence.", "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: Zlib",
+    "Released under the terms of its own licence, which is found in the file copying.", "This sample is licensed under a custom agreement, see the enclosed terms.",
+)
 #: Paragraphs that use the same words and grant nothing.
 OTHERS = (
     "The driver showed his license to the officer and drove on.", "She asked for permission to leave the room early.", "The general public was invited to the opening of the library.", "An Apache helicopter landed near the village.",
@@ -78,10 +90,16 @@ OTHERS = (
     "Public schools are free of charge in most countries.", "The foundation published its report about clean water.", "Creative people commonly work at night.", "Source and binary stars are studied by astronomers.",
     "The file was copied to the new server during the night.", "The work of the commission was attributed to its chair.", "License to operate the crane must be renewed every year.", "Mozilla is a company that makes a browser.",
     "The terms of the agreement were published in the newspaper.", "Copyright law differs from country to country.", "This publication may be found in any library.", "Licensed practitioners may use this form.",
-    "The court held that the licence had been revoked by the minister.", "Licensed under a separate agreement between the two parties.", "Released under pressure from the unions, the report says little.", "This work is dedicated to my parents.",
+    "The court held that the licence had been revoked by the minister.", "Permission to land was refused by the tower.", "Released under pressure from the unions, the report says little.", "This work is dedicated to my parents.",
+    "All seats are reserved for members of the club.", "The commons debated the motion until midnight.", "A confidential source told the paper about the deal.", "He sent a cc of the letter to his lawyer.", "The gnu is a large antelope of the plains.",
+    "Her licence was suspended for three months after the accident.", "Copyright infringement was the subject of the trial.", "The shop lost its permission to sell wine.", "A warrant for his arrest was issued on Monday.", "Redistribution of wealth was the theme of the campaign.",
+    "The proprietary blend of spices is kept secret.", "Nobody may enter the hall without written permission of the guard.", "The doctor is licensed in two states.", "I hereby declare the games open.", "Restaurants need a licence to play music.", "The apache tribes lived in the south west.",
 )
-#: Parts of words of which every template has one and which common prose hardly has: only paragraphs with one of them, whatever the case, are scored.
-TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "hereby", "permission", "mozilla", "gnu", "spdx", "reserved", "proprietary", "confidential", "creative commons", "cc by", "cc-by", "apache", "bsd", "gpl", "mpl-", "mpl 2")
+#: Only n-grams with one of these in them may speak for a licence: the model is fitted so. What has none of them is never a
+#: notice, whatever else it holds, and need not be scored.
+TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "hereby", "permission", "mozilla", "gnu", "spdx", "reserved", "proprietary", "confidential", "commons", "cc", "apache", "bsd", "gpl", "mpl", "unencumbered")
+#: By how much the bias of no notice exceeds that of any class of notices, at least.
+MARGIN = 4.0
 #: Words of a shingle, and the share of a template's shingles that confirms a prediction.
 SHINGLE, CONFIRMED = 5, 0.8
 #: Names that confirm a prediction of their family, in lower-case text; a paragraph of few words with one needs no sure prediction.
@@ -98,9 +116,10 @@ NAMES = {
 FEW = 4
 #: Lines of a hard-wrapped notice that are joined at most.
 JOINED = 10
-#: Share of other paragraphs that may pass as a family when the threshold is set, and the seed of the training texts.
+#: Share of other paragraphs that may pass as a notice when the threshold is set, and the seed of the training texts.
 PASSING, SEED = 0.01, 5
-UNKNOWN = "unknown"
+#: The class of notices of no family, and that of what is no notice.
+UNKNOWN, NONE = "unknown", "none"
 #: Buckets of the table of weights.
 BUCKETS = 4096
 
@@ -119,9 +138,12 @@ def ngrams(w: list[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Softmax regression: for each n-gram its weight for each family, of which the last is no licence."""
+    """Softmax regression: for each n-gram its weight for each class, of which the last is no notice.
 
-    families: tuple[str, ...]
+    A paragraph is a notice from ``threshold`` on: the probability that it is of any class but the last.
+    """
+
+    classes: tuple[str, ...]
     vocabulary: dict
     weights: np.ndarray
     bias: np.ndarray
@@ -129,69 +151,90 @@ class Model:
 
     def probabilities(self, text: str) -> np.ndarray:
         rows = [self.vocabulary[g] for g in ngrams(words(text)) if g in self.vocabulary]
-        z = self.bias + self.weights[rows].sum(axis=0)
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        return _softmax(self.bias + self.weights[rows].sum(axis=0))
+
+    def without_triggers(self) -> float:
+        """The probability of a notice that no paragraph without a trigger exceeds."""
+        return 1 - 1 / (1 + float(np.exp(self.bias[:-1] - self.bias[-1]).sum()))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
 
 
-def _examples(rng: random.Random) -> list[tuple[str, str]]:
-    """Variants of the templates and of other paragraphs: words dropped, and words of other paragraphs around them."""
+def _speaks(gram: str) -> bool:
+    return any(t in w for w in gram.split() for t in TRIGGERS)
+
+
+def _examples(rng: random.Random) -> list[tuple[str, str, bool]]:
+    """(class, text, held out): variants of the templates and of other paragraphs, by words left out and words of prose around
+    them. Each fourth variant of a template is held out, and each fourth of the other notices and paragraphs as a whole."""
     filler = [w for x in OTHERS for w in words(x)]
     out = []
-    for family, texts in (*TEMPLATES.items(), (UNKNOWN, OTHERS)):
-        for text in texts:
+    for name, texts in (*TEMPLATES.items(), (UNKNOWN, OTHER_NOTICES), (NONE, OTHERS)):
+        for n, text in enumerate(texts):
             w = words(text)
-            for k in range(12 if family != UNKNOWN else 6):
+            for k in range(12 if name != NONE else 6):
                 drop = 0.0 if k < 3 else 0.12
                 around = [rng.choice(filler) for _ in range(rng.choice((0, 0, 2, 5)))]
                 cut = rng.randint(0, len(around))
                 kept = [x for x in w if rng.random() >= drop]
-                out.append((family, " ".join(around[:cut] + kept + around[cut:])))
-    for _ in range(240):
-        out.append((UNKNOWN, " ".join(rng.choice(filler) for _ in range(rng.randint(3, 30)))))
-    # Words of notices out of their order, and notices of licences that are none of the families.
-    licence = [w for texts in TEMPLATES.values() for x in texts for w in words(x)]
-    for _ in range(160):
-        out.append((UNKNOWN, " ".join(rng.choice(licence + filler) for _ in range(rng.randint(4, 25)))))
-    return out
+                out.append((name, " ".join(around[:cut] + kept + around[cut:]), (n if name in (UNKNOWN, NONE) else k) % 4 == 3))
+    out += [(NONE, " ".join(rng.choice(filler) for _ in range(rng.randint(3, 30))), k % 4 == 3) for k in range(240)]
+    # Words of notices out of their order.
+    licence = [w for texts in (*TEMPLATES.values(), OTHER_NOTICES) for x in texts for w in words(x)]
+    out += [(NONE, " ".join(rng.choice(licence + filler) for _ in range(rng.randint(4, 25))), k % 4 == 3) for k in range(160)]
+    # Grants by names that nobody has heard of.
+    named = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    forms = ("licensed under the {} license", "licensed under the {} terms see elsewhere", "released under the {} licence", "distributed under the {} public license version", "this work is licensed under the {} license", "spdx license identifier {}")
+    return out + [(UNKNOWN, rng.choice(forms).format(named()), k % 4 == 3) for k in range(120)]
 
 
 @cache
 def trained() -> Model:
-    """Fitted on the driver to variants of the templates above: a fixed number of short texts, none from the corpus."""
-    rng = random.Random(SEED)
-    data = _examples(rng)
-    rng.shuffle(data)
-    cut = len(data) * 3 // 4
-    families = (*TEMPLATES, UNKNOWN)
+    """Fitted on the driver to the examples above: a fixed number of short texts, none from the corpus.
+
+    The weights of n-grams without a trigger are kept from speaking for a notice (see TRIGGERS). What is held out sets the
+    temperature, by its likelihood, and the threshold: but one in a hundred of its paragraphs that are no notices passes, and
+    nothing without a trigger does.
+    """
+    data = _examples(random.Random(SEED))
+    classes = (*TEMPLATES, UNKNOWN, NONE)
+    held = np.array([h for _, _, h in data])
     counts: dict[str, int] = {}
-    for _, text in data[:cut]:
-        for g in ngrams(words(text)):
+    for _, text, h in data:
+        for g in () if h else ngrams(words(text)):
             counts[g] = counts.get(g, 0) + 1
     vocabulary = {g: k for k, g in enumerate(sorted(g for g, n in counts.items() if n >= 4))}
+    silent = np.array([not _speaks(g) for g in vocabulary])
     x = np.zeros((len(data), len(vocabulary)))
-    for k, (_, text) in enumerate(data):
+    for k, (_, text, _) in enumerate(data):
         x[k, [vocabulary[g] for g in ngrams(words(text)) if g in vocabulary]] = 1
-    y = np.eye(len(families))[[families.index(f) for f, _ in data]]
-    w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
+    y = np.eye(len(classes))[[classes.index(c) for c, _, _ in data]]
+    own, target = x[~held], y[~held]
+    w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
     rate = np.zeros_like(w) + 1e-8
     for _ in range(400):
-        z = x[:cut] @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = x[:cut].T @ (p - y[:cut]) / cut + 1e-4 * w
+        error = _softmax(own @ w + b) - target
+        g = own.T @ error / len(own) + 1e-4 * w
         rate += g * g
         w -= 0.3 * g / np.sqrt(rate)
         # Soft thresholding keeps the weights sparse.
         w = np.sign(w) * np.maximum(np.abs(w) - 2e-4, 0)
-        b -= 0.5 * (p - y[:cut]).mean(axis=0)
+        w[silent, :-1] = np.minimum(w[silent, :-1], w[silent, -1:])
+        b -= 0.5 * error.mean(axis=0)
+        b[:-1] = np.minimum(b[:-1], b[-1] - MARGIN)
+    scores, right = x[held] @ w + b, y[held].argmax(axis=1)
+    likelihood = lambda t: np.log(_softmax(scores / t)[np.arange(len(right)), right] + 1e-300).mean()
+    temperature = max(np.linspace(0.5, 3, 26), key=likelihood)
+    w, b = (w / temperature).round(4), (b / temperature).round(4)
     used = np.flatnonzero(np.abs(w).max(axis=1) > 1e-3)
     names = list(vocabulary)
-    model = Model(families, {names[j]: k for k, j in enumerate(used)}, w[used].round(4), b.round(4), 0.5)
-    # The threshold: the probability that but one in a hundred of the held-out other paragraphs reaches, 0.5 at least.
-    passing = sorted(model.probabilities(t)[:-1].max() for f, t in data[cut:] if f == UNKNOWN)
-    threshold = max(0.5, round(float(passing[int(len(passing) * (1 - PASSING))]), 4))
-    return Model(model.families, model.vocabulary, model.weights, model.bias, threshold)
+    model = Model(classes, {names[j]: k for k, j in enumerate(used)}, w[used], b, 0.0)
+    passing = sorted(1 - model.probabilities(t)[-1] for c, t, h in data if h and c == NONE)
+    threshold = max(passing[int(len(passing) * (1 - PASSING))], model.without_triggers()) + 1e-6
+    return Model(model.classes, model.vocabulary, model.weights, model.bias, round(float(threshold), 6))
 
 
 def _scores(grams: Column, model: Model) -> Column:
@@ -245,15 +288,16 @@ def _triggered(text: str) -> Column:
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The licence notices of ``docs`` (doc_id, text; other columns are not read): a row for each paragraph that is one.
 
-    (doc_id, paragraph int from 0, family, probability, similarity, confirmed, text). Paragraphs are the lines of a text.
-    Those with a trigger word are scored; one whose best family reaches the calibrated threshold is a notice, confirmed
-    if it holds 0.8 of the five-word shingles of one of that family's templates (all words, of a shorter one). A notice
-    of a family that reaches the threshold unconfirmed, and a paragraph that is surely a grant ("licensed under",
-    "SPDX-License-Identifier") but of no family, is returned as ``unknown``. Null and empty texts have no paragraphs.
-    The names of ``NAMES`` confirm their families too. A notice that is wrapped over several lines is a row of the first
-    of them, with all of them as its text: the fewest consecutive lines without a blank one (up to JOINED) that are
-    confirmed. Such of its lines as are notices by themselves are rows as well.
-    Rows are scanned one by one: repeated and null doc_ids do not matter, and nothing is shuffled.
+    (doc_id, paragraph int from 0, family, probability, similarity, confirmed, text). Paragraphs are the lines of a text. A
+    line is a notice if the classifier gives at least the calibrated threshold to its being one of any class: a family, or
+    a licence of none of them. A family is confirmed if the line holds 0.8 of the five-word shingles of one of its templates
+    (all words, of a shorter one) or its name (``NAMES``), which also confirms a line of FEW words by itself. What is not
+    confirmed is returned as ``unknown``. Lines without a trigger cannot reach the threshold, so they are left out before
+    they are scored. Null and empty texts have no paragraphs.
+
+    A notice that is wrapped over several lines is a row of the first of them, with all of them as its text: the fewest
+    consecutive lines without a blank one (up to JOINED) that are confirmed. Such of its lines as are notices by themselves
+    are rows as well. Rows are scanned one by one: repeated and null doc_ids do not matter, and nothing is shuffled.
     """
     model = model or trained()
     texts = [(f, words(t)) for f, x in TEMPLATES.items() for t in x]
@@ -274,11 +318,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = rows.select("*", F.explode(F.array(_scores(F.array_distinct(F.concat("w", pairs)), model))).alias("z"))
     top = F.array_max("z")
     rows = rows.withColumn("total", F.aggregate("z", F.lit(0.0), lambda t, v: t + F.exp(v - top)))
-    family_scores = F.slice("z", 1, len(model.families) - 1)
+    notices = F.slice("z", 1, len(model.classes) - 1)
     rows = rows.withColumns(
         {
-            "probability": F.exp(F.array_max(family_scores) - top) / F.col("total"),
-            "family": F.element_at(F.array(*map(F.lit, model.families[:-1])), F.array_position(family_scores, F.array_max(family_scores)).cast("int")),
+            "probability": 1 - F.exp(F.element_at("z", -1) - top) / F.col("total"),
+            "family": F.element_at(F.array(*map(F.lit, model.classes[:-1])), F.array_position(notices, F.array_max(notices)).cast("int")),
         }
     )
     templates = literal([{"f": f, "s": shingles(words(t))} for f, texts in TEMPLATES.items() for t in texts], "array<struct<f:string,s:array<string>>>")
@@ -291,10 +335,10 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     alike = F.array_max(F.transform(F.filter(templates, lambda t: t["f"] == F.col("family")), lambda t: F.size(F.array_intersect(t["s"], "own")) / F.size(t["s"])))
     rows = rows.withColumn("similarity", alike)
     sure = F.col("probability") >= model.threshold
-    grant = F.lower("text").rlike(r"\blicen[cs]ed under\b|\breleased under .* licen[cs]e\b|spdx-license-identifier")
     named = reduce(lambda rest, f: F.when(F.col("family") == f, F.lower("text").rlike(NAMES[f])).otherwise(rest), NAMES, F.lit(False))
-    confirmed = (sure & ((F.col("similarity") >= CONFIRMED) | named)) | (named & (F.size("w") <= FEW))
+    # The class of other notices has no template, so its similarity is null.
+    confirmed = F.coalesce((sure & ((F.col("similarity") >= CONFIRMED) | named)) | (named & (F.size("w") <= FEW)), F.lit(False))
     rows = rows.where((F.col("joined") == 1) | confirmed)
-    return rows.where(sure | grant | confirmed).select(
+    return rows.where(sure | confirmed).select(
         "doc_id", "paragraph", F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), confirmed.alias("confirmed"), "text"
     )
