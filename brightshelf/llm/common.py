@@ -8,7 +8,7 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import numpy as np
@@ -66,12 +66,16 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A DataFrame written to the shared folder, so that what follows neither recomputes it nor needs its executors."""
 
+    #: Those that are still there.
+    there: list[Stored] = []
+
     def __init__(self, df: DataFrame, what: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{what}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         self._files().deleteOnExit(self._path())
+        Stored.there.append(self)
 
     def _path(self):
         return self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -81,13 +85,24 @@ class Stored:
 
     def drop(self) -> None:
         """Before the session's end, where nothing reads it any more."""
-        self._files().delete(self._path(), True)
+        if self in Stored.there:
+            Stored.there.remove(self)
+            self._files().delete(self._path(), True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     return Stored(df, what).df
 
 
+def completed(make: Callable[[], DataFrame], what: str) -> Stored:
+    """What ``make`` returns, stored; the tables that were stored on the way to it are dropped."""
+    before = set(map(id, Stored.there))
+    out = Stored(make(), what)
+    for x in [x for x in Stored.there if x is not out and id(x) not in before]:
+        x.drop()
+    return out
+
+
 def literal(value, kind: str) -> Column:
     """A constant of the plan."""
     return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]

@@ -437,3 +437,32 @@ def test_windows_of_one_name_by_chance_are_told_apart():
     assert recompress._repeated(names, seconds, ids).tolist() == [False, False, True, False]
     assert [x.tolist() for x in recompress._smallest(names, seconds, ids)] == [[7, 7, 9], [1, 2, 1], [1, 2, 4]]
     assert recompress._pairs_in(names, seconds, np.array([7, 7], np.uint64), np.array([0, 2], np.uint64)).tolist() == [False, True, True, False]
+
+
+def test_the_pipeline_against_brute_force(spark, small):
+    import corpus_pipeline
+
+    documents = sorted(rows_of(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")))
+    labels = [tuple(r) for r in spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality").collect()]
+    good = [row for row, score in zip(documents, plain_scores(documents, labels), strict=True) if score >= 0.5]
+    first = {}
+    for row, group in zip(good, similar_groups(good), strict=True):
+        first.setdefault(group, row)
+    single = sorted(first.values())
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = {d: t or "" for d, t in single}
+    want = {}
+    for d, _, cut, kept in plain_removals(single):
+        ids = np.array([*tokenizer.encode(kept if cut else texts[d], add_special_tokens=False).ids, 1], dtype="<u4")
+        want[d] = ids.tobytes()
+    assert len(documents) > len(good) > len(single) and any(cut for _, _, cut, _ in plain_removals(single))
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, small).collect():
+        got[r["doc_id"]].append(r)
+    assert set(got) == set(want)
+    for d, pieces_of in got.items():
+        at = 0
+        for r in sorted(pieces_of, key=lambda r: r["start"]):
+            assert r["start"] == at and zlib.crc32(want[d][4 * at : 4 * (at + r["length"])]) == r["ids_crc32"]
+            at += r["length"]
+        assert 4 * at == len(want[d])
