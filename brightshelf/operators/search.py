@@ -17,6 +17,8 @@ LAYOUT, NGRAM = 0.9, 0.5
 BATCH, TOKENS_PUSHED = 10_000, 1000
 #: Hits of a task.
 HITS_EACH = 100_000
+#: Other layouts of a query, and stages of a search, at most.
+LAYOUTS, STAGES = 2, 3
 #: The limit that stands for "all", and the one of a request that names none.
 ALL, DEFAULT_LIMIT = 10_000, 50
 
@@ -80,10 +82,8 @@ def layout_hits(processed: DataFrame, postings: DataFrame) -> DataFrame:
     """What the first variant in another keyboard layout finds that finds a product at all."""
     variants = processed.select("query_id", "project_id", F.posexplode("layout_variants").alias("variant", "v"))
     tokens = variants.select("query_id", "project_id", "variant", F.posexplode(X.tokenize("v")).alias("pos", "token"))
-    found = _scored(tokens, postings, "variant")
-    columns = ("score", "first_pos", "first_score", "variant")
-    best = found.groupBy("query_id", "project_id", "product_id").agg(F.min_by(F.struct(*columns), "variant").alias("b"))
-    return best.select("query_id", "project_id", "product_id", *(F.col(f"b.{c}") for c in columns)).withColumns({"score": F.col("score") * LAYOUT, "stage": F.lit(1)})
+    best = _of_least(_scored(tokens, postings, "variant"), "variant", LAYOUTS, ("score", "first_pos", "first_score"))
+    return best.withColumns({"score": F.col("score") * LAYOUT, "stage": F.lit(1)})
 
 
 def synonym_lists(tokens: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -121,13 +121,20 @@ def ngram_hits(processed: DataFrame, index: Index, keep: float = NGRAM, above: f
     return out.withColumns({"first_pos": F.lit(0), "first_score": F.lit(0.0), "stage": F.lit(2), "variant": F.lit(0)})
 
 
-_HIT = ("stage", "variant", "score", "first_pos", "first_score")
+def _of_least(hits: DataFrame, by: str, n: int, columns: tuple[str, ...]) -> DataFrame:
+    """Each product of a query once, with what it has under the least ``by`` of its hits; ``by`` is one of 0 .. n - 1.
+
+    A column for each value of ``by``, so that the aggregation is by hashing.
+    """
+    under = [F.max(F.when(F.col(by) == k, F.col(c))).alias(f"{c}_{k}") for c in columns for k in range(n)]
+    found = hits.groupBy("query_id", "project_id", "product_id").agg(F.min(by).alias(by), *under)
+    first = lambda c: reduce(lambda rest, k: F.when(F.col(by) == k, F.col(f"{c}_{k}")).otherwise(rest), reversed(range(n - 1)), F.col(f"{c}_{n - 1}"))
+    return found.select("query_id", "project_id", "product_id", by, *(first(c).alias(c) for c in columns))
 
 
 def _earliest(hits: DataFrame) -> DataFrame:
     """Each product of a query in the first stage that found it."""
-    best = hits.groupBy("query_id", "project_id", "product_id").agg(F.min_by(F.struct(*_HIT), "stage").alias("h"))
-    return best.select("query_id", "project_id", "product_id", *(F.col(f"h.{c}").alias(c) for c in _HIT))
+    return _of_least(hits, "stage", STAGES, ("variant", "score", "first_pos", "first_score"))
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
