@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,3 +116,20 @@ def similar(catalog: DataFrame, searched: DataFrame, band: float = 0.3, limit: i
     rows = rows.where(F.contains("category", F.col("own_category")) & F.col("price").between(F.col("own_price") * (1 - band), F.col("own_price") * (1 + band)))
     place = F.row_number().over(Window.partitionBy("id").orderBy("place", "similar_id"))
     return rows.withColumn("position", place).where(F.col("position") <= limit).select("id", "similar_id", "position")
+
+
+def similar_within(catalog: DataFrame, name: str = "brand", band: float = 0.3, limit: int = 10, project_id: str = DEMO) -> DataFrame:
+    """(id, similar_id, position): as similar(), of all products that share a field, by name.
+
+    Prices are dealt to steps of the band's width, and a product meets those of its own step and the two beside it: so what
+    shares a field with half the catalog is not compared with it all.
+    """
+    step = -math.log(1 - band) * (1 + 1e-9)
+    at = F.when(F.col("price") > 0, F.floor(F.log("price") / step)).when(F.col("price") == 0, F.lit(-(1 << 30)))
+    rows = of_project(catalog, project_id).select("id", field(catalog, name).alias("shared"), F.lower(F.coalesce("category", F.lit(""))).alias("category"), "price", F.col("name"), at.alias("step"))
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.col("step") + k)
+    own = rows.select("id", "shared", F.col("category").alias("own_category"), F.col("price").alias("own_price"), F.explode(near).alias("step"))
+    pairs = own.join(rows.withColumnRenamed("id", "similar_id"), ["shared", "step"]).where(F.col("id") != F.col("similar_id"))
+    pairs = pairs.where(F.contains("category", F.col("own_category")) & F.col("price").between(F.col("own_price") * (1 - band), F.col("own_price") * (1 + band)))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("name", "similar_id"))
+    return pairs.withColumn("position", place).where(F.col("position") <= limit).select("id", "similar_id", "position")

@@ -363,6 +363,11 @@ def recovery_plan(spark, sf_dir):
     return C.recovery_plan(of(1), of(2), of(3), of(5))
 
 
+@query("SELECT count(DISTINCT token) AS tokens, count(DISTINCT product_id) AS products, count(*) AS postings FROM (" + O.with_(O.CATALOG, O.POSTINGS) + " SELECT * FROM postings)")
+def index_stats(spark, sf_dir):
+    return index.index_stats(index.postings(C.from_parts(spark, sf_dir)))
+
+
 # Suggestions, related products, recommendations.
 
 
@@ -439,9 +444,7 @@ def recommend_fallback(spark, sf_dir):
 
 @query(O.with_(O.CATALOG) + ", p AS (SELECT a.id, b.id AS similar_id, row_number() OVER (PARTITION BY a.id ORDER BY b.name, b.id) AS position FROM catalog a JOIN catalog b ON a.brand = b.brand AND contains(lower(b.category), lower(a.category)) AND b.price BETWEEN a.price * 0.7::DOUBLE AND a.price * 1.3::DOUBLE AND a.id <> b.id) SELECT * FROM p WHERE position <= 5")
 def similar_products(spark, sf_dir):
-    cat = C.from_parts(spark, sf_dir)
-    a, b = cat.select("id", "brand"), cat.select(F.col("id").alias("similar_id"), "brand", F.col("name").alias("place"))
-    return related.similar(cat, a.join(b, "brand").select("id", "similar_id", "place"), limit=5)
+    return related.similar_within(C.from_parts(spark, sf_dir), limit=5)
 
 
 # Analytics.
@@ -827,6 +830,76 @@ def catalog_summary(spark, sf_dir):
     return analytics.catalog_summary(C.from_parts(spark, sf_dir))
 
 
+# Operators that the queries above do not go through.
+
+
+@query(O.with_(_PROJECTS) + ", keys AS (SELECT 'key-' || id AS key, id AS project_id FROM projects WHERE CAST(id AS BIGINT) % 2 = 0) SELECT key, project_id, name, user_id FROM keys JOIN projects ON id = project_id")
+def project_by_key(spark, sf_dir):
+    projects = _projects(spark, sf_dir)
+    keys = projects.where(F.col("id").cast("long") % 2 == 0).select(F.concat(F.lit("key-"), "id").alias("key"), F.col("id").alias("project_id"))
+    return analytics.projects_by_key(keys, projects).select("key", "project_id", "name", "user_id")
+
+
+@query(O.with_(_PROJECTS) + " SELECT arg_min(id, (created_at, id)) AS id FROM (SELECT c_custkey::VARCHAR AS id, min(o_orderdate) AS created_at FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey <> 0 GROUP BY 1)")
+def first_admin(spark, sf_dir):
+    made = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.min("o_orderdate").alias("created_at"))
+    return analytics.first_user(_users(spark, sf_dir).where("id <> '0'").join(made, "id"))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type <> 'view') AS unread FROM events GROUP BY 1")
+def notifications_unread(spark, sf_dir):
+    return analytics.unread(table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "view").alias("is_read")))
+
+
+@query("SELECT date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('hour', ts) > TIMESTAMP '2024-01-25 12:00:00' - INTERVAL 168 HOUR")
+def counters_retained(spark, sf_dir):
+    hour = F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:00:00"))
+    hourly = table(spark, sf_dir, "events").groupBy(hour.alias("bucket")).agg(F.count("*").alias("n"))
+    return analytics.retained(hourly, F.to_timestamp_ntz(F.lit("2024-01-25 12:00:00")), "hour")
+
+
+_PLACED = "SELECT 0 AS query_id, CAST(p_partkey AS VARCHAR) AS id, p_type AS category, p_partkey % 7 <> 0 AS in_stock, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS position FROM part"
+
+
+def _placed(spark, sf_dir):
+    rows = C.from_parts(spark, sf_dir).select(F.lit(0).alias("query_id"), "id", "category", "in_stock", "price")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("price"), F.col("id").cast("long")))).drop("price")
+
+
+@query(f"SELECT id, position, shown FROM (SELECT *, row_number() OVER (ORDER BY NOT in_stock, position) AS shown FROM ({_PLACED})) WHERE shown <= 20")
+def shown_stock_first(spark, sf_dir):
+    return analytics.stock_first(_placed(spark, sf_dir)).select("id", "position", "shown")
+
+
+@query(f"SELECT id, place FROM (SELECT *, row_number() OVER (ORDER BY position) AS place FROM ({_PLACED}) WHERE category = 'ECONOMY') WHERE place > 20 AND place <= 40")
+def category_page(spark, sf_dir):
+    return analytics.category_page(_placed(spark, sf_dir), "ECONOMY", 1).select("id", "place")
+
+
+@query("SELECT 'demo' AS project_id, count(*) AS products, count(*) FILTER (WHERE p_partkey % 7 <> 0) AS in_stock, count(DISTINCT p_type) AS categories FROM part")
+def catalog_overview(spark, sf_dir):
+    return requests.overview(C.from_parts(spark, sf_dir))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 2 = 1")
+def index_clear(spark, sf_dir):
+    cat = C.from_parts(spark, sf_dir).withColumn("project_id", F.when(F.col("id").cast("long") % 2 == 0, "even").otherwise("odd"))
+    return index.clear(cat, "even").select("id")
+
+
+@query(f"SELECT p_partkey AS id, array_to_string(list_concat([n], {O.variants('n')}), '|') AS variants FROM (SELECT p_partkey, {O.normalize('p_name')} AS n FROM part)")
+def query_variants(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(X.query_variants("p_name"), "|").alias("variants"))
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, round({_COS}, 6) AS score FROM embeddings WHERE label % 2 = 0 AND vec_id % 100 BETWEEN 20 AND 70 ORDER BY score DESC, id LIMIT 10")
+def vector_request_filter(spark, sf_dir):
+    n = F.col("vec_id") % 100
+    payload = F.create_map(F.lit("in_stock"), (F.col("label") % 2 == 0).cast("string"), F.lit("price"), n.cast("string"))
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), payload.alias("payload"))
+    return vectors.top_k(points, _probe(spark, sf_dir), 10, vectors.vector_filter(20, 70, True)).withColumn("score", F.round("score", 6))
+
+
 # Streams, run to the end of what is there.
 
 
