@@ -48,9 +48,17 @@ def spaced_chunks(text: str) -> list[str]:
 #: What a byte-level vocabulary of this kind cuts texts at before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Both encoders cut printable chunks alike that hold white space at most as their first character, and are ASCII or of these
-#: letters alone: none of later scripts.
-_latin = re.compile("[\x20-\x7e\xa1-\u024f]*").fullmatch
-_probe = (" the", "\0Don't stop", " l'été", " 12,5%%%", "\0\n\nA_b", " straße\n", " x  y", " ñandú!!", "\0<tag>|", " Zürich'll")
+#: letters alone: none of later scripts. Single line breaks may stand between other characters.
+_latin, _broken = (re.compile(x).fullmatch for x in ("[\x20-\x7e\xa1-\u024f]*", r" ?[^\s]+(\n[^\s]+)+"))
+
+
+def _is_plain(x: str) -> bool:
+    if "\n" in x:
+        x = x.replace("\n", "") if _broken(x) is not None else "\n"
+    return x != "" and x.isprintable() and x.find(" ", 1) < 0 and (x.isascii() or _latin(x) is not None)
+
+
+_probe = (" the", "\0Don't stop", " l'été", " 12,5%%%", "\0\n\nA_b", " straße\n", " x  y", " ñandú!!", "\0<tag>|", " Zürich'll", " end.\nStart", " a\n\xa1b\n1")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -110,17 +118,19 @@ class ByteTokens:
     def _encode(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk as uint32."""
         texts = [" " + c if c[:1] != "\0" else c[1:] for c in chunks]
-        plain = [x != "" and x.isprintable() and x.find(" ", 1) < 0 and (x.isascii() or _latin(x) is not None) for x in texts] if self.quick else [False] * len(texts)
+        # The first test is that of most chunks, without a call.
+        plain = [x.isascii() and x.isprintable() and x.find(" ", 1) < 0 and x != "" or _is_plain(x) for x in texts] if self.quick else [False] * len(texts)
         quick = iter(self._quickly([*compress(texts, plain)]))
         rest = iter(self._slow([x for x, p in zip(texts, plain, strict=True) if not p]))
         return [next(quick) if p else array("I", next(rest)).tobytes() for p in plain]
 
     def _quickly(self, texts: list[str]) -> list[bytes]:
-        """Many chunks as one text: a line break, which none of them holds, is a token by itself between them."""
+        """Many chunks as one text, with a line break after each; a line break is a token by itself wherever it stands there."""
         if not texts:
             return []
         ids = np.array(self.quick("\n".join([*texts, ""])), dtype="<u4")
-        ends = np.flatnonzero(ids == self.quick("\n")[0]) * WIDTH
+        breaks = np.flatnonzero(ids == self.quick("\n")[0])
+        ends = breaks[np.cumsum([x.count("\n") + 1 for x in texts]) - 1] * WIDTH
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip([0, *(ends[:-1] + WIDTH).tolist()], ends.tolist(), strict=True)]
 

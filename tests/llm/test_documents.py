@@ -176,7 +176,7 @@ def test_packing(docs, monkeypatch):
 def test_chunks_agree_with_the_tokenizer(texts):
     vocabulary = open(P.path("byte_bpe_50k.json")).read()
     full = Tokenizer.from_str(vocabulary)
-    tricky = ["a <|endoftext|> b", "a  b \n c  ", "nbsp\u00a0 x \u3000 y", " lead", "trail ", "\n \n", "x\u0085 y", "it's  I'll", "a\0b c"]
+    tricky = ["a <|endoftext|> b", "a  b \n c  ", "nbsp\u00a0 x \u3000 y", " lead", "trail ", "\n \n", "x\u0085 y", "it's  I'll", "a\0b c", "one.\nTwo \nthree\n four\n\nfive\n", "\nx\ny z\u00ad\nw", "a b\nc\nd e", "é\nñ 1\n2"]
     for quick in (False, True):
         tokens = packing.ByteTokens(vocabulary, quick)
         found = [ids for _, part in tokens.ids([*texts, *tricky]) for ids in part]
