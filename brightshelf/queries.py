@@ -538,9 +538,9 @@ def projects_expiring(spark, sf_dir):
     return analytics.expiring(_projects(spark, sf_dir), _users(spark, sf_dir), TODAY)
 
 
-@query(O.with_(_PROJECTS) + " SELECT id, paid_until FROM projects WHERE status = 'active' AND paid_until < DATE '1993-01-01'")
+@query(O.with_(_PROJECTS) + " SELECT id, paid_until FROM projects WHERE status = 'active' AND paid_until < DATE '1996-01-01'")
 def projects_expired(spark, sf_dir):
-    return analytics.expired(_projects(spark, sf_dir), date(1993, 1, 1)).select("id", "paid_until")
+    return analytics.expired(_projects(spark, sf_dir), date(1996, 1, 1)).select("id", "paid_until")
 
 
 @query(O.with_(_PROJECTS) + " SELECT '0' AS staff_id, p.id AS project_id, 'expires in ' || date_diff('day', DATE '1998-06-01', paid_until) || ' days' AS message FROM projects p WHERE status = 'active' AND paid_until BETWEEN DATE '1998-06-01' AND DATE '1998-06-08' AND NOT reminded")
