@@ -16,14 +16,6 @@ def other(small):
     return con
 
 
-@pytest.fixture(scope="module", autouse=True)
-def one_job(spark):
-    """Tiny tables: plans are not made anew stage by stage."""
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    yield
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
 def comparable(rows):
     return [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
 
