@@ -46,11 +46,11 @@ def final_score(max_price: Column, max_popularity: Column) -> Column:
 
 def ranked(hits: DataFrame) -> DataFrame:
     """``hits`` (query_id, tokens, base, id, name, price, ...) with final and position. Prices and popularity are measured
-    against the highest among a query's hits, which an aggregation finds."""
+    against the highest among a query's hits, which an aggregation finds. Scores are ordered by 9 places."""
     high = lambda c: F.when(F.max(c) != 0, F.max(c)).otherwise(1.0)
     top = hits.groupBy("query_id").agg(high("price").alias("max_price"), high("popularity").alias("max_popularity"))
     rows = hits.join(top, "query_id").withColumn("final", final_score(F.col("max_price"), F.col("max_popularity")))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), F.desc("base"), F.desc("id"))))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.bround("final", 9)), F.desc("base"), F.desc("id"))))
 
 
 def resorted(hits: DataFrame, sort: str) -> DataFrame:

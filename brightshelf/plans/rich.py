@@ -27,7 +27,7 @@ def prepared(queries: DataFrame) -> DataFrame:
 def base_scores(processed: DataFrame, idx: search.Index) -> DataFrame:
     """(query_id, product_id, base): the sum of the tokens' scores; by n-grams where no token hits."""
     tokens = processed.select("query_id", "project_id", F.explode("tokens").alias("token"))
-    direct = tokens.join(idx.postings, ["project_id", "token"]).groupBy("query_id", "project_id", "product_id").agg(F.sum("score").alias("base"))
+    direct = tokens.join(idx.postings, ["project_id", "token"]).groupBy("query_id", "project_id", "product_id").agg(F.bround(F.sum("score"), 9).alias("base"))
     none = processed.join(direct.select("query_id").distinct(), "query_id", "left_anti")
     close = search.ngram_hits(none, idx, KEPT, SIMILAR, X.padded_ngrams).select("query_id", "project_id", "product_id", F.col("score").alias("base"))
     return direct.unionByName(close)

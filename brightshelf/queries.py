@@ -187,14 +187,12 @@ def index_top_tokens(spark, sf_dir):
     return index.token_document_counts(index.postings(C.from_parts(spark, sf_dir)))
 
 
-@query(
-    O.with_(
-        O.CATALOG,
-        "tk AS (SELECT id, unnest(list_distinct(list_concat(string_split(lower(name), ' '), list_filter(string_split(lower(replace(brand, '#', ' ')), ' '), lambda w: length(w) > 1), [lower(category)], list_filter([size], lambda w: length(w) > 1), [color]))) AS token, * FROM catalog)",
-    )
-    + """ SELECT id AS product_id, token, round_even(((CASE WHEN instr(lower(name), token) > 0 THEN 1.0::DOUBLE - 0.5::DOUBLE * (instr(lower(name), token) - 1) / greatest(length(name), 1) ELSE 0 END)
+_TOKEN_SET = "tk AS (SELECT id, unnest(list_distinct(list_concat(string_split(lower(name), ' '), list_filter(string_split(lower(replace(brand, '#', ' ')), ' '), lambda w: length(w) > 1), [lower(category)], list_filter([size], lambda w: length(w) > 1), [color]))) AS token, * FROM catalog)"
+_PLACED_POSTINGS = """SELECT id AS product_id, token, round_even(((CASE WHEN instr(lower(name), token) > 0 THEN 1.0::DOUBLE - 0.5::DOUBLE * (instr(lower(name), token) - 1) / greatest(length(name), 1) ELSE 0 END)
   + 0.5::DOUBLE * contains(lower(brand), token)::INT + 0.3::DOUBLE * contains(lower(category), token)::INT) * (CASE WHEN in_stock THEN 1.0::DOUBLE ELSE 0.5 END), 4) AS score FROM tk"""
-)
+
+
+@query(O.with_(O.CATALOG, _TOKEN_SET) + " " + _PLACED_POSTINGS)
 def index_placed_postings(spark, sf_dir):
     return index.placed_postings(C.from_parts(spark, sf_dir)).drop("project_id")
 
@@ -773,7 +771,26 @@ def hybrid_search(spark, sf_dir):
     return hybrid.hybrid_search(spark, "red ringg", _words(spark, sf_dir), idx, cat)
 
 
-@query()
+_RICH_RANKED = """m AS (SELECT *, max(price) OVER (PARTITION BY query_id) AS mp, max(popularity) OVER (PARTITION BY query_id) AS mq, list_filter(list_transform(tokens, lambda t: instr(lower(name), t)), lambda p: p > 0) AS ps FROM r),
+f AS (SELECT *, ((base * 0.5::DOUBLE + (CASE WHEN len(ps) > 0 THEN 1.0::DOUBLE - (list_min(ps) - 1)::DOUBLE / length(name) ELSE 0 END) * 0.3::DOUBLE + (CASE WHEN contains(lower(name), array_to_string(tokens, ' ')) THEN 1.0::DOUBLE ELSE 0 END) * 0.2::DOUBLE) * 0.4::DOUBLE
+  + popularity / (CASE WHEN mq <> 0 THEN mq ELSE 1 END) * 0.2::DOUBLE + (coalesce(dp / 100, 0) * 0.6::DOUBLE + (1 - price / mp) * 0.4::DOUBLE) * 0.2::DOUBLE) AS raw FROM m),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(raw, 9) DESC, base DESC, id DESC) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM f)"""
+_RICH_ASKED = "asked AS (SELECT query_id, list_filter(regexp_split_to_array(n, '[\\s\\-]+'), lambda w: length(w) > 1) AS tokens FROM (SELECT query_id, " + O.normalize("q") + " AS n FROM (VALUES " + ", ".join(f"({k}, {O.text(q)})" for k, (q, _) in enumerate(BASIC)) + ") v(query_id, q)))"
+
+
+@query(
+    O.with_(
+        O.CATALOG,
+        _TOKEN_SET,
+        f"placed AS ({_PLACED_POSTINGS})",
+        _RICH_ASKED,
+        "base AS (SELECT query_id, product_id AS id, round_even(sum(score), 9) AS base FROM (SELECT query_id, unnest(tokens) AS token FROM asked) JOIN placed USING (token) GROUP BY ALL)",
+        "pop AS (SELECT CAST(l_partkey AS VARCHAR) AS id, count(*)::DOUBLE AS popularity FROM lineitem GROUP BY 1)",
+        "r AS (SELECT query_id, c.id, name, price, category, brand, in_stock, coalesce(popularity, 0) AS popularity, tokens, base, CASE WHEN old_price > price THEN round_even((1 - price / old_price) * 100, 0) END AS dp FROM base JOIN catalog c USING (id) JOIN asked USING (query_id) LEFT JOIN pop USING (id) WHERE in_stock)",
+        _RICH_RANKED,
+    )
+    + " SELECT query_id, position, id, name, round_even(raw, 6) AS final, total, price, category, brand, in_stock, regexp_replace(name, '(red)', '<em>\\1</em>', 'gi') AS highlighted_name FROM g WHERE position <= 20"
+)
 def rich_search(spark, sf_dir):
     cat = C.from_parts(spark, sf_dir)
     popular = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("id")).agg(F.count("*").cast("double").alias("popularity"))
