@@ -720,9 +720,9 @@ def vector_topk_filtered(spark, sf_dir):
     return vectors.top_k(_collection(spark, sf_dir), _probe(spark, sf_dir), 10, must).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, round(sqrt(greatest(2 - 2 * {_COS}, 0)), 6) AS distance FROM embeddings ORDER BY distance, id LIMIT 10")
 def vector_approximate(spark, sf_dir):
-    return vectors.approximate_top_k(_collection(spark, sf_dir), _probe(spark, sf_dir), 10)
+    return vectors.approximate_top_k(_collection(spark, sf_dir), _probe(spark, sf_dir), 10).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, vec_id >= 100 AS old FROM embeddings WHERE vec_id % 5 <> 0")

@@ -1,6 +1,7 @@
 import os
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brightshelf.operators import analytics, spell, vectors
@@ -133,3 +134,16 @@ def test_upsert_replaces(spark):
     one = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, vector array<double>")
     two = spark.createDataFrame([("b", [3.0]), ("c", [4.0])], "id string, vector array<double>")
     assert {r["id"]: r["vector"] for r in vectors.upsert(one, two).collect()} == {"a": [1.0], "b": [3.0], "c": [4.0]}
+
+
+def test_approximate_neighbours(spark):
+    """Recall against all, and all where too few share a bucket."""
+    rng = np.random.default_rng(2)
+    points = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(rng.normal(size=(600, 32)))], "id string, vector array<double>").cache()
+    hit = 0
+    for k in range(5):
+        probe = rng.normal(size=32).tolist()
+        exact, near = ({r["id"] for r in f(points, probe, 10).collect()} for f in (vectors.top_k, vectors.approximate_top_k))
+        hit += len(exact & near)
+    assert hit >= 45
+    assert vectors.approximate_top_k(points, probe, 10, bucket=1e-9).count() == 10
