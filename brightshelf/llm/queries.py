@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, chat, collisions, licences, packing, pieces, quality, recompress, simhash, sql, urls
+from . import caps, chat, collisions, infill, licences, packing, pieces, quality, recompress, simhash, sql, urls
 from .common import table
 
 #: Where the vocabulary files lie; the files themselves are not part of this repository.
@@ -60,6 +60,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_and_read(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = (
         op1_license_scan,
@@ -72,6 +76,7 @@ def queries() -> dict:
         op8_quality,
         op9_substring_dedup,
         op10_chat_format,
+        op13_fill_in_middle,
     )
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
 
