@@ -6,11 +6,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, chat, collisions, infill, licences, packing, pieces, quality, recompress, simhash, sql, urls
+from . import caps, chat, collisions, infill, licences, packing, pieces, quality, recompress, simhash, sql, transducer, urls
 from .common import table
 
 #: Where the vocabulary files lie; the files themselves are not part of this repository.
-PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
+PIECES, BYTES, LOWER = "piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -60,6 +60,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_and_read(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.counted(table(spark, sf_dir, "documents"), vocabulary(LOWER))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries() -> dict:
         op8_quality,
         op9_substring_dedup,
         op10_chat_format,
+        op12_token_counts,
         op13_fill_in_middle,
     )
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
