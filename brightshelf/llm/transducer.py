@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import document_batches, given_back
@@ -411,7 +412,7 @@ class Counter:
             text = batch.column("text")
             for part, n in self.stream(text.to_pylist()):
                 of = text.slice(part.start, part.stop - part.start)
-                size = pa.compute.fill_null(pa.compute.binary_length(of), 0).cast(pa.int64())
+                size = pc.fill_null(pc.binary_length(of), 0).cast(pa.int64())
                 ids = batch.column("doc_id").slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([ids, size, pa.array(n, type=pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
