@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, chat, collisions, infill, licences, packing, pieces, quality, recompress, simhash, sql, transducer, urls
+from . import caps, chat, codebooks, collisions, infill, licences, packing, pieces, quality, recompress, simhash, sql, transducer, urls
 from .common import table
 
 #: Where the vocabulary files lie; the files themselves are not part of this repository.
@@ -60,6 +60,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_and_read(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.counted(table(spark, sf_dir, "documents"), vocabulary(LOWER))
 
@@ -80,6 +84,7 @@ def queries() -> dict:
         op8_quality,
         op9_substring_dedup,
         op10_chat_format,
+        op11_vector_codes,
         op12_token_counts,
         op13_fill_in_middle,
     )

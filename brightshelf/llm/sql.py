@@ -45,6 +45,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+
+def _codebooks() -> str:
+    """Rounds are steps of the statement: a (entries of the vectors' parts), then b (the entries that result)."""
+    squares = "CAST(list_sum(list_transform(range(1, len(x.c) + 1), lambda i: (x.c[i] - y.c[i]) * (x.c[i] - y.c[i]))) AS BIGINT)"
+    steps = []
+    for k in range(3):
+        steps.append(f"a{k} AS (SELECT vec_id, label, p, any_value(x.c) AS c, min({{'d': {squares}, 'e': e}}) AS best FROM parts x JOIN b{k} y USING (p) GROUP BY vec_id, label, p)")
+        if k < 2:
+            steps.append(f"""m{k} AS (SELECT p, best.e AS e, i, CAST(sum(c[i + 1]) AS BIGINT) AS s, count(*) AS n FROM a{k}, range(4) t(i) GROUP BY ALL),
+b{k + 1} AS (SELECT p, e, coalesce(new, c) AS c FROM b{k} LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS new FROM m{k} GROUP BY p, e) USING (p, e))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (SELECT vec_id, label, p, v[p * 4 + 1:p * 4 + 4] AS c FROM kept, range(16) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+{", ".join(steps)},
+coded AS (SELECT vec_id, label, string_agg(lpad(to_hex(best.e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(c[i + 1], ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b2, range(4) t(i))
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books"""
+
+
+op11_vector_codes = _codebooks()
+
 op13_fill_in_middle = """
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 drawn AS (SELECT *, list_transform(range(4), lambda i: CAST('0x' || substring(k, 1 + 8 * i, 8) AS BIGINT)) AS h, len(u) AS n FROM cut),
