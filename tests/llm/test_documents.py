@@ -1,6 +1,7 @@
 """Operators on documents against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -184,6 +185,22 @@ def test_chunks_agree_with_the_tokenizer(texts):
             assert np.frombuffer(ids, dtype="<u4").tolist() == full.encode(t or "", add_special_tokens=False).ids
 
 
+def test_special_strings_without_spaces():
+    """Their texts are printable, unbroken and of ASCII, and still the library's alone."""
+    vocabulary = open(P.path("byte_bpe_50k.json")).read()
+    full = Tokenizer.from_str(vocabulary)
+    s = "<|endoftext|>"
+    texts = [s, f"x{s}y", f"{s}\n{s}", f"{s}x", f"x{s}", s * 3, f"{s} ", f" {s}", f"é{s}", f"<|{s}|>", "<|endoftext|", f"a\n{s}b\nc", f"{s}{s[:-1]}"]
+    rng = random.Random(9)
+    signs = [s, s, "<|", "|>", "a", "Z", "1", "é", "\n", ".", "'s", "the", "\0", "日", " "]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    want = [x.ids for x in full.encode_batch(texts, add_special_tokens=False)]
+    for quick in (False, True):
+        tokens = packing.ByteTokens(vocabulary, quick)
+        assert [np.frombuffer(ids, dtype="<u4").tolist() for _, part in tokens.ids(texts) for ids in part] == want
+    assert tokens.agrees()
+
+
 def plain_removals(rows):
     words = [(d, WORD.findall(t or "")) for d, t in rows]
     order = lambda d: float("inf") if d is None else d
