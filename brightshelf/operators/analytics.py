@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.catalog import of_project
 
 RECENT = 1000
 #: Days that daily counters are kept, and hours that hourly ones are.
@@ -62,8 +63,11 @@ def dense_days(log: DataFrame, today: date, days: int) -> DataFrame:
     return calendar.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def report(log: DataFrame, clicks: DataFrame, today: date, days: int = 7) -> dict[str, DataFrame]:
-    """The parts of the analytics page. days=0 is all time: totals of everything, and the days of a year that have any."""
+def report(log: DataFrame, clicks: DataFrame, today: date, days: int = 7, project_id: str | None = None) -> dict[str, DataFrame]:
+    """The parts of the analytics page of a project, where the logs hold several (column project_id). days=0 is all time:
+    totals of everything, and the days of a year that have any."""
+    if project_id is not None:
+        log, clicks = (of_project(df, project_id) for df in (log, clicks))
     found = searches(log)
     if days:
         by_day = {"queries_by_day": dense_days(found, today, days), "clicks_by_day": dense_days(clicks, today, days)}

@@ -90,12 +90,15 @@ def merge_delta(catalog: DataFrame, delta: DataFrame, project_id: str = DEMO) ->
     return out.withColumn("discount_percent", F.when(cheaper, F.bround((1 - F.col("price") / F.col("old_price")) * 100, 0).cast("int")))
 
 
-def restocked(posted: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Postings whose score is halved where a product ran out of stock, and whole again where it came back."""
+def restocked(posted: DataFrame, before: DataFrame, after: DataFrame, scored=postings) -> DataFrame:
+    """Postings after stock changed: scores of products that ran out are halved, those of products that came back are computed
+    anew by ``scored``, which made the postings."""
     ids = lambda df, name: df.select("project_id", F.col("id").alias("product_id"), F.coalesce("in_stock", F.lit(True)).alias(name))
     flips = ids(before, "was").join(ids(after, "now"), ["project_id", "product_id"]).where("was <> now")
-    score = F.when(F.col("was") & ~F.col("now"), F.col("score") * 0.5).when(~F.col("was") & F.col("now"), F.col("score") * 2).otherwise(F.col("score"))
-    return posted.join(flips, ["project_id", "product_id"], "left").withColumn("score", score).drop("was", "now")
+    back = flips.where("now").select("project_id", "product_id")
+    kept = posted.join(back, ["project_id", "product_id"], "left_anti").join(flips.where("was").select("project_id", "product_id", "was"), ["project_id", "product_id"], "left")
+    halved = kept.withColumn("score", F.when(F.col("was"), F.col("score") * 0.5).otherwise(F.col("score"))).drop("was")
+    return halved.unionByName(scored(after.join(back.withColumnRenamed("product_id", "id"), ["project_id", "id"], "left_semi")))
 
 
 def token_document_counts(posted: DataFrame, limit: int = 20) -> DataFrame:

@@ -155,7 +155,7 @@ def _unbounded(queries: DataFrame, index: Index, synonyms: DataFrame | None) ->
     return _earliest(kept.unionByName(ngram_hits(short, index)))
 
 
-def _of_tokens(postings: DataFrame, tokens: set[tuple[str, str]]) -> DataFrame:
+def of_tokens(postings: DataFrame, tokens: set[tuple[str, str]]) -> DataFrame:
     """The postings of some (project_id, token); with few tokens the filter reaches the scan, where they lie together."""
     if len(tokens) > TOKENS_PUSHED:
         return postings
@@ -172,7 +172,7 @@ def _staged(queries: DataFrame, index: Index, synonyms: DataFrame | None) -> tup
     literal = lambda some: literal_rows(queries.sparkSession, [r.asDict() for r in some], schema)
     words = expand_synonyms(literal(rows), synonyms).collect() if synonyms is not None else [{**r.asDict(), "token": t} for r in rows for t in r["tokens"]]
     wanted = {(w["project_id"], w["token"]) for w in words}
-    postings = _of_tokens(index.postings, wanted)
+    postings = of_tokens(index.postings, wanted)
     sized = literal_rows(queries.sparkSession, [{"project_id": p, "token": t} for p, t in wanted], "project_id string, token string").join(postings, ["project_id", "token"])
     sizes = {(r["project_id"], r["token"]): r["n"] for r in sized.groupBy("project_id", "token").agg(F.count("*").alias("n")).collect()} if wanted else {}
     most: dict = {}

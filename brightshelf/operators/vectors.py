@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.snapshots import Snapshots
 
 #: The constant of reciprocal rank fusion, and how many of the fused results are reranked.
 RRF_K, RERANKED = 60, 20
@@ -104,6 +105,49 @@ def embed(df: DataFrame, text: Column, dim: int = 64, out: str = "vector") -> Da
     return keyed.join(distinct, "_key").drop("_key", "_text")
 
 
+def embed_stored(df: DataFrame, text: Column, store: Snapshots, dim: int = 64, out: str = "vector", drop: bool = False) -> tuple[DataFrame, int]:
+    """embed(), with the vectors of texts kept under ``store`` by the texts' hash: (rows with vectors, texts that were embedded).
+
+    Only texts whose hash is not there yet are embedded, and become a part of its table ``vectors``. With ``drop``, entries
+    of texts that ``df`` no longer has go.
+    """
+    keyed = df.withColumns({"_text": text, "_key": F.sha2(F.concat(F.lit(f"{dim}:"), F.coalesce(text, F.lit(""))), 256)})
+    base = store.version()
+    known = store.rows("vectors", base)
+    distinct = keyed.groupBy("_key").agg(F.any_value("_text").alias("_text"))
+    missing = distinct if known is None else distinct.join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
+    named = missing.select(F.col("_key").alias("key"), F.col("_text").alias("said"))
+    part = store.write(embed(named, F.col("said"), dim).select("key", "vector"), "vectors")
+    new = df.sparkSession.read.parquet(f"{store.path}/{part}")
+    n = new.count()
+    if drop and known is not None:
+        kept = known.drop("at").join(distinct.select(F.col("_key").alias("key")), "key", "left_semi")
+        base = store.version(store.publish(base, {"vectors": [store.write(kept, "vectors"), part]}, ("vectors",)))
+    elif n or known is None:
+        base = store.version(store.publish(base, {"vectors": [part]}))
+    every = store.rows("vectors", base).select(F.col("key").alias("_key"), F.col("vector").alias(out))
+    return keyed.join(every, "_key").drop("_key", "_text"), n
+
+
+def create_collection(store: Snapshots, name: str) -> bool:
+    """An empty collection of points, unless there is one of that name; whether it was made."""
+    base = store.version()
+    if name in base["tables"]:
+        return False
+    empty = store.spark.createDataFrame([], "id string, vector array<float>, payload map<string,string>")
+    store.publish(base, {name: [store.write(empty, name)]})
+    return True
+
+
+def drop_collection(store: Snapshots, name: str) -> bool:
+    """Whether there was one; its files go with the next vacuum()."""
+    base = store.version()
+    if not base["tables"].get(name):
+        return False
+    store.publish(base | {"tables": {k: v for k, v in base["tables"].items() if k != name}}, {})
+    return True
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, id, rrf, position): reciprocal rank fusion of two ranked lists (query_id, id, position)."""
     one = lambda df, name: df.select("query_id", "id", (1.0 / (k + F.col("position"))).alias(name))

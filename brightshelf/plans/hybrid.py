@@ -7,22 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import search, spell, vectors
-from ..sources.catalog import DEMO
+from ..sources.catalog import DEMO, of_project
+from ..sources.snapshots import Snapshots
 from . import requests
 
 #: Hits of each kind that are fused.
 FUSED = 100
 
 
-def hybrid_search(spark: SparkSession, q: str, words: DataFrame, index: search.Index, catalog: DataFrame, dim: int = 64, offset: int = 0, limit: int = 20, project_id: str = DEMO) -> DataFrame:
-    """(query_id, id, score, position, corrected): a page of one query's results; ``words`` is the speller's dictionary."""
+def hybrid_search(
+    spark: SparkSession, q: str, words: DataFrame, index: search.Index, catalog: DataFrame, dim: int = 64, offset: int = 0, limit: int = 20, project_id: str = DEMO, stored: Snapshots | None = None
+) -> DataFrame:
+    """(query_id, id, score, position, corrected): a page of one query's results in one project; ``words`` is the speller's
+    dictionary. With ``stored``, vectors of products are read there, and only those of new texts are made."""
     asked = requests.of_queries(spark, [q], FUSED, project_id)
     corrected = spell.check(asked.select("query_id", "q"), words).first()["corrected"]
     asked = requests.of_queries(spark, [corrected], FUSED, project_id)
-    keyword = search.search(asked, index, catalog).select("query_id", "id", "position")
-    embedded = vectors.embed(catalog.withColumn("search_text", F.lit("")), X.embedding_text(), dim)
+    own = of_project(catalog, project_id)
+    keyword = search.search(asked, index, own).select("query_id", "id", "position")
+    texts = own.withColumn("search_text", F.lit(""))
+    embedded = vectors.embed_stored(texts, X.embedding_text(), stored, dim)[0] if stored else vectors.embed(texts, X.embedding_text(), dim)
     points = embedded.select("id", "vector", F.create_map().cast("map<string,string>").alias("payload"))
     near = vectors.top_k(points, vectors.mock_vector(corrected, dim).tolist(), FUSED)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     near = near.withColumn("query_id", F.lit(0)).select("query_id", "id", place.alias("position"))
-    return vectors.hybrid(asked, keyword, near, catalog, offset, limit).withColumn("corrected", F.lit(corrected))
+    return vectors.hybrid(asked, keyword, near, own, offset, limit).withColumn("corrected", F.lit(corrected))

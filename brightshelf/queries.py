@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions import text as X
 from .functions import words as W
-from .operators import analytics, facets, index, ranking, related, search, spell, suggest, vectors
+from .operators import analytics, cells, facets, impact, index, ranking, related, search, spell, suggest, vectors
 from .plans import hybrid, requests, rich
+from .plans.shop import Shop
 from .sources import catalog as C
 from .sources import feeds
+from .sources.snapshots import Snapshots
 from .streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,17 +39,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_INDEXES: dict[tuple[str, str], tuple[DataFrame, search.Index]] = {}
+_SHOPS: dict[tuple[str, str], Shop] = {}
 
 
-def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, search.Index]:
-    """The catalog and its index, which is built once in an application: searches read an index, they do not make it."""
+def stored(spark: SparkSession, sf_dir: str) -> Shop:
+    """The catalog and its index in the shared folder, made once in an application: searches read an index, they do not make it."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        cat = C.from_parts(spark, sf_dir)
-        posted = index.postings(cat).persist()
-        _INDEXES[key] = (cat, search.Index(posted, index.ngram_index(posted).persist()))
-    return _INDEXES[key]
+    if key not in _SHOPS:
+        _SHOPS[key] = new_shop(spark, "plain")
+        _SHOPS[key].replace(C.from_parts(spark, sf_dir), C.DEMO)
+    return _SHOPS[key]
+
+
+def new_shop(spark: SparkSession, kind: str) -> Shop:
+    return Shop(spark, counters.shared_folder(spark, "shop"), kind)
+
+
+def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, search.Index]:
+    return C.from_parts(spark, sf_dir), stored(spark, sf_dir).index()
 
 
 def asked(spark: SparkSession, queries: list[tuple[str, int]]) -> DataFrame:
@@ -276,6 +285,16 @@ def search_batch(spark, sf_dir):
     return search.search(asked(spark, BATCH), idx, cat)
 
 
+@query(f"SELECT * EXCLUDE (total) FROM ({O.search(BASIC)})")
+def search_topk(spark, sf_dir):
+    return impact.top(asked(spark, BASIC), stored(spark, sf_dir).impacts(), C.from_parts(spark, sf_dir))
+
+
+@query(f"SELECT * EXCLUDE (total) FROM ({O.search(BATCH)})")
+def search_topk_batch(spark, sf_dir):
+    return impact.top(asked(spark, BATCH), stored(spark, sf_dir).impacts(), C.from_parts(spark, sf_dir))
+
+
 # Facets and fields.
 
 
@@ -588,10 +607,42 @@ def delta_merge(spark, sf_dir):
     return merged.select("id", "price", "in_stock", "quantity", "changed", "discount_percent")
 
 
-@query(O.with_(O.CATALOG, O.POSTINGS, _DELTA) + " SELECT token, product_id, score * CASE WHEN c.in_stock AND NOT coalesce(d.in_stock, c.in_stock) THEN 0.5::DOUBLE WHEN NOT c.in_stock AND coalesce(d.in_stock, c.in_stock) THEN 2 ELSE 1 END AS score FROM postings JOIN catalog c ON c.id = product_id LEFT JOIN delta d ON d.id = product_id")
+#: The catalog after the delta; what stands before it is named ``before``.
+_AFTER = (O.CATALOG.replace("catalog AS", "before AS", 1), _DELTA, "catalog AS (SELECT b.* REPLACE (coalesce(d.in_stock, b.in_stock) AS in_stock), b.in_stock AS was FROM before b LEFT JOIN delta d USING (id))")
+
+
+@query(O.with_(*_AFTER, _TOKEN_SET) + f" SELECT token, product_id, CASE WHEN was AND NOT in_stock THEN whole * 0.5 ELSE score END AS score FROM ({_PLACED_POSTINGS.replace(' AS score FROM tk', ' AS score, in_stock, was FROM tk')}) JOIN (SELECT token AS t, product_id AS p, score AS whole FROM ({_PLACED_POSTINGS.replace('CASE WHEN in_stock', 'CASE WHEN true')})) ON t = token AND p = product_id")
 def delta_restock(spark, sf_dir):
     cat = C.from_parts(spark, sf_dir)
-    return index.restocked(index.postings(cat), cat, index.merge_delta(cat, _delta(spark, sf_dir))).drop("project_id")
+    return index.restocked(index.placed_postings(cat), cat, index.merge_delta(cat, _delta(spark, sf_dir)), index.placed_postings).drop("project_id")
+
+
+@query(O.with_(*_AFTER, _TOKEN_SET) + " " + _PLACED_POSTINGS)
+def index_after_delta(spark, sf_dir):
+    shop = new_shop(spark, "rich")
+    shop.replace(C.from_parts(spark, sf_dir), C.DEMO)
+    shop.delta(_delta(spark, sf_dir), C.DEMO)
+    return shop.index().postings.drop("project_id")
+
+
+@query(O.with_(O.CATALOG, O.POSTINGS) + " SELECT token, product_id, score FROM postings WHERE CAST(product_id AS BIGINT) % 10 <> 0 AND CAST(product_id AS BIGINT) % 7 <> 3 UNION ALL SELECT 'changed', id, 3.0 FROM catalog WHERE CAST(id AS BIGINT) % 10 = 0 AND CAST(id AS BIGINT) % 7 <> 3")
+def index_compacted(spark, sf_dir):
+    cat, shop, k = C.from_parts(spark, sf_dir), new_shop(spark, "plain"), F.col("id").cast("long")
+    shop.replace(cat, C.DEMO)
+    gone = [F.lit(None).cast(t).alias(c) for c, t in cat.dtypes if c not in ("project_id", "id", "name")]
+    shop.upsert(cat.where(k % 10 == 0).select("project_id", "id", F.lit("changed").alias("name"), *gone))
+    shop.delete(cat.where(k % 7 == 3))
+    shop.compact()
+    return shop.index().postings.drop("project_id")
+
+
+@query(O.with_(*_AFTER) + " SELECT 1 AS version, id, in_stock FROM before UNION ALL SELECT 2, id, in_stock FROM catalog")
+def catalog_as_of(spark, sf_dir):
+    shop = new_shop(spark, "plain")
+    shop.replace(C.from_parts(spark, sf_dir), C.DEMO)
+    shop.delta(_delta(spark, sf_dir), C.DEMO)
+    of = lambda n: shop.catalog(shop.version(n)).select(F.lit(n).alias("version"), "id", "in_stock")
+    return of(1).unionByName(of(2))
 
 
 @query(O.with_(O.CATALOG) + " SELECT id, name FROM catalog WHERE CAST(id AS BIGINT) % 3 <> 0")
@@ -739,6 +790,25 @@ def embed_products(spark, sf_dir):
     return vectors.embed(cat, X.embedding_text()).select("id", F.round(vectors.norm(F.col("vector")), 4).alias("norm"))
 
 
+@query("SELECT 1 AS run, count(DISTINCT p_name || ' ' || p_brand || ' ' || p_type) AS embedded, count(*) AS products FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 2, (SELECT count(DISTINCT p_name || ' ' || p_brand || ' ' || p_type) FROM part) - (SELECT count(DISTINCT p_name || ' ' || p_brand || ' ' || p_type) FROM part WHERE p_partkey % 2 = 0), count(*) FROM part UNION ALL SELECT 3, 0, count(*) FROM part")
+def embedding_cache(spark, sf_dir):
+    cat, store = C.from_parts(spark, sf_dir).withColumn("search_text", F.lit("")), Snapshots(spark, counters.shared_folder(spark, "texts"))
+    rows = []
+    for run, some in enumerate((cat.where(F.col("id").cast("long") % 2 == 0), cat, cat), 1):
+        out, n = vectors.embed_stored(some, X.embedding_text(), store)
+        rows.append(out.agg(F.count("*").alias("products")).select(F.lit(run).alias("run"), F.lit(n).cast("long").alias("embedded"), "products"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query()
+def vector_cells(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = counters.shared_folder(spark, "cells")
+    cells.write(points, path, cells.fit(points))
+    asks = [(r["id"], r["vector"]) for r in points.where("id % 50 = 0").collect()]
+    return cells.search(spark, path, asks, 10).withColumn("score", F.round("score", 6))
+
+
 _TWO = "kw AS (SELECT 0 AS query_id, CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS position FROM part QUALIFY position <= 100), ve AS (SELECT 0 AS query_id, CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_size, p_partkey) AS position FROM part QUALIFY position <= 100), fused AS (SELECT query_id, id, rrf, row_number() OVER (ORDER BY rrf DESC, late, id) AS position FROM (SELECT coalesce(kw.query_id, ve.query_id) AS query_id, coalesce(kw.id, ve.id) AS id, coalesce(1.0::DOUBLE / (60 + kw.position), 0) + coalesce(1.0::DOUBLE / (60 + ve.position), 0) AS rrf, kw.id IS NULL AS late FROM kw FULL JOIN ve ON kw.id = ve.id))"
 
 
@@ -940,3 +1010,9 @@ def analytics_mirror(spark, sf_dir):
 def stream_recent_means(spark, sf_dir):
     stream = counters.recent_means(counters.read_events(spark, f"{sf_dir}/events.parquet"))
     return counters.to_table(stream, ["event_type"]).select("event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, count(DISTINCT date_trunc('hour', ts)) AS buckets FROM events GROUP BY 1")
+def stream_bucketed_means(spark, sf_dir):
+    stream = counters.bucketed_means(counters.read_events(spark, f"{sf_dir}/events.parquet"), kept="3650 days")
+    return counters.to_table(stream, ["event_type"], rocks=True).select("event_type", "n", F.round("mean", 6).alias("mean"), "buckets")

@@ -70,17 +70,18 @@ def with_discount(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("discount_percent", F.when(both, F.bround((1 - F.col("price") / F.col("old_price")) * 100, 0).cast("int")))
 
 
-def by_ids(catalog: DataFrame, ids: list[str]) -> DataFrame:
-    """The products of these ids in their order (column pos); missing ones are left out."""
+def by_ids(catalog: DataFrame, ids: list[str], project_id: str = DEMO) -> DataFrame:
+    """The products of a project with these ids, in their order (column pos); missing ones are left out."""
     spark = catalog.sparkSession
     wanted = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id string, pos int")
-    return catalog.join(wanted, "id").orderBy("pos")
+    return of_project(catalog, project_id).join(wanted, "id").orderBy("pos")
 
 
-def page(catalog: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of the catalog by id, with the number of products beside each row."""
-    total = catalog.agg(F.count("*").alias("total"))
-    return catalog.orderBy("id").offset(offset).limit(limit).join(total)
+def page(catalog: DataFrame, limit: int = 100, offset: int = 0, project_id: str = DEMO) -> DataFrame:
+    """A page of a project's catalog by id, with the number of its products beside each row."""
+    rows = of_project(catalog, project_id)
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy("id").offset(offset).limit(limit).join(total)
 
 
 def write(catalog: DataFrame, path: str) -> None:
