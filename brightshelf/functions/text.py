@@ -173,8 +173,9 @@ def clicked_query(c: Text) -> Column:
     return F.trim(F.lower(col(c)))
 
 
-def cache_key(query: Text, limit: int, offset: int, sort: str, filters: str = "") -> Column:
-    return F.md5(F.concat_ws("|", col(query), F.lit(str(limit)), F.lit(str(offset)), F.lit(sort), *([F.lit(filters)] if filters else [])))
+def cache_key(query: Text, limit: int | Column, offset: int, sort: str, filters: str = "") -> Column:
+    shown = limit.cast("string") if isinstance(limit, Column) else F.lit(str(limit))
+    return F.md5(F.concat_ws("|", col(query), shown, F.lit(str(offset)), F.lit(sort), *([F.lit(filters)] if filters else [])))
 
 
 def embedding_text() -> Column:

@@ -55,6 +55,41 @@ def params(rows: DataFrame, filters: dict | None = None, fields: list[str] | Non
     return out.where(F.col("value_position") <= VALUES).select("query_id", "key", "key_position", "value", "count", "value_position")
 
 
+def together(rows: DataFrame, filters: dict | None = None, fields: list[str] | None = None) -> DataFrame:
+    """All facets of ``rows`` by one pass: (query_id, facet, key, key_position, value, count, position, min, max).
+
+    facet is ``category``, ``param`` (with its key) or ``price`` (with min and max); values, positions and limits are those of
+    categories(), params() and price_bounds(). Each product is one row for each of its facets, and these are aggregated
+    once; all that follows are windows over the values of one query.
+    """
+    inside = price_filter(filters)
+    entry = lambda facet, key, value, at: F.struct(F.lit(facet).alias("facet"), key.alias("key"), value.alias("value"), at.cast("int").alias("at"))
+    none = F.lit(None).cast("string")
+    pairs = F.transform(F.map_entries(F.coalesce("params", F.create_map().cast("map<string,string>"))), lambda e, k: entry("param", e["key"], e["value"], -k))
+    pairs = F.filter(pairs, lambda e: (F.coalesce(e["value"], F.lit("")) != "") & (e["key"].isin(fields) if fields else F.lit(fields is None)))
+    named = F.filter(F.array(entry("category", none, F.col("category"), F.lit(0))), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    passing = F.concat(F.array(entry("total", none, none, F.lit(0))), named, pairs)
+    each = F.concat(F.array(entry("price", none, none, F.lit(0))), F.when(inside, passing).otherwise(F.slice(passing, 1, 0)))
+    flat = rows.select("query_id", "merit", price().alias("price"), F.explode(each).alias("f")).select("query_id", "merit", "price", "f.*")
+    of = ["query_id", "facet", "key"]
+    counts = flat.groupBy(*of, "value").agg(F.count("*").alias("count"), F.max(F.struct("merit", "at")).alias("seen"), F.min("price").alias("min"), F.max("price").alias("max"))
+    whole = Window.partitionBy(*of)
+    param, total = F.col("facet") == "param", F.max(F.when(F.col("facet") == "total", F.col("count"))).over(Window.partitionBy("query_id"))
+    known = counts.withColumns({"having": F.sum("count").over(whole), "distinct": F.count("*").over(whole), "first": F.max("seen").over(whole), "total": total})
+    if fields is None:
+        shown = (F.col("having") / F.col("total") >= COVERAGE) & (F.col("distinct") / F.col("having") <= DISTINCT)
+        known = known.where(~param | shown)
+        place = F.when(param, F.dense_rank().over(Window.partitionBy("query_id", "facet").orderBy(F.desc(F.when(param, F.col("having") / F.col("total"))), F.desc(F.when(param, F.col("first"))))))
+        known = known.withColumn("key_position", place).where(~param | (F.col("key_position") <= GROUPS))
+    else:
+        named = F.create_map(*(x for k, f in enumerate(fields) for x in (F.lit(f), F.lit(k + 1)))) if fields else F.create_map().cast("map<string,int>")
+        known = known.withColumn("key_position", F.when(param, F.try_element_at(named, F.col("key"))))
+    position = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("count"), F.desc(F.when(~param, F.col("seen"))), F.when(param, F.col("value"))))
+    out = known.where(F.col("facet") != "total").withColumn("position", position).where(~param | (F.col("position") <= VALUES))
+    bounds = [F.when(F.col("facet") == "price", F.col(c)).alias(c) for c in ("min", "max")]
+    return out.select("query_id", "facet", "key", "key_position", "value", "count", "position", *bounds)
+
+
 def category_counts(catalog: DataFrame, project_id: str = DEMO) -> DataFrame:
     """(category, count, total_products): the categories of a project by their products, ties by name."""
     catalog = of_project(catalog, project_id)

@@ -109,14 +109,25 @@ def similar_tokens(tokens: DataFrame, ngrams: DataFrame, cut=X.ngrams) -> DataFr
     return shared.select("project_id", "token", "match", similarity.alias("similarity"))
 
 
-def ngram_hits(processed: DataFrame, index: Index, keep: float = NGRAM, above: float | None = None, cut=X.ngrams) -> DataFrame:
+def ngram_hits(processed: DataFrame, index: Index, keep: float = NGRAM, above: float | None = None, cut=X.ngrams, few: bool = False) -> DataFrame:
     """What tokens find that share an n-gram with the query's: postings times similarity. ``cut`` makes the n-grams, as it did
-    those of the index; with ``above``, less similar tokens are left out."""
+    those of the index; with ``above``, less similar tokens are left out. With ``few``, the n-grams of the query and the
+    tokens that they find are asked for first, so that both are looked for in the scans."""
     tokens = processed.select("query_id", "project_id", F.explode("tokens").alias("token"))
-    alike = similar_tokens(tokens, index.ngrams, cut)
+    ngrams, postings = index.ngrams, index.postings
+    if few:
+        own = tokens.select("project_id", F.explode(cut("token")).alias("ngram")).distinct().take(TOKENS_PUSHED + 1)
+        if len(own) <= TOKENS_PUSHED:
+            ngrams = ngrams.where(F.col("project_id").isin(sorted({r["project_id"] for r in own})) & F.col("ngram").isin(sorted({r["ngram"] for r in own})))
+    alike = similar_tokens(tokens, ngrams, cut)
     if above is not None:
         alike = alike.where(F.col("similarity") > above)
-    hits = tokens.join(alike, ["project_id", "token"]).join(index.postings.withColumnRenamed("token", "match"), ["project_id", "match"])
+    if few:
+        found = alike.take(TOKENS_PUSHED + 1)
+        if len(found) <= TOKENS_PUSHED:
+            alike = literal_rows(processed.sparkSession, [r.asDict() for r in found], "project_id string, token string, match string, similarity double")
+            postings = of_tokens(postings, {(r["project_id"], r["match"]) for r in found})
+    hits = tokens.join(alike, ["project_id", "token"]).join(postings.withColumnRenamed("token", "match"), ["project_id", "match"])
     out = hits.groupBy("query_id", "project_id", "product_id").agg(F.bround(F.sum(F.col("score") * F.col("similarity")) * keep, 9).alias("score"))
     return out.withColumns({"first_pos": F.lit(0), "first_score": F.lit(0.0), "stage": F.lit(2), "variant": F.lit(0)})
 
@@ -189,12 +200,15 @@ def _staged(queries: DataFrame, index: Index, synonyms: DataFrame | None) -> tup
     found = [token_hits(literal(plain), postings, synonyms)] if plain or not rare else []
     if rare:
         asked = literal(rare)
-        both = _earliest(token_hits(asked, postings, synonyms).unionByName(layout_hits(asked, index.postings)))
+        typed = asked.select("project_id", F.explode("layout_variants").alias("v")).select("project_id", F.explode(X.tokenize("v")).alias("token")).distinct().collect()
+        others = of_tokens(index.postings, {(r["project_id"], r["token"]) for r in typed})
+        stages = [token_hits(asked, postings, synonyms)] + ([layout_hits(asked, others)] if typed else [])
+        both = _earliest(reduce(DataFrame.unionByName, stages))
         counts = {r["query_id"]: r for r in both.groupBy("query_id").agg(F.count_if(F.col("stage") == 0).alias("direct"), F.count("*").alias("all")).collect()}
         few = [r for r in rare if r["query_id"] not in counts or counts[r["query_id"]]["direct"] < r["limit"]]
         short = [r for r in few if r["query_id"] not in counts or counts[r["query_id"]]["all"] < r["limit"]]
         kept = both.where((F.col("stage") == 0) | F.col("query_id").isin([r["query_id"] for r in few]))
-        found.append(_earliest(kept.unionByName(ngram_hits(literal(short), index))) if short else kept)
+        found.append(_earliest(kept.unionByName(ngram_hits(literal(short), index, few=True))) if short else kept)
     return reduce(DataFrame.unionByName, found), max((r["limit"] for r in rows), default=0)
 
 

@@ -118,8 +118,7 @@ def embed_stored(df: DataFrame, text: Column, store: Snapshots, dim: int = 64, o
     missing = distinct if known is None else distinct.join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
     named = missing.select(F.col("_key").alias("key"), F.col("_text").alias("said"))
     part = store.write(embed(named, F.col("said"), dim).select("key", "vector"), "vectors")
-    new = df.sparkSession.read.parquet(f"{store.path}/{part}")
-    n = new.count()
+    n = store.part(part).count()
     if drop and known is not None:
         kept = known.drop("at").join(distinct.select(F.col("_key").alias("key")), "key", "left_semi")
         base = store.version(store.publish(base, {"vectors": [store.write(kept, "vectors"), part]}, ("vectors",)))

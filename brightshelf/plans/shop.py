@@ -32,6 +32,7 @@ class Shop:
     def __init__(self, spark: SparkSession, path: str, kind: str = "plain"):
         self.spark, self.saved, self.kind = spark, Snapshots(spark, path), kind
         self.scored, self.cut = KINDS[kind]
+        self._held: tuple[int, impact.Impacts] | None = None
 
     # What readers see.
 
@@ -66,15 +67,17 @@ class Shop:
     def impacts(self, version: dict | None = None) -> impact.Impacts:
         """The index in blocks. Its heads count dead rows too, at most one for each product that is gone."""
         v = version or self.version()
+        if self._held and self._held[0] == v["number"]:
+            return self._held[1]
         blocks, heads, ngrams = self._live("postings", v, "product_id"), self._live("heads", v), self._live("ngrams", v)
         if blocks is None:
             empty = self.spark.createDataFrame([], "project_id string, product_id string, token string, score double")
             posted = impact.blocks(empty)
             return impact.Impacts(posted, impact.heads(posted), index.ngram_index(empty))
-        gone = self.saved.rows("gone", v)
-        n = gone.where("product_id is not null").count() if gone is not None else 0
+        n = sum(p.get("rows", 0) for p in v["tables"]["gone"])
         several = len(v["tables"]["ngrams"]) > 1
-        return impact.Impacts(blocks, heads, ngrams.distinct() if several else ngrams, n)
+        self._held = v["number"], impact.Impacts(blocks, heads, ngrams.distinct() if several else ngrams, n)
+        return self._held[1]
 
     def index(self, version: dict | None = None) -> search.Index:
         return self.impacts(version).index()
@@ -98,14 +101,14 @@ class Shop:
             write("suggest", reduce(DataFrame.unionByName, suggested), ["project_id", "prefix"])
         if products is not None:
             write("catalog", products, ["project_id", "id"])
-            write("postings", impact.blocks(self.scored(self.spark.read.parquet(f"{self.saved.path}/{out['catalog'][0]}"))), impact.order())
-            posted = self.spark.read.parquet(f"{self.saved.path}/{out['postings'][0]}")
+            write("postings", impact.blocks(self.scored(self.saved.part(out['catalog'][0]))), impact.order())
+            posted = self.saved.part(out['postings'][0])
             write("heads", impact.heads(posted), ["project_id", "token"])
             write("ngrams", index.ngram_index(posted, self.cut), ["project_id", "ngram"])
         return out
 
     def _dead(self, ids: DataFrame) -> str:
-        return self.saved.write(ids.select("project_id", F.col("id").alias("product_id")).distinct(), "gone")
+        return self.saved.write(ids.select("project_id", F.col("id").alias("product_id")).distinct(), "gone", counted=True)
 
     def replace(self, products: DataFrame, project_id: str) -> int:
         """A project's catalog and index anew: nothing of it that was there before is left. Of equal ids the last counts."""
@@ -121,7 +124,7 @@ class Shop:
         ids = rows.select("project_id", "id")
         old = self.catalog(base).join(ids, ["project_id", "id"], "left_semi")
         parts = self._segment(rows, old)
-        return self._merged(self.saved.publish(base, parts | {"gone": [self._dead(self.spark.read.parquet(f"{self.saved.path}/{parts['catalog'][0]}"))]}))
+        return self._merged(self.saved.publish(base, parts | {"gone": [self._dead(self.saved.part(parts['catalog'][0]))]}))
 
     def delete(self, ids: DataFrame) -> int:
         """The products of some (project_id, id) go."""
@@ -142,7 +145,7 @@ class Shop:
         idx = self.impacts(base)
         parts = {"catalog": [self.saved.write(self.catalog(base), "catalog", ["project_id", "id"])], "suggest": [self.saved.write(self.suggestions(base), "suggest", ["project_id", "prefix"])]}
         parts["postings"] = [self.saved.write(idx.blocks, "postings", impact.order())]
-        posted = self.spark.read.parquet(f"{self.saved.path}/{parts['postings'][0]}")
+        posted = self.saved.part(parts['postings'][0])
         parts["heads"] = [self.saved.write(impact.heads(posted), "heads", ["project_id", "token"])]
         parts["ngrams"] = [self.saved.write(index.ngram_index(posted, self.cut), "ngrams", ["project_id", "ngram"])]
         return self.saved.publish(base, parts, (*parts, "gone"))
@@ -166,7 +169,7 @@ class Shop:
         touched = before.join(changes.select("id").distinct(), "id", "left_semi")
         merged = index.merge_delta(touched, changes, project_id).where("changed")
         # Written before it is counted and indexed, so that it is computed once.
-        kept = self.spark.read.parquet(f"{self.saved.path}/{self.saved.write(merged.select(before.columns), 'changes')}")
+        kept = self.saved.part(self.saved.write(merged.select(before.columns), "changes"))
         n = kept.count()
         if n:
             self.upsert(kept, base)
@@ -179,7 +182,7 @@ class Shop:
         there = self.catalog(base)
         plan = catalog.recovery_plan(projects, there, there, backup)
         lost = plan.where("step = 'restore'").select("project_id")
-        done = self.spark.read.parquet(f"{self.saved.path}/{self.saved.write(plan, 'plans')}")
+        done = self.saved.part(self.saved.write(plan, "plans"))
         if not done.where("step = 'restore'").isEmpty():
             self.upsert(catalog.from_backup(backup.join(lost, "project_id", "left_semi")), base)
         return done
@@ -217,7 +220,7 @@ def tick(shop: Shop, files: DataFrame, projects: DataFrame, now, progress: str):
             whole = shop.spark.createDataFrame([(project, None)], "project_id string, product_id string")
             for name, paths in (parts | {"gone": [shop.saved.write(whole, "gone")]}).items():
                 tables.setdefault(name, []).extend(paths)
-            n = shop.spark.read.parquet(f"{shop.saved.path}/{parts['catalog'][0]}").count()
+            n = shop.saved.part(parts["catalog"][0]).count()
             logged.append((project, number, n, errors, str(now), number))
         written = shop.spark.createDataFrame(logged or [("", number, 0, 0, "", number)], "project_id string, batch long, processed long, errors long, last_update string, ts int")
         shop.saved.publish(base, tables | {"log": [shop.saved.write(written, "log")]})

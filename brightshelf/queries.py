@@ -13,6 +13,7 @@ from .functions import text as X
 from .functions import words as W
 from .operators import analytics, cells, facets, impact, index, ranking, related, search, spell, suggest, vectors
 from .plans import hybrid, requests, rich
+from .plans.results import Results
 from .plans.shop import Shop
 from .sources import catalog as C
 from .sources import feeds
@@ -295,6 +296,13 @@ def search_topk_batch(spark, sf_dir):
     return impact.top(asked(spark, BATCH), stored(spark, sf_dir).impacts(), C.from_parts(spark, sf_dir))
 
 
+@query(O.search(BASIC))
+def search_cached(spark, sf_dir):
+    results, shop = Results(Snapshots(spark, counters.shared_folder(spark, "results"))), stored(spark, sf_dir)
+    results.search(shop, asked(spark, BASIC[:2]))
+    return results.search(shop, asked(spark, BASIC))
+
+
 # Facets and fields.
 
 
@@ -327,6 +335,14 @@ def facet_params_explicit(spark, sf_dir):
     return facets.params(_facet_rows(spark, sf_dir), FILTERS, ["color", "size"])
 
 
+@query(
+    "SELECT query_id, 'category' AS facet, NULL AS key, NULL AS key_position, value, count, position, NULL AS min, NULL AS max FROM (" + SQL["facet_categories"] + ") UNION ALL SELECT query_id, 'price', NULL, NULL, NULL, count, 1, min, max FROM ("
+    + SQL["facet_price_range"].replace("max(price) AS max", "max(price) AS max, count(*) AS count") + ") UNION ALL SELECT query_id, 'param', key, key_position, value, count, value_position, NULL, NULL FROM (" + SQL["facet_params_auto"] + ")"
+)
+def facets_together(spark, sf_dir):
+    return facets.together(_facet_rows(spark, sf_dir), FILTERS)
+
+
 @query("SELECT p_type AS category, count(*) AS count, (SELECT count(*) FROM part) AS total_products FROM part GROUP BY p_type")
 def category_counts(spark, sf_dir):
     return facets.category_counts(C.from_parts(spark, sf_dir))

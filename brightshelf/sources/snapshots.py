@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Versions that vacuum() leaves.
 KEPT = 2
@@ -26,6 +27,7 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._known: dict[str, dict] = {}
 
     def _at(self, *names: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
@@ -41,26 +43,34 @@ class Snapshots:
         return sorted(int(n[:-5]) for s in files.listStatus(folder) if (n := s.getPath().getName()).endswith(".json"))
 
     def version(self, number: int | None = None) -> dict:
-        """{"number": n, "tables": {name: [{"path": p, "at": n}, ...]}}: the newest, or one that is named."""
+        """{"number": n, "tables": {name: [{"path": p, "at": n, "schema": s}, ...]}}: the newest, or one that is named."""
         there = self.versions()
         if number is None and not there:
             return {"number": 0, "tables": {}}
         number = there[-1] if number is None else number
         return json.loads(self.spark.read.text(f"{self.path}/versions/{number:010d}.json", wholetext=True).first()[0])
 
-    def write(self, df: DataFrame, table: str, order: list[str | Column] | None = None) -> str:
-        """A new part with the rows of ``df``, laid out by ``order``; no version names it yet."""
+    def write(self, df: DataFrame, table: str, order: list[str | Column] | None = None, counted: bool = False) -> str:
+        """A new part with the rows of ``df``, laid out by ``order``; no version names it yet. With ``counted``, versions will say
+        how many rows it has."""
         name = f"parts/{table}-{uuid.uuid4().hex}"
         laid = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
         laid.write.parquet(f"{self.path}/{name}")
+        self._known[name] = {"schema": df.schema.json()}
+        if counted:
+            self._known[name]["rows"] = self.part(name).count()
         return name
 
+    def part(self, name: str) -> DataFrame:
+        """The rows of a part that was written here."""
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(self._known[name]["schema"]))).parquet(f"{self.path}/{name}")
+
     def publish(self, base: dict, tables: dict[str, list[str]], replaced: tuple[str, ...] = ()) -> int:
         """The version after ``base``: its parts and the new ones of ``tables``, which take the place of those of ``replaced``."""
         number = base["number"] + 1
         now = {name: [] if name in replaced else list(parts) for name, parts in base["tables"].items()}
         for name, parts in tables.items():
-            now.setdefault(name, []).extend({"path": p, "at": number} for p in parts)
+            now.setdefault(name, []).extend({"path": p, "at": number, **self._known[p]} for p in parts)
         files, draft, final = self._files(), self._at("versions", f".{uuid.uuid4().hex}"), self._at("versions", f"{number:010d}.json")
         out = files.create(draft)
         out.write(bytearray(json.dumps({"number": number, "tables": now}).encode()))
@@ -72,7 +82,8 @@ class Snapshots:
 
     def parts(self, table: str, version: dict) -> list[tuple[int, DataFrame]]:
         """(version in which it was published, rows) of each part of a table, the oldest first."""
-        return [(p["at"], self.spark.read.parquet(f"{self.path}/{p['path']}")) for p in version["tables"].get(table, ())]
+        read = lambda p: self.spark.read.schema(T.StructType.fromJson(json.loads(p["schema"]))).parquet(f"{self.path}/{p['path']}")
+        return [(p["at"], read(p)) for p in version["tables"].get(table, ())]
 
     def rows(self, table: str, version: dict) -> DataFrame | None:
         """All rows of a table with ``at``, the version in which they came; None where it has no part."""
