@@ -103,6 +103,19 @@ def completed(make: Callable[[], DataFrame], what: str) -> Stored:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of what a plan reads, as Spark knows it of its files; what it does not know counts as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def literal(value, kind: str) -> Column:
     """A constant of the plan."""
     return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]

@@ -9,7 +9,7 @@ from functools import cache, reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import literal
@@ -296,21 +296,22 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     they are scored. Null and empty texts have no paragraphs.
 
     A notice that is wrapped over several lines is a row of the first of them, with all of them as its text: the fewest
-    consecutive lines without a blank one (up to JOINED) that are confirmed. Such of its lines as are notices by themselves
-    are rows as well. Rows are scanned one by one: repeated and null doc_ids do not matter, and nothing is shuffled.
+    consecutive lines without a blank one (up to JOINED) that are confirmed; its first line is then no row by itself. Such of
+    its other lines as are notices by themselves are rows as well. Rows are scanned one by one: repeated and null doc_ids do
+    not matter, and nothing but the notices found is shuffled.
     """
     model = model or trained()
     texts = [(f, words(t)) for f, x in TEMPLATES.items() for t in x]
     shapes = literal([{"n": min(SHINGLE, len(w)), "s": shingles(w), "p": shingles(w, 2)} for _, w in texts], "array<struct<n:int,s:array<string>,p:array<string>>>")
-    split = docs.select("doc_id", "text").where(_triggered("text")).select("doc_id", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
+    split = docs.select("doc_id", "text").where(_triggered("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.split("text", "\n"))).alias("lines"))
     around = F.transform("lines", lambda x, i: F.struct(x.alias("text"), F.slice("lines", i + 2, JOINED - 1).alias("after")))
-    lines = split.select("doc_id", F.posexplode(around).alias("paragraph", "line")).select("doc_id", "paragraph", "line.text", "line.after")
+    lines = split.select("doc_id", "row", F.posexplode(around).alias("paragraph", "line")).select("doc_id", "row", "paragraph", "line.text", "line.after")
     # A blank line ends a notice.
     blank = F.array_position(F.transform("after", lambda x: ~F.rlike(x, F.lit("[A-Za-z]"))), True)
     lines = lines.withColumn("after", F.when(~F.col("text").rlike("[A-Za-z]"), F.array().cast("array<string>")).when(blank > 0, F.slice("after", F.lit(1), (blank - 1).cast("int"))).otherwise(F.col("after")))
     lines = lines.withColumn("all", F.concat_ws(" ", F.array("text"), "after")).where(_triggered("all"))
     ends = F.concat(F.when(_triggered("text"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), _joins("text", "after", shapes))
-    rows = lines.select("doc_id", "paragraph", "text", "after", F.explode(ends).alias("joined"))
+    rows = lines.select("doc_id", "row", "paragraph", "text", "after", F.explode(ends).alias("joined"))
     rows = rows.withColumn("text", F.when(F.col("joined") > 1, F.concat_ws("\n", F.array("text"), F.slice("after", F.lit(1), F.col("joined") - 1))).otherwise(F.col("text"))).drop("after")
     rows = rows.withColumn("w", _words(F.col("text")))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
@@ -339,6 +340,10 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     # The class of other notices has no template, so its similarity is null.
     confirmed = F.coalesce((sure & ((F.col("similarity") >= CONFIRMED) | named)) | (named & (F.size("w") <= FEW)), F.lit(False))
     rows = rows.where((F.col("joined") == 1) | confirmed)
-    return rows.where(sure | confirmed).select(
-        "doc_id", "paragraph", F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), confirmed.alias("confirmed"), "text"
+    found = rows.where(sure | confirmed).select(
+        "doc_id", "row", "paragraph", "joined", F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), confirmed.alias("confirmed"), "text"
     )
+    # What is said of the same place: a confirmed notice speaks for its first line, and of one family the longest does.
+    place = Window.partitionBy("row", "paragraph")
+    found = found.withColumns({"any": F.max("confirmed").over(place), "longest": F.max("joined").over(Window.partitionBy("row", "paragraph", "family"))})
+    return found.where((F.col("confirmed") | ~F.col("any")) & (F.col("joined") == F.col("longest"))).drop("row", "joined", "any", "longest")

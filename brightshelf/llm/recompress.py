@@ -12,11 +12,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import input_bytes
 
 #: Words of a window, as the contract of op9 sets it.
 WINDOW = 13
 #: Blocks of documents and ranges of names for each shuffle partition: enough to deal them evenly.
 BLOCKS_EACH, BUCKETS_EACH = 2, 1
+#: Bytes of stored documents for each block at most, on the average.
+BLOCK_BYTES = 64 << 20
 #: Bytes of text that are parsed at a time, and bytes of a word from which it is hashed by itself.
 AT_ONCE, LONG = 1_000_000, 256
 
@@ -243,14 +248,18 @@ def _changes(names: np.ndarray, seconds: np.ndarray) -> np.ndarray:
 class Blocks:
     """``docs`` dealt to blocks by doc_id. Each pass reads the same exchange of texts, so they are shuffled once.
 
-    Blocks and buckets follow the session's number of shuffle partitions, which is what a cluster sizes by its input. What
+    Blocks and buckets follow the session's number of shuffle partitions, and there are no fewer blocks than the input has
+    BLOCK_BYTES, so that a block fits a worker whatever that number is. What
     passes between blocks is packed: for a range of names, the block's distinct names as one binary value.
     """
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.n_blocks, self.n_buckets = parts * BLOCKS_EACH, parts * BUCKETS_EACH
+        if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+            raise TypeError("doc_id must be of an integer type, as windows are kept by the smaller number")
+        large = -(-input_bytes(docs) // BLOCK_BYTES)
+        self.n_blocks, self.n_buckets = max(parts * BLOCKS_EACH, large), max(parts * BUCKETS_EACH, large)
         key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
         #: The block's column has a name that no column of the documents has.
         self.block = next(x for x in ("__block" + "_" * k for k in range(len(docs.columns) + 1)) if x not in docs.columns)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_small, components, document_batches, given_back, local_components, stored
+from .common import attach_small, components, document_batches, free_name, given_back, local_components, stored
 
 BITS, SEED = 64, 42
 #: Words of a shingle and differing bits of a link, as the contract of op2 sets them.
@@ -189,11 +189,12 @@ def first_of_each(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataF
     It is that of component_id; where that is null, one row of the cluster.
     """
     roots = found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    known = docs.join(roots, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
-    lone = prints.where("doc_id is null").join(found.where("component_id is null"), "fp").groupBy("cluster").agg(F.min("__same").alias("__same"))
-    first = F.row_number().over(Window.partitionBy("__same").orderBy("text"))
-    nameless = docs.where("doc_id is null").withColumn("__same", F.xxhash64("text")).join(lone, "__same", "left_semi").withColumn("__first", first).where("__first = 1")
+    # Names that no column of the documents has.
+    place, same = free_name(docs, "__first"), free_name(docs, "__same")
+    known = docs.join(roots, "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1)
+    lone = prints.where("doc_id is null").join(found.where("component_id is null"), "fp").groupBy("cluster").agg(F.min("__same").alias(same)).select(same)
+    nameless = docs.where("doc_id is null").withColumn(same, F.xxhash64("text")).join(lone, same, "left_semi")
+    nameless = nameless.withColumn(place, F.row_number().over(Window.partitionBy(same).orderBy("text"))).where(F.col(place) == 1)
     return known.select(*docs.columns).unionByName(nameless.select(*docs.columns))
 
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -483,3 +483,44 @@ def test_the_pipeline_against_brute_force(spark, small):
             assert r["start"] == at and zlib.crc32(want[d][4 * at : 4 * (at + r["length"])]) == r["ids_crc32"]
             at += r["length"]
         assert 4 * at == len(want[d])
+
+
+def test_stages_keep_columns_of_any_name(spark, texts):
+    """Names that the stages use themselves, with types of their own, and rows without an id."""
+    import corpus_pipeline
+
+    rows = [(k if k % 9 else None, t, "a", "b", 3, "c") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __same string, __first string, __block_ int, __block string").repartition(3)
+    sorted_rows = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    plain = df.select("doc_id", "text")
+    for stage in (simhash.one_of_each, lambda d: corpus_pipeline.keep_one_of_each(spark, d, ""), recompress.without_repeats):
+        out = stage(df)
+        assert out.columns == df.columns
+        assert sorted_rows(out.select("doc_id", "text")) == sorted_rows(stage(plain))
+        assert {tuple(r)[2:] for r in out.collect()} == {("a", "b", 3, "c")}
+
+
+def test_ids_that_have_no_order_are_refused(spark):
+    with pytest.raises(TypeError):
+        recompress.digests(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_blocks_follow_the_input(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    few = recompress.Blocks(stored).n_blocks
+    monkeypatch.setattr(recompress, "BLOCK_BYTES", 4096)
+    many = recompress.Blocks(stored).n_blocks
+    assert many > 2 * few and recompress.Blocks(docs.sparkSession.createDataFrame([(1, "a")], "doc_id long, text string")).n_blocks == few
+    key = lambda d: sorted((tuple(r) for r in recompress.digests(d).collect()), key=str)
+    got = key(stored)
+    monkeypatch.undo()
+    assert got == key(docs)
+
+
+def test_one_place_has_no_contradictory_notices(spark):
+    words = max(licences.TEMPLATES["mit"], key=len).split()
+    wrapped = "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+    found = licences.scan(spark.createDataFrame([(1, f"Some prose.\n\n{wrapped}\n\nMore prose."), (2, wrapped)], "doc_id long, text string")).collect()
+    for doc, first in ((1, 2), (2, 0)):
+        assert [(r["family"], r["confirmed"]) for r in found if r["doc_id"] == doc and r["paragraph"] == first] == [("mit", True)]
