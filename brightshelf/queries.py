@@ -702,6 +702,23 @@ def feed_yml(spark, sf_dir):
     return feeds.offers(parsed, categories).select("id", "name", "price", "in_stock", "category", "brand", F.to_json("params").alias("params"))
 
 
+@query(SQL["feed_yml"])
+def feed_yml_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "part")
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    kind = F.length("p_type").cast("string")
+    offer = F.concat(
+        F.lit('<offer id="'), F.col("p_partkey").cast("string"), F.lit('" available="'), (F.col("p_partkey") % 7 != 0).cast("string"), F.lit('">'),
+        tag("name", F.concat("p_name", F.lit(" &amp;amp; co"))), tag("vendor", F.col("p_brand")), tag("price", F.col("p_retailprice").cast("string")), tag("categoryId", kind),
+        F.lit('<param name="size">'), F.col("p_size").cast("string"), F.lit("</param></offer>"),
+    )
+    named = rows.groupBy(kind.alias("id")).agg(F.min(F.lower("p_type")).alias("name"))
+    lines = named.select(F.concat(F.lit('<category id="'), "id", F.lit('">'), "name", F.lit("</category>")).alias("value")).unionByName(rows.select(offer.alias("value")))
+    path = counters.shared_folder(spark, "feed")
+    lines.write.text(path)
+    return feeds.read_yml_split(spark, path).select("id", "name", "price", "in_stock", "category", "brand", F.to_json("params").alias("params"))
+
+
 # Ranking, spelling, vectors.
 
 

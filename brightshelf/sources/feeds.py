@@ -122,6 +122,47 @@ def read_yml(spark: SparkSession, path: str, project_id: str = "demo") -> DataFr
     return offers(_xml(spark, path, "offer", OFFER), yml_categories(spark, path), project_id)
 
 
+def _records(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """(value): what stands between two ends of an element; files are read in splits, whose borders Spark moves to such an end."""
+    return spark.read.option("lineSep", f"</{tag}>").text(path)
+
+
+def splittable(spark: SparkSession, path: str, tag: str) -> bool:
+    """Whether elements() finds the rows of an XML file: it is UTF-8, and no comment or CDATA section holds the element's end."""
+    closed = lambda a, b: F.size(F.split("value", a)) == F.size(F.split("value", b))
+    return _records(spark, path, tag).where(~(closed(r"<!\[CDATA\[", r"\]\]>") & closed("<!--", "-->") & F.is_valid_utf8("value"))).isEmpty()
+
+
+def _elements(records: DataFrame, tag: str, whole: bool) -> DataFrame:
+    """(value): the elements of a name as text. With ``whole`` a record holds their ends, else it was cut at one."""
+    attributes = """(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>))*"""
+    empty = rf"<{tag}(?=[\s/]){attributes}/>"
+    if whole:
+        return records.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s){empty}|<{tag}(?=[\s>]){attributes}>.*?</{tag}>"), F.lit(0))).alias("value"))
+    begun = F.nullif(F.regexp_extract("value", rf"(?s).*(<{tag}(?=[\s>]){attributes}>.*)", 1), F.lit(""))
+    last = F.filter(F.array(F.concat(begun, F.lit(f"</{tag}>"))), lambda x: x.isNotNull())
+    return records.select(F.explode(F.concat(F.regexp_extract_all("value", F.lit(empty), F.lit(0)), last)).alias("value"))
+
+
+def elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """(value): the elements of a name as text, several tasks for one large file. An element does not hold others of its name."""
+    return _elements(_records(spark, path, tag), tag, False)
+
+
+def _parsed(values: DataFrame, tag: str, schema: T.StructType) -> DataFrame:
+    return values.select(F.from_xml("value", schema.simpleString(), {"rowTag": tag, "attributePrefix": "_", "valueTag": "_VALUE"}).alias("e")).select("e.*")
+
+
+def read_yml_split(spark: SparkSession, path: str, project_id: str = "demo") -> DataFrame:
+    """read_yml() for files larger than a task: they are read in byte ranges, where ``splittable`` says that this is possible.
+    The list of categories lies before the offers or after them, so it is within what the ends of two offers enclose."""
+    if not splittable(spark, path, "offer"):
+        return read_yml(spark, path, project_id)
+    listed = _elements(_records(spark, path, "offer").where(F.contains("value", F.lit("<category"))), "category", True)
+    categories = _parsed(listed, "category", CATEGORY).select(F.col("_id").alias("id"), unescape(F.trim("_VALUE")).alias("name"))
+    return offers(_parsed(elements(spark, path, "offer"), "offer", OFFER), categories, project_id)
+
+
 def mapped(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """The fields of a product by the first of its candidate columns that has a value; rows without an id are dropped.
 
