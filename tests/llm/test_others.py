@@ -180,7 +180,7 @@ def test_pipeline_stages(spark, small):
 
 def test_every_query_is_registered():
     assert sorted(Q.queries(), key=lambda n: (len(n.split("_")[0]), n))[0].startswith("op1_")
-    assert {n.split("_")[0] for n in Q.queries()} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert {n.split("_")[0] for n in Q.queries()} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
     assert set(Q.oracle_sql()) <= set(Q.queries())
 
 
