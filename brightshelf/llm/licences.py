@@ -95,11 +95,12 @@ OTHERS = (
     "Her licence was suspended for three months after the accident.", "Copyright infringement was the subject of the trial.", "The shop lost its permission to sell wine.", "A warrant for his arrest was issued on Monday.", "Redistribution of wealth was the theme of the campaign.",
     "The proprietary blend of spices is kept secret.", "Nobody may enter the hall without written permission of the guard.", "The doctor is licensed in two states.", "I hereby declare the games open.", "Restaurants need a licence to play music.", "The apache tribes lived in the south west.",
 )
-#: Only n-grams with one of these in them may speak for a licence: the model is fitted so. What has none of them is never a
-#: notice, whatever else it holds, and need not be scored.
-TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "hereby", "permission", "mozilla", "gnu", "spdx", "reserved", "proprietary", "confidential", "commons", "cc", "apache", "bsd", "gpl", "mpl", "unencumbered")
-#: By how much the bias of no notice exceeds that of any class of notices, at least.
+#: By how much the bias of no notice exceeds that of any class of notices, at least: a paragraph without a known n-gram is none.
 MARGIN = 4.0
+#: What a text in lower case must hold for its lines to be read, and a line to be scored. Templates cannot be held without one.
+#: The model is not fitted to these; tests score every line of a corpus and of the examples, and find the same notices.
+TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "hereby", "permission", "mozilla", "gnu", "spdx", "reserved", "proprietary", "confidential", "commons", "cc by", "cc-by", "apache", "bsd", "gpl", "mpl", "unencumbered",
+            "public domain", "free of charge", "without restriction", "documentation", "distributed under", "terms of", "this software", "source form", "binary", "unauthorized", "under law", "related rights")
 #: Words of a shingle, and the share of a template's shingles that confirms a prediction.
 SHINGLE, CONFIRMED = 5, 0.8
 #: Names that confirm a prediction of their family, in lower-case text; a paragraph of few words with one needs no sure prediction.
@@ -114,8 +115,6 @@ NAMES = {
     "cc-by-nc": r"\bcc[ -]by[ -]nc\b(?![ -](sa|nd)\b)|\bcreative commons attribution[ -]non-?commercial\b(?![ -](share|no))",
 }
 FEW = 4
-#: Lines of a hard-wrapped notice that are joined at most.
-JOINED = 10
 #: Share of other paragraphs that may pass as a notice when the threshold is set, and the seed of the training texts.
 PASSING, SEED = 0.01, 5
 #: The class of notices of no family, and that of what is no notice.
@@ -153,20 +152,12 @@ class Model:
         rows = [self.vocabulary[g] for g in ngrams(words(text)) if g in self.vocabulary]
         return _softmax(self.bias + self.weights[rows].sum(axis=0))
 
-    def without_triggers(self) -> float:
-        """The probability of a notice that no paragraph without a trigger exceeds."""
-        return 1 - 1 / (1 + float(np.exp(self.bias[:-1] - self.bias[-1]).sum()))
-
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _speaks(gram: str) -> bool:
-    return any(t in w for w in gram.split() for t in TRIGGERS)
-
-
 def _examples(rng: random.Random) -> list[tuple[str, str, bool]]:
     """(class, text, held out): variants of the templates and of other paragraphs, by words left out and words of prose around
     them. Each fourth variant of a template is held out, and each fourth of the other notices and paragraphs as a whole."""
@@ -195,9 +186,8 @@ def _examples(rng: random.Random) -> list[tuple[str, str, bool]]:
 def trained() -> Model:
     """Fitted on the driver to the examples above: a fixed number of short texts, none from the corpus.
 
-    The weights of n-grams without a trigger are kept from speaking for a notice (see TRIGGERS). What is held out sets the
-    temperature, by its likelihood, and the threshold: but one in a hundred of its paragraphs that are no notices passes, and
-    nothing without a trigger does.
+    What is held out sets the temperature, by its likelihood, and the threshold: but one in a hundred of its paragraphs that are
+    no notices passes.
     """
     data = _examples(random.Random(SEED))
     classes = (*TEMPLATES, UNKNOWN, NONE)
@@ -207,7 +197,6 @@ def trained() -> Model:
         for g in () if h else ngrams(words(text)):
             counts[g] = counts.get(g, 0) + 1
     vocabulary = {g: k for k, g in enumerate(sorted(g for g, n in counts.items() if n >= 4))}
-    silent = np.array([not _speaks(g) for g in vocabulary])
     x = np.zeros((len(data), len(vocabulary)))
     for k, (_, text, _) in enumerate(data):
         x[k, [vocabulary[g] for g in ngrams(words(text)) if g in vocabulary]] = 1
@@ -222,7 +211,6 @@ def trained() -> Model:
         w -= 0.3 * g / np.sqrt(rate)
         # Soft thresholding keeps the weights sparse.
         w = np.sign(w) * np.maximum(np.abs(w) - 2e-4, 0)
-        w[silent, :-1] = np.minimum(w[silent, :-1], w[silent, -1:])
         b -= 0.5 * error.mean(axis=0)
         b[:-1] = np.minimum(b[:-1], b[-1] - MARGIN)
     scores, right = x[held] @ w + b, y[held].argmax(axis=1)
@@ -233,54 +221,117 @@ def trained() -> Model:
     names = list(vocabulary)
     model = Model(classes, {names[j]: k for k, j in enumerate(used)}, w[used], b, 0.0)
     passing = sorted(1 - model.probabilities(t)[-1] for c, t, h in data if h and c == NONE)
-    threshold = max(passing[int(len(passing) * (1 - PASSING))], model.without_triggers()) + 1e-6
+    threshold = passing[int(len(passing) * (1 - PASSING))] + 1e-6
     return Model(model.classes, model.vocabulary, model.weights, model.bias, round(float(threshold), 6))
 
 
-def _scores(grams: Column, model: Model) -> Column:
-    """The sums of the n-grams' weights and the biases, by class.
+def _scores(grams: str, model: Model) -> Column:
+    """The sums of the n-grams' weights and the biases, by class."""
+    table = literal(model.weights.tolist(), "array<array<double>>")
+    start = F.array(*(F.lit(float(b)) for b in model.bias))
+    return F.aggregate(grams, start, lambda total, k: F.zip_with(total, F.get(table, k), lambda x, y: x + y))
 
-    The weights are a hash table: an array of buckets by the n-gram's hash, so that each is looked up in constant time.
+
+def _lexicon(model: Model) -> Column:
+    """What a word begins, as a hash table: an array of buckets by the word's hash, so that each is looked up in constant time.
+
+    Of a word: the number of its own n-gram (or -1), the words that make an n-gram with it, and the shingles of templates
+    that it starts (template, number in it, words, the words after the first).
     """
+    entries: dict[str, dict] = {}
+    of = lambda g: entries.setdefault(g, {"g": g, "k": -1, "next": [], "s": []})
+    for gram, k in model.vocabulary.items():
+        first, _, second = gram.partition(" ")
+        if second:
+            of(first)["next"].append({"g": second, "k": k})
+        else:
+            of(first)["k"] = k
+    for t, (_, own) in enumerate(_templates()):
+        for i, x in enumerate(own):
+            first, _, rest = x.partition(" ")
+            of(first)["s"].append({"t": t, "i": i, "n": x.count(" ") + 1, "rest": rest})
     buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
-    for g, k in model.vocabulary.items():
+    for g, e in entries.items():
         digest = xxhash.xxh64_intdigest(g.encode(), 42)
-        buckets[(digest - (digest >> 63 << 64)) % BUCKETS].append({"g": g, "w": model.weights[k].tolist()})
-    table = literal(buckets, "array<array<struct<g:string,w:array<double>>>>")
-    entries = lambda g: F.transform(F.filter(F.element_at(table, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int") + 1), lambda e: e["g"] == g), lambda e: e["w"])
-    start = F.array(*(F.lit(float(b)) for b in model.bias))
-    return F.aggregate(F.flatten(F.transform(grams, entries)), start, lambda total, w: F.zip_with(total, w, lambda x, y: x + y))
+        buckets[(digest - (digest >> 63 << 64)) % BUCKETS].append(e)
+    return literal(buckets, "array<array<struct<g:string,k:int,next:array<struct<g:string,k:int>>,s:array<struct<t:int,i:int,n:int,rest:string>>>>>")
 
 
-def _shingles(w: str, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
+def _templates() -> list[tuple[str, list[str]]]:
+    """(family, shingles): a template of fewer than five words has one shingle, of all of them."""
+    return [(f, shingles(words(t))) for f, texts in TEMPLATES.items() for t in texts]
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+def _met(w: Column, length: Column, lexicon: Column, then) -> Column:
+    """``then(met)`` of the words among the first ``length`` ones that the lexicon has: (j, from 0; e, its entry)."""
+    entry = lambda g: F.get(F.filter(F.element_at(lexicon, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int") + 1), lambda e: e["g"] == g), F.lit(0))
+    met = F.filter(F.transform(F.slice(w, F.lit(1), length), lambda g, j: F.struct(j.alias("j"), entry(g).alias("e"))), lambda x: x["e"].isNotNull())
+    return F.get(F.transform(F.array(met), then), F.lit(0))
 
 
-def _held(template: Column, lines: Column) -> Column:
-    """Whether joined lines hold enough of the template's shingles (of its own width) to confirm it."""
-    w, n = _words(F.array_join(lines, " ")), template["n"]
-    own = F.exists(F.array(w), lambda w: F.size(F.array_intersect(template["s"], F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))) >= CONFIRMED * F.size(template["s"]))
-    return own
+def _grams(w: Column, length: Column, met: Column) -> Column:
+    """The numbers of the different n-grams within the first ``length`` words."""
+    two = lambda x: F.filter(x["e"]["next"], lambda n: (x["j"] + 1 < length) & (n["g"] == F.get(w, x["j"] + 1)))
+    return F.array_distinct(F.flatten(F.transform(met, lambda x: F.concat(F.filter(F.array(x["e"]["k"]), lambda k: k >= 0), F.transform(two(x), lambda n: n["k"])))))
 
 
-def _joins(text: str, after: str, templates: Column) -> Column:
-    """Numbers of lines, over 1, from this one on that hold a template which they do not without their first or last line."""
-    lines = F.concat(F.array(text), F.col(after))
-    # Its first line holds a shingle or the start of one, else the notice starts later.
-    begun = F.concat(_words(F.col(text)), F.slice(_words(F.array_join(F.slice(after, 1, SHINGLE - 1), " ")), 1, SHINGLE - 1))
-    begun = F.flatten(F.transform(F.array(begun), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 2), " "))))
-    near = F.flatten(F.transform(F.array(begun), lambda pairs: F.filter(templates, lambda t: F.arrays_overlap(t["p"], pairs))))
-    first = lambda t: F.array_min(F.filter(F.sequence(F.lit(1), F.size(lines)), lambda n: _held(t, F.slice(lines, F.lit(1), n))))
-    held = F.filter(near, lambda t: ~_held(t, F.array(text)) & _held(t, lines))
-    ends = F.filter(F.transform(held, lambda t: F.struct(t.alias("t"), first(t).alias("n"))), lambda e: ~_held(e["t"], F.slice(lines, F.lit(2), e["n"] - 1)))
-    return F.when(F.size(after) > 0, F.array_distinct(F.transform(ends, lambda e: e["n"]))).otherwise(F.array().cast("array<int>"))
+def _line(lines: Column, i: Column, lexicon: Column) -> Column:
+    """Of line ``i`` (from 0; ``lines`` are their words): its n-grams, and the shingles of templates that start in it.
 
+    A shingle (template t, number i in it, lines a to z) may end some lines further on, so the words of the next four are
+    looked at as well.
+    """
+    after = lambda k: F.flatten(F.slice(lines, i + 2, k))
+    own = F.get(lines, i)
+    ends = lambda last: F.when(last < 0, i).otherwise(i + 1 + F.size(F.filter(F.sequence(F.lit(1), F.lit(SHINGLE - 1)), lambda k: F.size(after(k)) <= last)))
+    whole = lambda w, x: F.filter(x["e"]["s"], lambda s: s["rest"] == F.array_join(F.slice(w, x["j"] + 2, s["n"] - 1), " "))
+    hit = lambda s, x, n: F.struct(s["t"].alias("t"), s["i"].alias("i"), i.alias("a"), ends(x["j"] + s["n"] - 1 - n).alias("z"))
+    hits = lambda w, n, met: F.flatten(F.transform(F.filter(met, lambda x: F.size(x["e"]["s"]) > 0), lambda x: F.transform(whole(w, x), lambda s: hit(s, x, n))))
+    read = lambda w, n: _met(w, n, lexicon, lambda met: F.struct(_grams(w, n, met).alias("grams"), hits(w, n, met).alias("hits")))
+    return F.get(F.transform(F.array(F.concat(own, F.slice(after(F.lit(SHINGLE - 1)), 1, SHINGLE - 1))), lambda w: read(w, F.size(own))), F.lit(0))
+
+
+def _runs(hits: str, lines: str) -> Column:
+    """(a, z): runs of lines, of over one and none of them blank, that hold enough shingles of a template to confirm it.
+
+    The hits are read once for each template that has any. Kept are the lines where each shingle started last; of these the
+    one that as many as are needed reach up to is the latest start of a run that ends here. With the first line that ends a
+    run, the template is read anew: runs of one template share no line. However many lines a notice is wrapped over, each
+    hit is looked at once.
+    """
+    sizes = [len(s) for _, s in _templates()]
+    needed, lengths = (literal(x, "array<int>") for x in ([next(k for k in range(n + 1) if k / n >= CONFIRMED) for n in sizes], sizes))
+    run = lambda a, z: F.struct(a.alias("a"), z.alias("z"))
+    none = lambda t: F.array_repeat(F.lit(-1), F.get(lengths, t))
+    blank = lambda a, z: F.exists(F.slice(lines, a + 1, z - a + 1), lambda w: F.size(w) == 0)
+    # ``open`` is the run that ends with the line of the hits before, if any: a later start may still come in that line.
+    closes = lambda s, h: (s["open"]["a"] >= 0) & (s["open"]["z"] < h["z"])
+    done = lambda s: F.concat(s["runs"], F.filter(F.array(s["open"]), lambda r: r["z"] > r["a"]))
+
+    def step(s: Column, h: Column) -> Column:
+        before = F.when(closes(s, h), none(h["t"])).otherwise(s["last"])
+        free = F.when(closes(s, h), s["open"]["z"] + 1).otherwise(s["free"])
+        last = F.transform(before, lambda v, i: F.when((i == h["i"]) & (h["a"] >= free), h["a"]).otherwise(v))
+        start = lambda x: F.get(F.sort_array(x, False), F.get(needed, h["t"]) - 1)
+        opened = lambda x: F.get(F.transform(F.array(start(x)), lambda a: run(F.when((a >= 0) & ~blank(a, h["z"]), a).otherwise(F.lit(-1)), h["z"])), F.lit(0))
+        return F.get(F.transform(F.array(last), lambda x: F.struct(x.alias("last"), opened(x).alias("open"), free.alias("free"), F.when(closes(s, h), done(s)).otherwise(s["runs"]).alias("runs"))), F.lit(0))
+
+    begin = lambda t: F.struct(none(t).alias("last"), run(F.lit(-1), F.lit(-1)).alias("open"), F.lit(0).alias("free"), F.array().cast("array<struct<a:int,z:int>>").alias("runs"))
+    end = lambda s: F.when(s["open"]["a"] >= 0, done(s)).otherwise(s["runs"])
+    enough = lambda t, own: F.size(F.array_distinct(F.transform(own, lambda h: h["i"]))) >= F.get(needed, t)
+    of = lambda t: F.flatten(F.transform(F.filter(F.array(F.filter(hits, lambda h: h["t"] == t)), lambda own: enough(t, own)), lambda own: F.aggregate(own, begin(t), step, end)))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform(hits, lambda h: h["t"])), of)))
 
-def _triggered(text: str) -> Column:
+
+def _shingles(w: str, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+
+def _triggered(text) -> Column:
     """Plain searches in the text, which is lower-cased once for all of them; a trigger may go over a line's end."""
     return F.exists(F.array(F.replace(F.lower(text), F.lit("\n"), F.lit(" "))), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(t)) for t in TRIGGERS)))
 
@@ -292,31 +343,31 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     line is a notice if the classifier gives at least the calibrated threshold to its being one of any class: a family, or
     a licence of none of them. A family is confirmed if the line holds 0.8 of the five-word shingles of one of its templates
     (all words, of a shorter one) or its name (``NAMES``), which also confirms a line of FEW words by itself. What is not
-    confirmed is returned as ``unknown``. Lines without a trigger cannot reach the threshold, so they are left out before
-    they are scored. Null and empty texts have no paragraphs.
+    confirmed is returned as ``unknown``. Null and empty texts have no paragraphs.
+
+    Texts without a trigger are not read, and lines without one not scored by themselves: this costs the classifier what it
+    would find there, which was nothing in the tests' corpora.
 
     A notice that is wrapped over several lines is a row of the first of them, with all of them as its text: the fewest
-    consecutive lines without a blank one (up to JOINED) that are confirmed; its first line is then no row by itself. Such of
-    its other lines as are notices by themselves are rows as well. Rows are scanned one by one: repeated and null doc_ids do
-    not matter, and nothing but the notices found is shuffled.
+    consecutive lines without a blank one, however many, that hold a template. Those lines are then no rows by themselves,
+    unless they are confirmed so; runs of one template share no line. Texts are scanned one by one: repeated and null doc_ids
+    do not matter, and nothing but the notices found is shuffled.
     """
     model = model or trained()
-    texts = [(f, words(t)) for f, x in TEMPLATES.items() for t in x]
-    shapes = literal([{"n": min(SHINGLE, len(w)), "s": shingles(w), "p": shingles(w, 2)} for _, w in texts], "array<struct<n:int,s:array<string>,p:array<string>>>")
+    lexicon = _lexicon(model)
     split = docs.select("doc_id", "text").where(_triggered("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.split("text", "\n"))).alias("lines"))
-    around = F.transform("lines", lambda x, i: F.struct(x.alias("text"), F.slice("lines", i + 2, JOINED - 1).alias("after")))
-    lines = split.select("doc_id", "row", F.posexplode(around).alias("paragraph", "line")).select("doc_id", "row", "paragraph", "line.text", "line.after")
-    # A blank line ends a notice.
-    blank = F.array_position(F.transform("after", lambda x: ~F.rlike(x, F.lit("[A-Za-z]"))), True)
-    lines = lines.withColumn("after", F.when(~F.col("text").rlike("[A-Za-z]"), F.array().cast("array<string>")).when(blank > 0, F.slice("after", F.lit(1), (blank - 1).cast("int"))).otherwise(F.col("after")))
-    lines = lines.withColumn("all", F.concat_ws(" ", F.array("text"), "after")).where(_triggered("all"))
-    ends = F.concat(F.when(_triggered("text"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), _joins("text", "after", shapes))
-    rows = lines.select("doc_id", "row", "paragraph", "text", "after", F.explode(ends).alias("joined"))
-    rows = rows.withColumn("text", F.when(F.col("joined") > 1, F.concat_ws("\n", F.array("text"), F.slice("after", F.lit(1), F.col("joined") - 1))).otherwise(F.col("text"))).drop("after")
-    rows = rows.withColumn("w", _words(F.col("text")))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     # A generator is computed once; a plain column would be again for each of its uses below.
-    rows = rows.select("*", F.explode(F.array(_scores(F.array_distinct(F.concat("w", pairs)), model))).alias("z"))
+    split = split.select("*", F.explode(F.array(F.transform("lines", _words))).alias("w"))
+    read = split.select("*", F.explode(F.array(F.transform("w", lambda _, i: _line(F.col("w"), i, lexicon)))).alias("read"))
+    read = read.withColumn("hits", F.flatten(F.transform("read", lambda r: r["hits"])))
+    joined = F.when(F.size("hits") > 0, _runs("hits", "w")).otherwise(F.array().cast("array<struct<a:int,z:int>>"))
+    one = F.filter(F.transform("read", lambda r, i: F.struct(i.alias("paragraph"), F.lit(1).alias("joined"), r["grams"].alias("grams"))), lambda u: _triggered(F.get("lines", u["paragraph"])))
+    said = lambda r: F.get(F.transform(F.array(F.flatten(F.slice("w", r["a"] + 1, r["z"] - r["a"] + 1))), lambda w: _met(w, F.size(w), lexicon, lambda met: _grams(w, F.size(w), met))), F.lit(0))
+    more = F.transform(joined, lambda r: F.struct(r["a"].alias("paragraph"), (r["z"] - r["a"] + 1).alias("joined"), said(r).alias("grams")))
+    rows = read.select("doc_id", "row", "lines", F.explode(F.concat(one, more)).alias("u"))
+    rows = rows.select("doc_id", "row", "u.paragraph", "u.joined", F.array_join(F.slice("lines", F.col("u.paragraph") + 1, F.col("u.joined")), "\n").alias("text"), "u.grams")
+    rows = rows.withColumn("w", _words(F.col("text")))
+    rows = rows.select("*", F.explode(F.array(_scores("grams", model))).alias("z"))
     top = F.array_max("z")
     rows = rows.withColumn("total", F.aggregate("z", F.lit(0.0), lambda t, v: t + F.exp(v - top)))
     notices = F.slice("z", 1, len(model.classes) - 1)
@@ -343,7 +394,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     found = rows.where(sure | confirmed).select(
         "doc_id", "row", "paragraph", "joined", F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), confirmed.alias("confirmed"), "text"
     )
-    # What is said of the same place: a confirmed notice speaks for its first line, and of one family the longest does.
+    # What is said of the same place: a confirmed notice speaks for its lines, and of one family the longest does.
     place = Window.partitionBy("row", "paragraph")
-    found = found.withColumns({"any": F.max("confirmed").over(place), "longest": F.max("joined").over(Window.partitionBy("row", "paragraph", "family"))})
-    return found.where((F.col("confirmed") | ~F.col("any")) & (F.col("joined") == F.col("longest"))).drop("row", "joined", "any", "longest")
+    before = Window.partitionBy("row").orderBy("paragraph").rangeBetween(Window.unboundedPreceding, -1)
+    ends = F.max(F.when(F.col("confirmed"), F.col("paragraph") + F.col("joined") - 1))
+    found = found.withColumns({"any": F.max("confirmed").over(place), "longest": F.max("joined").over(Window.partitionBy("row", "paragraph", "family")), "spoken": F.coalesce(ends.over(before) >= F.col("paragraph"), F.lit(False))})
+    return found.where((F.col("confirmed") | ~(F.col("any") | F.col("spoken"))) & (F.col("joined") == F.col("longest"))).drop("row", "joined", "any", "longest", "spoken")

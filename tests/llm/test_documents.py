@@ -316,53 +316,97 @@ def test_licence_expressions_agree_with_the_model(spark):
         assert r["confirmed"]
 
 
-def plain_notices(rows):
-    """Every line of every text through the model, whatever words it has: (id, line, family, text) of the notices."""
+def judged(text):
+    """(family or none, whether confirmed) of lines, read plainly."""
     model = licences.trained()
+    p, w = model.probabilities(text), licences.words(text)
+    best = model.classes[p[:-1].argmax()]
+    alike = max((held_share(w, t) for t in licences.TEMPLATES.get(best, ())), default=0.0)
+    sure = 1 - p[-1] >= model.threshold
+    named = best in licences.NAMES and re.search(licences.NAMES[best], text.lower()) is not None
+    confirmed = sure and (alike >= licences.CONFIRMED or named) or named and len(w) <= licences.FEW
+    return (best if confirmed else "unknown" if sure else None), confirmed
+
+
+def held_share(w, template):
+    own = licences.shingles(licences.words(template))
+    width = own[0].count(" ") + 1
+    return len({" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} & set(own)) / len(own)
+
+
+def wrapped_runs(lines, template):
+    """Runs of over one line that hold the template: of the first line that ends one, the latest start; then from the next line on."""
+    w, free = [licences.words(x) for x in lines], 0
+    if held_share([x for y in w for x in y], template) < licences.CONFIRMED:
+        return
+    for z in range(len(lines)):
+        for a in range(z, free - 1, -1):
+            if not w[a]:
+                break
+            if held_share([x for y in w[a : z + 1] for x in y], template) >= licences.CONFIRMED:
+                if a < z:
+                    yield a, z
+                free = z + 1
+                break
+
+
+def plain_notices(rows):
+    """Every line of every text through the model, whatever words it has, and every run that holds a template: (id, line, family, text)."""
     for d, text in rows:
-        for k, line in enumerate((text or "").split("\n") if text is not None else []):
-            p, w = model.probabilities(line), licences.words(line)
-            best = model.classes[p[:-1].argmax()]
-            alike = 0.0
-            for t in licences.TEMPLATES.get(best, ()):
-                width = min(licences.SHINGLE, len(licences.words(t)))
-                own, of = ({tuple(x[i : i + width]) for i in range(len(x) - width + 1)} for x in (w, licences.words(t)))
-                alike = max(alike, len(own & of) / len(of))
-            sure = 1 - p[-1] >= model.threshold
-            named = best in licences.NAMES and re.search(licences.NAMES[best], line.lower()) is not None
-            confirmed = sure and (alike >= licences.CONFIRMED or named) or named and len(w) <= licences.FEW
-            if sure or confirmed:
-                yield d, k, best if confirmed else "unknown", line
-
-
-def test_no_notice_is_lost_without_a_trigger(spark, small):
+        lines = [] if text is None else text.split("\n")
+        found = [(k, k, *judged(x)) for k, x in enumerate(lines)]
+        runs = {r for x in licences.TEMPLATES.values() for t in x for r in wrapped_runs(lines, t)} if len(lines) < 3000 else ()
+        found += [(a, z, *judged("\n".join(lines[a : z + 1]))) for a, z in runs]
+        found = [(a, z, f, sure) for a, z, f, sure in found if f and (sure or a == z)]
+        for a, z, f, sure in found:
+            spoken = any(s and (b < a <= y or b == a) for b, y, _, s in found)
+            if (sure or not spoken) and z == max(y for b, y, g, _ in found if (b, g) == (a, f)):
+                yield d, a, f, "\n".join(lines[a : z + 1])
+
+
+def test_notices_against_brute_force(spark, small):
+    """No line is lost for want of a trigger, and runs are found however many lines they have."""
+    import textwrap
+
     documents = spark.read.parquet(f"{small[:-5]}0.01/documents.parquet").select("doc_id", "text")
+    mit, bsd = (max(licences.TEMPLATES[f], key=len) for f in ("mit", "bsd"))
+    wrap = lambda t, width: textwrap.fill(t, width, break_long_words=False)
     extra = ["Software free of charge to any person, in the Software without restriction", "of this software and associated documentation files", "the work of the foundation " * 3000, "Licensed under the MIT License.\n" * 2000, "\n\n", None, "cc"]
+    extra += ["This is dedicated to the public domain", "Dual licensed MIT/Apache", "\n".join(mit.split()), f"{wrap(mit, 14)}\n{wrap(mit, 14)}", f"{wrap(mit, 30)}\n{wrap(bsd, 20)}\n\n{wrap(bsd, 50)}"]
+    half = wrap(mit, 20).split("\n")
+    extra += ["\n".join([*half[:6], "", *half]), "\n".join([*half[:6], " - ", *half[6:]]), "\n".join([*half[:6], mit, *half[6:]]), f"one {wrap(mit, 25)} {wrap(mit, 25)}"]
     extra = spark.createDataFrame([(-k - 1, t) for k, t in enumerate([*extra, *licences.OTHER_NOTICES, *licences.OTHERS])] + [(None, "Licensed under CC BY."), (None, "Licensed under CC BY.")], "doc_id long, text string")
     documents = documents.union(extra)
     want = sorted(plain_notices(rows_of(documents)), key=str)
-    found = licences.scan(documents).collect()
-    got = sorted(((r["doc_id"], r["paragraph"], r["family"], r["text"]) for r in found if "\n" not in r["text"]), key=str)
-    assert got == want and len({f for _, _, f, _ in want}) > 5
+    got = sorted(((r["doc_id"], r["paragraph"], r["family"], r["text"]) for r in licences.scan(documents).collect()), key=str)
+    assert got == want and len({f for _, _, f, _ in want}) > 5 and max(t.count("\n") for *_, t in want) > 15
+
+
+def test_templates_cannot_be_held_without_a_trigger():
+    single = [t for t in licences.TRIGGERS if t.isalpha()]
+    for family, own in licences._templates():
+        silent = [s for s in own if not any(t in w for t in single for w in s.split())]
+        assert len(silent) / len(own) < licences.CONFIRMED, family
 
 
-def test_the_gate_of_the_model():
-    """N-grams without a trigger speak for no notice, so nothing without one reaches the threshold."""
+def test_what_the_triggers_lose_of_the_examples():
+    import random
+
     model = licences.trained()
-    silent = [k for g, k in model.vocabulary.items() if not any(t in w for w in g.split() for t in licences.TRIGGERS)]
-    assert (model.weights[silent, :-1] <= model.weights[silent, -1:]).all() and model.without_triggers() < model.threshold
+    notices = [t for c, t, _ in licences._examples(random.Random(licences.SEED)) if c != licences.NONE and 1 - model.probabilities(t)[-1] >= model.threshold]
+    assert np.mean([not any(x in t for x in licences.TRIGGERS) for t in notices]) <= 0.01
 
 
 def test_held_out_notices():
     """Of paragraphs that the model was not fitted to, words left out of them and prose around: what is no notice seldom passes,
-    though half of it is words of notices; most notices of a family do, and of unseen licences nearly half."""
+    though half of it is words of notices; most notices of a family do, and of unseen licences over half."""
     import random
 
     model = licences.trained()
     held = [(c, model.probabilities(t)) for c, t, h in licences._examples(random.Random(licences.SEED)) if h]
     kinds = [c if c in (licences.NONE, licences.UNKNOWN) else "family" for c, _ in held]
     passed = {kind: np.mean([1 - p[-1] >= model.threshold for k, (_, p) in zip(kinds, held, strict=True) if k == kind]) for kind in set(kinds)}
-    assert passed[licences.NONE] <= 0.02 and passed["family"] >= 0.8 and passed[licences.UNKNOWN] >= 0.4
+    assert passed[licences.NONE] <= 0.02 and passed["family"] >= 0.95 and passed[licences.UNKNOWN] >= 0.5
     families = [(c, p) for c, p in held if c in licences.TEMPLATES and 1 - p[-1] >= model.threshold]
     assert np.mean([model.classes[p[:-1].argmax()] == c for c, p in families]) >= 0.85
 
@@ -423,7 +467,7 @@ def test_pipeline_keeps_one_of_each_similar_group(spark, texts, hot, monkeypatch
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
 
 
-@pytest.mark.parametrize("width", [40, 72, 80])
+@pytest.mark.parametrize("width", [20, 40, 72, 80])
 def test_wrapped_licences(spark, width):
     import textwrap
 
