@@ -54,7 +54,8 @@ def write_index(catalog: DataFrame, path: str) -> None:
     write = lambda df, name, *by: df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(f"{path}/{name}")
     posted = postings(catalog)
     write(posted, "postings", "project_id", "token")
-    stored = catalog.sparkSession.read.parquet(f"{path}/postings")
+    # Of the projects that are written; those of others stay as they are.
+    stored = catalog.sparkSession.read.parquet(f"{path}/postings").join(catalog.select("project_id").distinct(), "project_id", "left_semi")
     write(ngram_index(stored), "ngrams", "project_id", "ngram")
     write(suggest_index(catalog), "suggest", "project_id", "prefix")
 

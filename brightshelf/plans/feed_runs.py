@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import index
 from ..sources import catalog, feeds
@@ -54,13 +53,15 @@ def recover(spark: SparkSession, path: str, projects: DataFrame) -> DataFrame:
     none = lambda: spark.createDataFrame([], "project_id string")
     there = lambda p: _read(spark, p) or none()
     plan = catalog.recovery_plan(projects, there(f"{path}/catalog"), there(f"{path}/index/postings"), there(saved))
-    plan = spark.createDataFrame(plan.collect(), plan.schema)
-    lost = [r["project_id"] for r in plan.where("step = 'restore'").collect()]
-    if lost:
-        catalog.write(catalog.from_backup(spark.read.parquet(saved).where(F.col("project_id").isin(lost))), f"{path}/catalog")
-    missing = lost + [r["project_id"] for r in plan.where("step = 'rebuild'").collect()]
-    if missing:
-        index.write_index(spark.read.parquet(f"{path}/catalog").where(F.col("project_id").isin(missing)), f"{path}/index")
+    # The decisions are written before what they were made from changes; products follow them by joins.
+    plan.write.mode("overwrite").parquet(f"{path}/recovery")
+    plan = spark.read.parquet(f"{path}/recovery")
+    lost, missing = plan.where("step = 'restore'"), plan.where("step in ('restore', 'rebuild')")
+    of = lambda df, projects: df.join(projects.select("project_id"), "project_id", "left_semi")
+    if not lost.isEmpty():
+        catalog.write(catalog.from_backup(of(spark.read.parquet(saved), lost)), f"{path}/catalog")
+    if not missing.isEmpty():
+        index.write_index(of(spark.read.parquet(f"{path}/catalog"), missing), f"{path}/index")
     return plan
 
 
