@@ -346,7 +346,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     confirmed is returned as ``unknown``. Null and empty texts have no paragraphs.
 
     Texts without a trigger are not read, and lines without one not scored by themselves: this costs the classifier what it
-    would find there, which was nothing in the tests' corpora.
+    would find there, which was nothing in the documents of the tests and less than 1 % of the example notices that pass.
 
     A notice that is wrapped over several lines is a row of the first of them, with all of them as its text: the fewest
     consecutive lines without a blank one, however many, that hold a template. Those lines are then no rows by themselves,
