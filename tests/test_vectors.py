@@ -97,3 +97,21 @@ def test_tenants_that_share_ids(spark, tmp_path):
     for stored in (None, store, store):
         got = hybrid.hybrid_search(spark, "red ring", words, idx, both, 8, 0, 50, "a", stored).collect()
         assert len(got) == len({r["id"] for r in got}) == 12
+
+
+def test_cells_are_written_once_and_asked_by_many_queries(spark, tmp_path):
+    """One file a cell, however many tasks hold its vectors; scores are those of each with each, ties by id."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 8)).astype(np.float32)
+    x[600:] = x[:600]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<float>").repartition(6)
+    path = str(tmp_path / "cells")
+    cells.write(df, path, cells.fit(df))
+    files = list((tmp_path / "cells" / "vectors").glob("cell=*/*.parquet"))
+    assert len(files) == len({f.parent for f in files}) > 10
+    got = cells.search(spark, path, [(k, v.tolist()) for k, v in enumerate(x)], 4, probed=1.0)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString() and "Generate" not in got._jdf.queryExecution().toString()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 9)
+    want = {(q, p, int(i)) for q in range(len(x)) for p, i in enumerate(np.lexsort((np.arange(len(x)), -near[q]))[:4], 1)}
+    assert {(r["query_id"], r["position"], r["id"]) for r in got.collect()} == want
