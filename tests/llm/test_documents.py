@@ -568,3 +568,25 @@ def test_one_place_has_no_contradictory_notices(spark):
     found = licences.scan(spark.createDataFrame([(1, f"Some prose.\n\n{wrapped}\n\nMore prose."), (2, wrapped)], "doc_id long, text string")).collect()
     for doc, first in ((1, 2), (2, 0)):
         assert [(r["family"], r["confirmed"]) for r in found if r["doc_id"] == doc and r["paragraph"] == first] == [("mit", True)]
+
+
+def test_pipeline_groups_are_proposed_by_fingerprints(spark, monkeypatch):
+    """What SimHash fingerprints link is compared by its shingles, were it in no band of MinHashes together."""
+    import random
+
+    import corpus_pipeline
+
+    def nothing(batches):
+        for _ in batches:
+            pass
+        return iter(())
+
+    monkeypatch.setattr(alike, "_stars", nothing)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(60)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in texts]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts + near)], "doc_id long, text string").repartition(3)
+    linked = {k for k in range(60) if (simhash.fingerprint(texts[k]) ^ simhash.fingerprint(near[k])).bit_count() <= 3}
+    assert linked
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect()}
+    assert kept == set(range(120)) - {60 + k for k in linked}
