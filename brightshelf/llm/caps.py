@@ -15,16 +15,14 @@ from .common import attach_small, components, given_back, local_components, stor
 #: Linked from this cosine on, as the contract of op3 sets it.
 LEAST = 0.93
 #: A filter is to hold about this many vectors of the largest label, and one linked pair in so many may share none.
-HELD, MISSED = 128, 1e-6
-#: Vectors of one label and length that are compared each with each: dealing chunks copies a vector less often than filters would.
-EXACT = 20_000
+HELD, MISSED = 1024, 1e-6
 #: Blocks of a product code, and the share of a label that a filter holds at most.
-CODE_BLOCKS, WIDEST = 2, 0.05
+CODE_BLOCKS, WIDEST = 2, 0.25
 #: Filters of one code that a vector passes about (more of them depend on each other), and the share of linked pairs that a
 #: code may miss at most; codes, and pairs of vectors for each, by which that is measured.
 PASSED, WORST, DRAWN, PROBES = 1, 0.95, 12, 500
 #: Vectors of one label and filter: beyond this they are dealt to several tasks.
-HOT = 512
+HOT = 2048
 SEED = 77
 
 
@@ -211,17 +209,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     vec_id is linked and counted, but names no component; if none of a group has an id, component_id is null and kept
     false. Rows that share a vec_id are vectors of their own with the same id.
 
-    Equal vectors of a label are one node with a number of copies. In labels of up to EXACT nodes of a length each two are
-    compared. In larger ones each node goes to the filters that it exceeds, and a pair is compared where both go. Groups
-    and filters that too many share are dealt to several tasks. A task returns counts and a spanning forest, never pairs.
-    What is not found is a linked pair of a large label without a common filter: about one in a million at cosine 0.93,
-    less often above.
+    Equal vectors of a label are one node with a number of copies. Each node goes to the filters that it exceeds, in labels
+    of any size, and a pair is compared where both go. Filters that too many share are dealt to several tasks. A task returns
+    counts and a spanning forest, never pairs. What is not found is a linked pair without a common filter: about one in a
+    million at cosine 0.93, less often above. Vectors of a length that no code separates are compared each with each.
     """
     rows = vectors.select("vec_id", "embedding", "label")
     fit = rows.where(usable() & F.col("label").isNotNull()).groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     # A node's number has nothing to do with its rows' ids, which may be null or those of other nodes too.
     nodes = stored(fit.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "vectors")
-    large = stored(nodes.groupBy("label", "dim").count().where(f"count > {EXACT}"), "large-labels")
+    large = stored(nodes.groupBy("label", "dim").count(), "labels")
     plans = {r["dim"]: plan(r["largest"], r["dim"]) for r in large.groupBy("dim").agg(F.max("count").alias("largest")).collect()}
     plans = {dim: found for dim, found in plans.items() if found}
     vector = nodes.drop("least").withColumnRenamed("node", "rep")

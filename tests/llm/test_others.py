@@ -213,3 +213,13 @@ def test_codes_hold_the_miss_rate(dim, largest):
         a, b = ({*zip(*(c.tolist() for c in code.decode(v, height)), strict=True)} for v in (x, y))
         met[[i for i, _ in a & b]] = True
     assert met.all()
+
+
+def test_small_labels_go_to_filters_too(spark, monkeypatch):
+    """No size of a label switches the filters off."""
+    asked = []
+    plan = caps.plan
+    monkeypatch.setattr(caps, "plan", lambda largest, dim: asked.append((largest, dim)) or plan(largest, dim))
+    rows = [(k, [1.0, 0.01 * k, 0.0, 0.0], 0) for k in range(6)]
+    got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert asked == [(6, 4)] and {(r["n_links"], r["component_id"]) for r in got} == {(5, 0)}
