@@ -155,6 +155,21 @@ def _verify(batches) -> Iterator[pa.RecordBatch]:
         yield links(pa.Table.from_batches(held))
 
 
+def _printed(prints: DataFrame) -> DataFrame:
+    """(a, b): links that join the sets of ``prints`` (fp, print, ...) whose fingerprints the join of tries links.
+
+    A fingerprint stands for its smallest set. The links go into the components of all proposals, with those of the bands,
+    so that the driver plans their rounds once.
+    """
+    # Sets are what documents are there.
+    named = stored(prints.select(F.col("fp").alias("doc_id"), F.col("print").alias("fp")).distinct(), "named-prints")
+    reps = simhash.representatives(named)
+    equal = named.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    of = lambda c: reps.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
+    near = simhash.links(reps).distinct().join(of("a"), "a").join(of("b"), "b")
+    return equal.unionByName(near.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of the smallest doc_id, with all its columns.
 
@@ -163,7 +178,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     ones have none and are equal. Of rows that share the smallest doc_id the one of the smallest text stays. Where no
     row of a group has an id, one of them stays; where some has, rows without an id go.
 
-    Equal sets are one node. Texts whose SimHash fingerprints link by op2's join of tries (simhash.groups), and texts that
+    Equal sets are one node. Texts whose SimHash fingerprints link by op2's join of tries (simhash.links), and texts that
     share a band of MinHashes, as fingerprints alone reach about 1 % of the pairs at 0.8, are joined to proposed groups by
     stars, so their number is that of the rows; then each text's shingles go to its group once and every two of a group are compared.
     Groups beyond a bound are dealt to several tasks.
@@ -175,10 +190,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "__same")).alias("at"), F.max("bands").alias("bands")), "shingle-sets")
     banded = nodes.select("fp", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
     stars = banded.mapInArrow(lambda it: given_back(_stars(it)), "a long, b long")
-    # Sets stand for documents here: each is linked with the least one that its fingerprint reaches.
-    named = stored(prints.select(F.col("fp").alias("doc_id"), F.col("print").alias("fp")).distinct(), "named-prints")
-    near = named.join(simhash.groups(named), "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    groups = stored(components(stars.unionByName(near)), "proposed")
+    groups = stored(components(stars.unionByName(_printed(prints))), "proposed")
     texts = nodes.join(groups, F.col("fp") == F.col("node"), "left_semi").select("fp", F.col("at.doc_id").alias("id"), F.col("at.__same").alias("same"))
     # Shuffled at every size: whether the chosen ones are few enough to broadcast would depend on the input.
     texts = marked.join(stored(texts, "chosen").hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__same") == F.col("same"))).select("fp", "text")

@@ -222,14 +222,24 @@ def _dealt(nodes: DataFrame, depth: int) -> DataFrame:
     return paired.select("trie", "bit", "base", first.alias("part_i"), second.alias("part_j"), F.when(alone, (F.col("own") > F.col("chunk")).cast("int")).otherwise(side).alias("side"), "path")
 
 
-def groups(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fp of ``prints`` (doc_id, fp)."""
-    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
+def representatives(prints: DataFrame) -> DataFrame:
+    """(fp, rep): each distinct fp of ``prints`` (doc_id, fp) with its smallest doc_id; stored."""
+    return stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
+
+
+def links(reps: DataFrame) -> DataFrame:
+    """(a, b): links that join all fingerprints of ``reps`` (fp, ...; distinct) that the join of tries links."""
     depth = min(HALF, max(1, math.ceil(math.log2(max(reps.count(), 1) / BELOW))))
     tries = reps.select(F.posexplode(F.array("fp", _exchanged(F.col("fp")))).alias("trie", "path"))
     order = [*_KEY, "side", "path"]
     dealt = _dealt(tries, depth).repartition(*_KEY).sortWithinPartitions(*order).select(*order)
-    found = stored(components(dealt.mapInArrow(lambda it: given_back(_join_tries(depth, it)), "a long, b long")), "linked")
+    return dealt.mapInArrow(lambda it: given_back(_join_tries(depth, it)), "a long, b long")
+
+
+def groups(prints: DataFrame) -> DataFrame:
+    """(fp, component_id) for each distinct fp of ``prints`` (doc_id, fp)."""
+    reps = representatives(prints)
+    found = stored(components(links(reps)), "linked")
     lowest = found.join(reps, found.node == reps.fp).groupBy("component").agg(F.min("rep").alias("lowest"))
     linked = found.join(lowest, "component").select(F.col("node").alias("fp"), "lowest")
     return reps.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component_id"))

@@ -590,3 +590,14 @@ def test_pipeline_groups_are_proposed_by_fingerprints(spark, monkeypatch):
     assert linked
     kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect()}
     assert kept == set(range(120)) - {60 + k for k in linked}
+
+
+def test_pipeline_searches_components_of_all_proposals_at_once(spark, monkeypatch):
+    # Each search plans some rounds of jobs, which the driver holds.
+    calls = []
+    for module in (alike, simhash):
+        monkeypatch.setattr(module, "components", lambda edges, found=module.components: calls.append(1) or found(edges))
+    words = [f"w{k}" for k in range(40)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words) + " end"), (3, " ".join(words)), (4, "quite another text of some words")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in alike.one_of_each(df).collect()) == [1, 4]
+    assert len(calls) == 2
