@@ -93,7 +93,7 @@ class Shop:
     def _segment(self, products: DataFrame | None, before: DataFrame | None = None) -> dict[str, list[str]]:
         """Writes the parts of some products; what the catalog had of them before is taken out of the suggestions."""
         out = {}
-        write = lambda name, df, order: out.setdefault(name, []).append(self.saved.write(df, name, order))
+        write = lambda name, df, order, write=self.saved.write: out.setdefault(name, []).append(write(df, name, order))
         suggested = [index.suggest_index(products)] if products is not None else []
         if before is not None:
             suggested.append(index.suggest_index(before).withColumn("freq", -F.col("freq")))
@@ -101,10 +101,10 @@ class Shop:
             write("suggest", reduce(DataFrame.unionByName, suggested), ["project_id", "prefix"])
         if products is not None:
             write("catalog", products, ["project_id", "id"])
-            write("postings", impact.blocks(self.scored(self.saved.part(out['catalog'][0]))), impact.order())
+            write("postings", impact.blocks(self.scored(self.saved.part(out['catalog'][0]))), impact.order(), self.saved.write_once)
             posted = self.saved.part(out['postings'][0])
             write("heads", impact.heads(posted), ["project_id", "token"])
-            write("ngrams", index.ngram_index(posted, self.cut), ["project_id", "ngram"])
+            write("ngrams", index.ngram_index(posted, self.cut), ["project_id", "ngram"], self.saved.write_once)
         return out
 
     def _dead(self, ids: DataFrame) -> str:

@@ -224,3 +224,16 @@ def test_a_tick_that_runs_twice_changes_nothing(spark, tmp_path):
     # The stream's progress is lost, so the batch comes again with its number.
     tick(shop, files(), projects, "2024-01-02 12:00:00", str(tmp_path / "p2")).awaitTermination()
     assert shop.version()["number"] == number
+
+
+def test_dear_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        made.add(1)
+        return k
+
+    saved = Snapshots(spark, str(tmp_path))
+    part = saved.part(saved.write_once(spark.range(0, 100, 1, 4).select(F.udf(counted, "long")("id").alias("k")), "rows", [F.desc("k")]))
+    assert sorted(r["k"] for r in part.collect()) == list(range(100)) and made.value == 100
+    assert len(list((tmp_path / "parts").iterdir())) == 1
