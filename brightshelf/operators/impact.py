@@ -126,7 +126,9 @@ def planned(queries: list[dict], idx: Impacts, offset: int = 0) -> tuple[list[di
         return served, others, None
     tokens = {(q["project_id"], t) for q in served for t in q["tokens"]}
     every = search.of_tokens(idx.blocks, tokens)
-    if rows_read > MOST * rows_all or len(lowest) > search.TOKENS_PUSHED // 10:
+    # Queries that share tokens read their lists once when these are read whole.
+    rows_once = sum(b[2] for t in tokens for b in found.get(t, ()))
+    if rows_read > MOST * min(rows_all, rows_once) or len(lowest) > search.TOKENS_PUSHED // 10:
         return served, others, every
     schema = "query_id int, project_id string, token string, low int, times int, rest double, missing double"
     asked = search.literal_rows(idx.blocks.sparkSession, pieces, schema)
@@ -141,7 +143,8 @@ def top(queries: DataFrame, idx: Impacts, catalog: DataFrame, offset: int = 0) -
     """A page of each query's results as search.search() gives it by relevance, without ``total``.
 
     Lists are read from their highest impacts on, as far as ``cuts`` says, and of the products that these show to be able to
-    win the other postings are looked up. So a token that nearly all products have is not read for a query that has a better
+    win the other postings are looked up. Where whole lists are read, products that are alike to all queries of the batch are
+    ranked once (search.best_alike). So a token that nearly all products have is not read for a query that has a better
     one. Queries of which no token alone has as many products as they ask for go the way of search.search(), with its
     fallbacks; so do batches of more than search.BATCH.
     """
@@ -158,7 +161,8 @@ def top(queries: DataFrame, idx: Impacts, catalog: DataFrame, offset: int = 0) -
         parts.append(search.search(some, idx.index(), catalog, offset).select(columns))
     if served:
         asked, most = search.literal_rows(spark, served, schema), max(q["limit"] for q in served)
-        hits = search.token_hits(asked, postings)
+        wanted = {(q["project_id"], t) for q in served for t in q["tokens"]}
+        hits = search.token_hits(asked, search.best_alike(postings, wanted, offset + most))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(*search.relevance()))
         best = hits.withColumn("position", place).where(F.col("position") <= offset + most)
         page = best.join(asked.select("query_id", "limit"), "query_id").where((F.col("position") > offset) & (F.col("position") <= offset + F.col("limit")))

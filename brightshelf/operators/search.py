@@ -17,6 +17,8 @@ LAYOUT, NGRAM = 0.9, 0.5
 BATCH, TOKENS_PUSHED = 10_000, 1000
 #: Hits of a task.
 HITS_EACH = 100_000
+#: Ranks up to which a window's limit works before its rows are shuffled (spark.sql.optimizer.windowGroupLimitThreshold).
+RANKED_IN_TASKS = 1000
 #: Other layouts of a query, and stages of a search, at most.
 LAYOUTS, STAGES = 2, 3
 #: The limit that stands for "all", and the one of a request that names none.
@@ -212,6 +214,26 @@ def _staged(queries: DataFrame, index: Index, synonyms: DataFrame | None) -> tup
     return reduce(DataFrame.unionByName, found), max((r["limit"] for r in rows), default=0)
 
 
+def best_alike(postings: DataFrame, tokens: set[tuple[str, str]], k: int) -> DataFrame:
+    """The postings of ``tokens`` (project_id, token) without those of products that can't be among the k best of any query.
+
+    Products that have the same of these tokens with the same scores differ in a ranking by relevance in their id alone, so
+    of each class of them the k with the greatest ids stay; each other one has k of its class before it. A class is named by
+    the number of its tokens and 128 bits. So a query meets classes, not products. Ids are ranked in the tasks that have the
+    products, which pass on k of a class.
+    """
+    wanted = literal_rows(postings.sparkSession, [{"project_id": p, "token": t} for p, t in sorted(tokens)], "project_id string, token string")
+    # Each posting is dealt once, by its product.
+    dealt = postings.join(F.broadcast(wanted), ["project_id", "token"], "left_semi").repartition("project_id", "product_id")
+    if k > RANKED_IN_TASKS:
+        return dealt
+    name = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "token", "score"))
+    products = dealt.groupBy("project_id", "product_id").agg(F.count("*").alias("n"), name(1).alias("a"), name(2).alias("b"))
+    place = F.row_number().over(Window.partitionBy("project_id", "n", "a", "b").orderBy(F.desc("product_id")))
+    best = products.withColumn("place", place).where(F.col("place") <= k).select("project_id", "product_id")
+    return dealt.join(best, ["project_id", "product_id"], "left_semi")
+
+
 def candidates(queries: DataFrame, index: Index, synonyms: DataFrame | None = None) -> DataFrame:
     """The hits of each query (query_id, project_id, q, limit), without order.
 

@@ -226,6 +226,18 @@ def test_a_tick_that_runs_twice_changes_nothing(spark, tmp_path):
     assert shop.version()["number"] == number
 
 
+def test_products_alike_are_ranked_once(spark, tmp_path):
+    rows = [{"id": f"{k:03d}", "name": ("red ring", "red gear", "blue ring")[k % 3], "category": "tools", "vendor_code": f"PN-{k}", "price": 1.0} for k in range(300)]
+    shop = Shop(spark, str(tmp_path))
+    shop.replace(C.from_rows(spark, rows), "demo")
+    asked, idx = requests.of_queries(spark, ["red ring", "red gear", "ring", "red tools"], 5), shop.impacts()
+    tokens = {("demo", t) for t in ("red", "ring", "gear", "tools")}
+    kept = search.best_alike(idx.index().postings, tokens, 7)
+    assert sorted(r[0] for r in kept.select("product_id").distinct().collect()) == [f"{k:03d}" for k in range(279, 300)]
+    want = rows_of(search.search(asked, idx.index(), shop.catalog(), 2), "query_id", "position", "id", "score")
+    assert len(want) == 20 and rows_of(impact.top(asked, idx, shop.catalog(), 2), "query_id", "position", "id", "score") == want
+
+
 def test_dear_rows_are_made_once(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
