@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -94,17 +95,25 @@ def mock_vector(text: str, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def embed(df: DataFrame, text: Column, dim: int = 64, out: str = "vector") -> DataFrame:
-    """Adds the vectors of a text column. Equal texts, by their hash, are embedded once."""
+def embed(df: DataFrame, text: Column, dim: int = 64, out: str = "vector", of: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+    """Adds the vectors of a text column, or what ``of`` makes of them. Equal texts, by their hash, are embedded once."""
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([mock_vector(t or "", dim) for t in texts])
 
     keyed = df.withColumns({"_text": text, "_key": F.md5(F.coalesce(text, F.lit("")))})
-    distinct = keyed.groupBy("_key").agg(F.any_value("_text").alias("_text")).select("_key", F.pandas_udf(run, "array<float>")("_text").alias(out))
+    # Dealt to all cores: a text is few bytes but much work, and small partitions are merged by their bytes.
+    texts = keyed.groupBy("_key").agg(F.any_value("_text").alias("_text")).repartition(df.sparkSession.sparkContext.defaultParallelism, "_key")
+    distinct = texts.select("_key", F.pandas_udf(run, "array<float>")("_text").alias("_vector")).select("_key", of(F.col("_vector")).alias(out))
     return keyed.join(distinct, "_key").drop("_key", "_text")
 
 
+def nearest_texts(df: DataFrame, text: Column, vector: list[float], k: int, dim: int = 64) -> DataFrame:
+    """(id, score): top_k() of the vectors of a text column by cosine. Products of equal texts are scored once."""
+    query = F.array(*(F.lit(float(x)) for x in vector))
+    return embed(df, text, dim, "score", lambda v: cosine(v, query)).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+
+
 def embed_stored(df: DataFrame, text: Column, store: Snapshots, dim: int = 64, out: str = "vector", drop: bool = False) -> tuple[DataFrame, int]:
     """embed(), with the vectors of texts kept under ``store`` by the texts' hash: (rows with vectors, texts that were embedded).
 

@@ -26,9 +26,12 @@ def hybrid_search(
     own = of_project(catalog, project_id)
     keyword = search.search(asked, index, own).select("query_id", "id", "position")
     texts = own.withColumn("search_text", F.lit(""))
-    embedded = vectors.embed_stored(texts, X.embedding_text(), stored, dim)[0] if stored else vectors.embed(texts, X.embedding_text(), dim)
-    points = embedded.select("id", "vector", F.create_map().cast("map<string,string>").alias("payload"))
-    near = vectors.top_k(points, vectors.mock_vector(corrected, dim).tolist(), FUSED)
+    wanted = vectors.mock_vector(corrected, dim).tolist()
+    if stored:
+        points = vectors.embed_stored(texts, X.embedding_text(), stored, dim)[0].select("id", "vector", F.create_map().cast("map<string,string>").alias("payload"))
+        near = vectors.top_k(points, wanted, FUSED)
+    else:
+        near = vectors.nearest_texts(texts, X.embedding_text(), wanted, FUSED, dim)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     near = near.withColumn("query_id", F.lit(0)).select("query_id", "id", place.alias("position"))
     return vectors.hybrid(asked, keyword, near, own, offset, limit).withColumn("corrected", F.lit(corrected))

@@ -115,3 +115,13 @@ def test_cells_are_written_once_and_asked_by_many_queries(spark, tmp_path):
     near = np.round(unit @ unit.T, 9)
     want = {(q, p, int(i)) for q in range(len(x)) for p, i in enumerate(np.lexsort((np.arange(len(x)), -near[q]))[:4], 1)}
     assert {(r["query_id"], r["position"], r["id"]) for r in got.collect()} == want
+
+
+def test_products_of_equal_texts_are_scored_once(spark):
+    df = spark.createDataFrame([(str(k), f"text {k % 5}") for k in range(40)], "id string, text string")
+    query = vectors.mock_vector("text 3", 16).tolist()
+    points = vectors.embed(df, F.col("text"), 16).select("id", "vector", F.create_map().cast("map<string,string>").alias("payload"))
+    found = vectors.nearest_texts(df, F.col("text"), query, 12, 16)
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in vectors.top_k(points, query, 12).collect()]
+    scored = vectors.embed(df, F.col("text"), 16, of=lambda v: v)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
