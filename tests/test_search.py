@@ -158,3 +158,11 @@ def test_projects_do_not_mix(spark):
     after = index.merge_delta(both, delta, "a")
     assert after.count() == both.count()
     assert {(r["project_id"], r["price"]) for r in after.where("id = 'p1'").collect()} == {("a", 9.0), ("b", 1.0)}
+
+
+def test_similar_tokens_are_looked_for_in_the_postings(spark, small):
+    from brightshelf import queries
+
+    # Known when the postings are planned, so that only theirs are joined.
+    plan = queries.QUERIES["ngram_padded"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "anvil" in plan
