@@ -14,3 +14,20 @@ def test_postings_are_made_by_several_tasks(spark, monkeypatch):
     # Products are shuffled, their postings are not.
     plan = posted._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "token" in line]
+
+
+def long_text() -> str:
+    """A description of some 9000 characters: the 500th stands within a word, and one word comes at the end alone."""
+    return " ".join(["zebra-n1"] + [f"word{k:04}" for k in range(1000)] + ["zebra-n1", "ultima"])
+
+
+def test_postings_hold_whole_descriptions(spark):
+    posted = index.postings(catalog.from_rows(spark, [{"id": "1", "name": "ultima", "description": long_text()}]))
+    want = {f"word{k:04}": 1.0 for k in range(1000)} | {"zebra-n1": 2.0, "zebran1": 1.0, "zebra": 1.0, "n1": 1.0, "ultima": 4.0}
+    assert {r["token"]: r["score"] for r in posted.collect()} == want
+
+
+def test_tasks_follow_the_length_of_descriptions(spark, monkeypatch):
+    monkeypatch.setattr(index, "BYTES_EACH", 10_000, raising=False)
+    rows = [{"id": str(k), "name": "red", "description": "x" * 10_000 if k % 2 else None} for k in range(10)]
+    assert index.postings(catalog.from_rows(spark, rows)).rdd.getNumPartitions() == 6

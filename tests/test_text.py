@@ -24,6 +24,26 @@ def test_tokens_with_hyphens_are_order_dependent(spark):
     assert values(spark, cases, X.tokenize("t")) == [(v,) for v in cases.values()]
 
 
+def test_tokens_of_many_texts(spark):
+    import random
+
+    from brightshelf.functions import words as W
+
+    def slow(text):
+        out = []
+        for w in (w for w in text.split() if w not in W.STOP_WORDS):
+            forms = [w.replace("-", "")] + [p for p in w.split("-") if p not in W.STOP_WORDS] if "-" in w else []
+            out += [w] if len(w) > 1 else []
+            for f in forms:
+                out += [f] if len(f) > 1 and f not in out else []
+        return out
+
+    draw = random.Random(7)
+    pieces = ["a", "b", "ab", "-", "-", "и", "на", "5w", " ", " ", " ", "x-y", "для"]
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(60))) for _ in range(1000)]
+    assert values(spark, texts + [None], X.tokenize("t")) == [(slow(t),) for t in texts] + [(None,)]
+
+
 def test_layouts(spark):
     assert values(spark, ["ghbdtn"], X.convert_layout("t"), X.layout_variants("t")) == [("привет", ["привет"])]
     assert values(spark, ["привет"], X.layout_variants("t"), X.wrong_layout("t")) == [(["ghbdtn"], True)]
