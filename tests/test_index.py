@@ -31,3 +31,10 @@ def test_tasks_follow_the_length_of_descriptions(spark, monkeypatch):
     monkeypatch.setattr(index, "BYTES_EACH", 10_000, raising=False)
     rows = [{"id": str(k), "name": "red", "description": "x" * 10_000 if k % 2 else None} for k in range(10)]
     assert index.postings(catalog.from_rows(spark, rows)).rdd.getNumPartitions() == 6
+
+
+def test_top_tokens_count_whole_descriptions(spark):
+    rows = [{"id": str(k), "name": f"n{k}", "description": f"{long_text()} d{k}"} for k in range(3)]
+    rows.append({"id": "3", "name": "ultima"})
+    top = index.token_document_counts(index.postings(catalog.from_rows(spark, rows)), 3).collect()
+    assert [tuple(r) for r in top] == [("ultima", 4), ("n1", 3), ("word0000", 3)]
