@@ -38,3 +38,10 @@ def test_top_tokens_count_whole_descriptions(spark):
     rows.append({"id": "3", "name": "ultima"})
     top = index.token_document_counts(index.postings(catalog.from_rows(spark, rows)), 3).collect()
     assert [tuple(r) for r in top] == [("ultima", 4), ("n1", 3), ("word0000", 3)]
+
+
+def test_changed_products_are_indexed_whole(spark):
+    whole = catalog.from_rows(spark, [{"id": "1", "name": "a1", "description": long_text()}, {"id": "2", "name": "b2", "description": long_text()}])
+    changed = catalog.from_rows(spark, [{"id": "2", "name": "b2", "description": long_text() + " postrema"}])
+    after = index.upsert(index.postings(whole), changed)
+    assert {tuple(r) for r in after.where("token IN ('ultima', 'postrema')").select("token", "product_id").collect()} == {("ultima", "1"), ("ultima", "2"), ("postrema", "2")}
